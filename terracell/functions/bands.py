@@ -66,7 +66,10 @@ def rescale_16_to_8(value) -> Column:
 
 
 def stretch(value, low, high) -> Column:
-    """255 * (v - low) / (high - low) cut to int; null when the range is empty."""
+    """255 * (v - low) / (high - low) cut to int; null when the range is empty.
+
+    A result within 1e-9 below a whole number counts as that number.
+    """
     value, low, high = as_col(value), as_col(low), as_col(high)
     span = high - low
-    return F.when(span != 0, F.floor(255.0 * (value - low) / span).cast("int"))
+    return F.when(span != 0, F.floor(255.0 * (value - low) / span + 1e-9).cast("int"))

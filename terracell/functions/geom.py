@@ -65,20 +65,40 @@ def ring_meets_box(ring, box: Column | dict) -> Column:
     """Closed polygon against closed box: an edge meets the box, or the box lies inside."""
     ring = as_col(ring)
     xmin, ymin, xmax, ymax = (as_col(box[k]) for k in ("xmin", "ymin", "xmax", "ymax"))
-    cx, cy = (xmin + xmax) / 2.0, (ymin + ymax) / 2.0
-    hx, hy = (xmax - xmin) / 2.0, (ymax - ymin) / 2.0
+    # a one-element array, so that the box is computed once and not once per edge
+    frame = F.struct(
+        ((xmin + xmax) / 2.0).alias("cx"),
+        ((ymin + ymax) / 2.0).alias("cy"),
+        ((xmax - xmin) / 2.0).alias("hx"),
+        ((ymax - ymin) / 2.0).alias("hy"),
+        xmin.alias("xmin"),
+        ymin.alias("ymin"),
+        xmax.alias("xmax"),
+        ymax.alias("ymax"),
+    )
 
-    def edge_meets(e):
+    def edge_meets(e, f):
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
         return (
-            (F.least(e["x1"], e["x2"]) <= xmax)
-            & (F.greatest(e["x1"], e["x2"]) >= xmin)
-            & (F.least(e["y1"], e["y2"]) <= ymax)
-            & (F.greatest(e["y1"], e["y2"]) >= ymin)
-            & (F.abs(dx * (cy - e["y1"]) - dy * (cx - e["x1"])) <= F.abs(dx) * hy + F.abs(dy) * hx)
+            (F.least(e["x1"], e["x2"]) <= f["xmax"])
+            & (F.greatest(e["x1"], e["x2"]) >= f["xmin"])
+            & (F.least(e["y1"], e["y2"]) <= f["ymax"])
+            & (F.greatest(e["y1"], e["y2"]) >= f["ymin"])
+            & (F.abs(dx * (f["cy"] - e["y1"]) - dy * (f["cx"] - e["x1"])) <= F.abs(dx) * f["hy"] + F.abs(dy) * f["hx"])
         )
 
-    return F.exists(_edges(ring), edge_meets) | point_in_ring(cx, cy, ring)
+    return F.exists(
+        F.array(frame),
+        lambda f: F.exists(_edges(ring), lambda e: edge_meets(e, f)) | point_in_ring(f["cx"], f["cy"], ring),
+    )
+
+
+def footprint_meets_box(ring, own_box: dict, box: Column | dict) -> Column:
+    """Envelope test, then the exact test where a ring is given. CASE keeps that order, whatever
+    join or filter the condition ends up in."""
+    ring = as_col(ring)
+    exact = F.when(ring.isNull(), F.lit(True)).otherwise(ring_meets_box(ring, box))
+    return F.when(boxes_overlap(own_box, box), exact).otherwise(F.lit(False))
 
 
 def ring_from_geojson(text) -> Column:

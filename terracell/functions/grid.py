@@ -15,23 +15,10 @@ TILE_SIZE = 256
 EARTH_RADIUS = 6378137.0
 MAX_LAT = 85.0511287798066
 
-# Bit-spreading steps of the public Morton-code recipe for 21-bit arguments:
-# (shift, mask) pairs, widest first.
-_SPREAD_STEPS = [
-    (32, 0x1F00000000FFFF),
-    (16, 0x1F0000FF0000FF),
-    (8, 0x100F00F00F00F00F),
-    (4, 0x10C30C30C30C30C3),
-    (2, 0x1249249249249249),
-]
-
-
 def _spread(value: Column) -> Column:
-    """Move bit i of a 21-bit value to bit 3i."""
-    out = value.bitwiseAND(F.lit(0x1FFFFF).cast("bigint"))
-    for shift, mask in _SPREAD_STEPS:
-        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
-    return out
+    """Move bit i of a 21-bit value to bit 3i: its binary digits, read as octal digits."""
+    digits = F.bin(value.bitwiseAND(F.lit(0x1FFFFF).cast("bigint")))
+    return F.conv(digits, 8, 10).cast("bigint")
 
 
 def z_parts(time_index, y, x) -> tuple[Column, Column]:

@@ -53,8 +53,9 @@ def scene_time_from_filename(name) -> Column:
 
 
 def year_from_path(path) -> Column:
-    """First four-digit run that stands before a two-digit or no suffix in the file name."""
-    name = F.regexp_extract(as_col(path), r"([^/]*)$", 1)
+    """Year in the name of a raster file. A raster written by Spark is a folder of part files, so
+    a part file takes its folder's name."""
+    name = F.regexp_extract(as_col(path), r"([^/]*)(?:/part-[^/]*)?$", 1)
     return F.regexp_extract(name, r"((?:19|20)\d{2})", 1).try_cast("int")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geom import boxes_overlap, ring_meets_box
+from ..functions.geom import boxes_overlap, footprint_meets_box
 from ..functions.grid import (
     MAX_ZOOM,
     MIN_ZOOM,
@@ -20,7 +20,7 @@ from ..functions.grid import (
     z_index,
 )
 from ..functions._col import pow2
-from ..plans.joins import box_join
+from ..plans.joins import box_join, fan_out
 
 STORAGE_LEVELS = list(range(MIN_ZOOM, MAX_ZOOM + 1))
 BOX = ["xmin", "ymin", "xmax", "ymax"]
@@ -54,10 +54,10 @@ def scene_tile_cover(scenes: DataFrame, levels: list[int] | None = None, grid_ma
 
     grid_mask (zoom, tile_x, tile_y) limits the cover to known grid cells.
     """
-    cover = tiles_in_bbox(scenes, levels or STORAGE_LEVELS)
+    cover = tiles_in_bbox(fan_out(scenes, "ingest_id"), levels or STORAGE_LEVELS)
     if "ring" in scenes.columns:
         tile = tile_bbox(F.col("zoom"), F.col("tile_x"), F.col("tile_y"))
-        cover = cover.filter(F.col("ring").isNull() | ring_meets_box("ring", tile)).drop("ring")
+        cover = cover.filter(footprint_meets_box("ring", {k: F.col(k) for k in BOX}, tile)).drop("ring")
     if grid_mask is not None:
         cover = cover.join(grid_mask.select("zoom", "tile_x", "tile_y").distinct(), ["zoom", "tile_x", "tile_y"], "left_semi")
     return cover.drop(*BOX)
@@ -80,10 +80,8 @@ def tile_refs_of(cover: DataFrame, sensor: str | Column = "sensor") -> DataFrame
 def scene_aoi_filter(pairs: DataFrame) -> DataFrame:
     """Scene footprint (ring if present, else box) against the AOI's envelope b_xmin..b_ymax."""
     box = {k: F.col(f"b_{k}") for k in BOX}
-    meets = boxes_overlap({k: F.col(k) for k in BOX}, box)
-    if "ring" in pairs.columns:
-        meets = meets & (F.col("ring").isNull() | ring_meets_box("ring", box))
-    return pairs.filter(meets)
+    own = {k: F.col(k) for k in BOX}
+    return pairs.filter(footprint_meets_box("ring", own, box) if "ring" in pairs.columns else boxes_overlap(own, box))
 
 
 def aoi_scenes(aois: DataFrame, scenes: DataFrame, start=None, end=None, dataset_id: int | None = None) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions._col import as_col, intdiv
 from ..functions.bands import to_cell_type
 from ..functions.grid import cell_x, cell_y
-from ..schema import CELL_KEY
 
 
 @dataclass(frozen=True)
@@ -150,7 +149,8 @@ def stitch(tiles: DataFrame) -> DataFrame:
 
 
 def transpose(cells: DataFrame) -> DataFrame:
-    return cells.withColumnsRenamed({"col": "row", "row": "col"}).select(cells.columns)
+    swap = {"col": "row", "row": "col"}
+    return cells.select(*[F.col(swap.get(c, c)).alias(c) for c in cells.columns])
 
 
 def strips(cells: DataFrame, along: str = "row", segment: int = 4096) -> DataFrame:
@@ -245,7 +245,3 @@ def union_layers(*layers: DataFrame) -> DataFrame:
     for other in layers[1:]:
         out = out.unionByName(other)
     return out
-
-
-def cell_key() -> list[str]:
-    return list(CELL_KEY)

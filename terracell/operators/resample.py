@@ -31,6 +31,10 @@ from ..functions.kernels import SUPPORT, kernel_weight
 from .layout import Grid
 
 
+#: where the weights left after dropping missing neighbours cancel to less than this, there is no value
+MIN_WEIGHT = 1e-6
+
+
 @dataclass(frozen=True)
 class Axis:
     """One target axis: number of cells, index -> source coordinate, coordinate -> fractional index."""
@@ -84,7 +88,8 @@ def _near(df: DataFrame, position: str, index: str, method: str, weight: str) ->
 
 def _gather(parts: DataFrame, keys: list[str]) -> DataFrame:
     summed = parts.groupBy(*keys).agg(F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_w"))
-    return summed.withColumn("value", F.when(F.col("_w") != 0, F.col("_s") / F.col("_w"))).drop("_s", "_w")
+    enough = F.abs("_w") > MIN_WEIGHT
+    return summed.withColumn("value", F.when(enough, F.col("_s") / F.col("_w"))).drop("_s", "_w")
 
 
 def resample(

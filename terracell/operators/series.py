@@ -16,6 +16,10 @@ from ..plans.joins import skew_join, summary_join
 
 SERIES_KEY = ["layer", "col", "row", "band"]
 
+#: errors this close to the least, relative to it or (tighter) to the series' own sum of squares, count
+#: as tied: the last bits of a sum are noise
+TIE, TIE_OF_ENERGY = 1e-9, 1e-15
+
 #: (window, degree) choices that smooth; window = degree + 1 interpolates and is left out
 SAVGOL_CHOICES = [(4, 2), (5, 2), (5, 3)]
 
@@ -69,10 +73,11 @@ def savgol_auto(cells: DataFrame, choices: list[tuple[int, int]] | None = None)
             for i in range(len(choices))
         }
     )
+    errors = errors.withColumn("_energy", F.sum(F.col("value") * F.col("value")).over(whole))
     least = F.least(*[F.col(f"_e{i}") for i in range(len(choices))])
     pick, w_pick, p_pick = F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("int")
     for i in reversed(range(len(choices))):
-        hit = F.col(f"_e{i}") == least
+        hit = F.col(f"_e{i}") <= least * (1.0 + TIE) + F.col("_energy") * TIE_OF_ENERGY
         pick = F.when(hit, F.col(f"_f{i}")).otherwise(pick)
         w_pick = F.when(hit, F.lit(choices[i][0])).otherwise(w_pick)
         p_pick = F.when(hit, F.lit(choices[i][1])).otherwise(p_pick)

@@ -20,6 +20,21 @@ ROWS_PER_TASK = 2_000_000
 FALLBACK_SALTS = 32
 
 
+def task_count(df: DataFrame) -> int:
+    """Partitions for rows that are about to be multiplied: at least two per core."""
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread few compact rows evenly before each becomes hundreds.
+
+    A fixed partition number, since sizes measured before the expansion say nothing about the
+    work after it.
+    """
+    return df.repartition(task_count(df), *keys)
+
+
 def summary_join(
     big: DataFrame, summary: DataFrame, on: list[str], how: str = "inner", max_rows: int = SUMMARY_ROWS
 ) -> DataFrame:
@@ -44,13 +59,15 @@ def skew_join(
     spread_by: list[str],
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
+    multiplies: bool = False,
 ) -> DataFrame:
     """Equi-join where a few keys of `big` may hold a large share of its rows.
 
     Keys above rows_per_task are found with one partially aggregated count. There are at most
     rows(big) / rows_per_task of them, so that list is broadcast. Only rows of those keys are
     spread, by a hash of `spread_by`; matching rows of `other` are copied once per part.
-    `how` is inner, left or left_semi: `other` may be copied, `big` never is.
+    `how` is inner, left or left_semi: `other` may be copied, `big` never is. multiplies says that rows meet
+    many others; the partition number is then fixed instead of following the input size.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how}")
@@ -71,7 +88,10 @@ def skew_join(
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
-    return left.join(right, [*on, "_part"], how).drop("_part")
+    keys = [*on, "_part"]
+    if multiplies:
+        left, right = fan_out(left, *keys), fan_out(right, *keys)
+    return left.join(right, keys, how).drop("_part")
 
 
 def bucket_range(low: Column, high: Column, size: float) -> Column:
@@ -101,7 +121,7 @@ def box_join(
         ).withColumn("_by", F.explode(bucket_range(F.col(f"{p}ymin"), F.col(f"{p}ymax"), bucket)))
 
     joined = skew_join(
-        spread(big, ""), spread(other, "b_"), [*on, "_bx", "_by"], spread_by, "inner", rows_per_task
+        spread(big, ""), spread(other, "b_"), [*on, "_bx", "_by"], spread_by, "inner", rows_per_task, multiplies=True
     )
     first_x = F.floor(F.greatest("xmin", "b_xmin") / bucket).cast("int")
     first_y = F.floor(F.greatest("ymin", "b_ymin") / bucket).cast("int")

@@ -14,7 +14,7 @@ from .registry import check
 
 
 def _byte(v: str, low: str = "0e0", high: str = "1e0") -> str:
-    return f"cast(coalesce(greatest(0, least(255, floor(255e0 * ({v} - {low}) / ({high} - {low})))), 0) as integer)"
+    return f"cast(case when ({v}) is null then 0 else greatest(0, least(255, floor(255e0 * (({v}) - {low}) / ({high} - {low})))) end as integer)"
 
 
 _A = "case when r + g + b > 0 then 255 else 0 end as a"
@@ -46,13 +46,13 @@ _RAMP = ["#" + "".join(f"{v:02x}" for v in stop) for stop in _STOPS]
 def _mix(k: int) -> str:
     stops = "[" + ", ".join(str(s[k]) for s in _STOPS) + "]"
     start, end = f"{stops}[ix + 1]", f"{stops}[least(ix + 2, 5)]"
-    return f"case when ix between 0 and 4 then cast(floor({end} * (at - ix) + {start} * (1 - (at - ix)) + 0.5e0) as integer) else 0 end"
+    return f"case when ix between 0 and 4 then cast(floor({end} * (p - ix) + {start} * (1 - (p - ix)) + 0.5e0) as integer) else 0 end"
 
 
 @check(
     "color_ramp",
     f"""select time_index, col, row, band, {_mix(0)} as r, {_mix(1)} as g, {_mix(2)} as b, {_mix(3)} as a from
-        (select *, cast(floor(at) as integer) as ix from (select *, (value - 8) / 120e0 * 4 as at from {{{{cells}}}}))""",
+        (select *, cast(floor(p) as integer) as ix from (select *, (value - 8) / 120e0 * 4 as p from {{{{cells}}}}))""",
 )
 def color_ramp(fx):
     return render.color_layer(fx.cells, 8.0, 128.0, _RAMP).drop("layer", "value")
@@ -72,7 +72,7 @@ def class_breaks(fx):
 
 @check(
     "tile_render_query",
-    f"""select request_id, count(*) as pixels, cast(sum(r) as bigint) as r, cast(sum(g) as bigint) as g, cast(sum(b) as bigint) as b, cast(sum(a) as bigint) as a from (
+    f"""select request_id, count(*) filter (a > 0) as pixels, cast(sum(r) as bigint) as r, cast(sum(g) as bigint) as g, cast(sum(b) as bigint) as b, cast(sum(a) as bigint) as a from (
         select *, {_A} from (
           select request_id, {_byte("case when inside then b1 * 0.0078125e0 end")} as r, {_byte("case when inside then b4 * 0.0078125e0 end")} as g,
                  {_byte("case when inside then b5 * 0.0078125e0 end")} as b from (
@@ -84,7 +84,7 @@ def class_breaks(fx):
                          degrees(atan(sinh(pi() * (1 - 2 * y / pow(2, z))))) as n, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2, z))))) as s
                   from {_REQUESTS}) r join {{{{aois}}}} a on a.aoi_id = r.request_id
                 unnest_here) p) q
-            semi_here) o) t) u group by 1""".replace(
+            semi_here) o) t) u group by 1 having count(*) filter (a > 0) > 0""".replace(
         "unnest_here", ", unnest(generate_series(0, 15)) gi(ci), unnest(generate_series(0, 15)) gj(cj) where w <= xmax and e >= xmin and s <= ymax and n >= ymin"
     ).replace(
         "semi_here",
@@ -101,7 +101,6 @@ def tile_render_query(fx):
     out = render.tile_render_query(
         asked, slippy_tiles(fx), fx.aois, [1, 4, 5], 5, scale=0.0078125, size=16, levels=(9, 10)
     )
-    # stored pixels without any value are transparent; the SQL side has only pixels that hold one
-    return out.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("pixels"), *[F.sum(c).alias(c) for c in "rgba"]
+    return (
+        out.filter("a > 0").groupBy("request_id").agg(F.count(F.lit(1)).alias("pixels"), *[F.sum(c).alias(c) for c in "rgba"])
     )

@@ -65,7 +65,7 @@ def scan_year_bands(fx):
     return rasters.scan_year_bands(fx.cells, steps=3).drop("layer")
 
 
-@check("scan_dated_scene", "select 913543204 :: bigint as time_index, col, row, band, value from {{cells}}")
+@check("scan_dated_scene", "select 913523404 :: bigint as time_index, col, row, band, value from {{cells}}")
 def scan_dated_scene(fx):
     return layout.tiles_to_cells(rasters.scan_dated_scene(fx.tiles, "2018-12-13T04:30:04Z")).drop("layer")
 
@@ -171,8 +171,8 @@ def stitch_export(fx):
 def write_tile_catalog(fx):
     path = fx.scratch("tile_refs")
     keys = ["dataset_id", "zoom_level", "spatial_index_x", "spatial_index_y", "time_index"]
-    # scenes of one dataset and day share tiles, and the natural key keeps one; ingest_id is part of these
-    refs = fx.tile_refs.withColumn("time_index", F.col("time_index") * 1000000 + F.col("ingest_id"))
+    # scenes of one dataset and day share tile keys, so each scene is taken as its own dataset here
+    refs = fx.tile_refs.withColumn("dataset_id", F.col("ingest_id"))
     half = F.col("ingest_id") % 2 == 0
     catalog.write_tile_catalog(refs.filter(half), path)
     catalog.write_tile_catalog(refs, path)  # the first half again: adds only what is missing
@@ -225,8 +225,8 @@ def stream_scene_ingest(fx):
     ymin = 35.75 - F.col("event_id") / 8192
     scenes = arriving.select(
         F.col("event_id").alias("ingest_id"),
-        F.lit(1).cast("bigint").alias("dataset_id"),
-        (ts_to_time_index("ts") * 1000000 + F.col("event_id")).alias("time_index"),
+        F.col("event_id").alias("dataset_id"),
+        ts_to_time_index("ts").alias("time_index"),
         F.col("ts").cast("timestamp").alias("ts"),
         xmin.alias("xmin"),
         ymin.alias("ymin"),

@@ -58,4 +58,6 @@ def class_break(index, low, high, steps) -> Column:
 def to_byte(value, vmin=0.0, vmax=1.0) -> Column:
     """Scale vmin..vmax to 0..255, cut to int and clamp; null is 0."""
     scaled = F.floor(255.0 * (as_col(value) - as_col(vmin)) / (as_col(vmax) - as_col(vmin)))
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(255), scaled)), F.lit(0)).cast("int")
+    # least and greatest pass over nulls, so null is asked for first
+    clamped = F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(255).cast("bigint"), scaled))
+    return F.when(scaled.isNull(), F.lit(0)).otherwise(clamped.cast("int"))

@@ -38,10 +38,11 @@ def z_parts(time_index, y, x) -> tuple[Column, Column]:
 
 
 def z_index(time_index, y, x) -> Column:
-    """The Z-order key as decimal(38,0)."""
+    """The Z-order key as decimal(38,0); null where an argument does not fit its bits."""
     high, low = z_parts(time_index, y, x)
-    scaled = high.cast("decimal(18,0)") * F.lit("9223372036854775808").cast("decimal(19,0)")
-    return (scaled + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+    scaled = high.cast("decimal(19,0)") * F.lit("9223372036854775808").cast("decimal(19,0)")
+    fits = long_col(time_index).between(0, (1 << 42) - 1) & long_col(y).between(0, (1 << 21) - 1) & long_col(x).between(0, (1 << 21) - 1)
+    return F.when(fits, (scaled + low.cast("decimal(19,0)")).cast("decimal(38,0)"))
 
 
 def tile_lon(x, z) -> Column:
@@ -192,7 +193,8 @@ def cell_y(row, y0: float, dy: float) -> Column:
 
 def clamp_zoom(z, low: int = MIN_ZOOM, high: int = MAX_ZOOM) -> Column:
     """Display zoom to storage level."""
-    return F.greatest(F.least(as_col(z).cast("int"), F.lit(high)), F.lit(low))
+    z = as_col(z).cast("int")
+    return F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(high)), F.lit(low)))
 
 
 def parse_tile_id(text) -> Column:

@@ -31,8 +31,9 @@ from ..functions.kernels import SUPPORT, kernel_weight
 from .layout import Grid
 
 
-#: where the weights left after dropping missing neighbours cancel to less than this, there is no value
-MIN_WEIGHT = 1e-6
+#: where the weights left after dropping missing neighbours cancel to less than this share of their size,
+#: dividing by them would only blow up noise, and the cell gets no value
+MIN_SHARE = 0.1
 
 
 @dataclass(frozen=True)
@@ -87,9 +88,11 @@ def _near(df: DataFrame, position: str, index: str, method: str, weight: str) ->
 
 
 def _gather(parts: DataFrame, keys: list[str]) -> DataFrame:
-    summed = parts.groupBy(*keys).agg(F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_w"))
-    enough = F.abs("_w") > MIN_WEIGHT
-    return summed.withColumn("value", F.when(enough, F.col("_s") / F.col("_w"))).drop("_s", "_w")
+    summed = parts.groupBy(*keys).agg(
+        F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_w"), F.sum(F.abs("w")).alias("_size")
+    )
+    enough = F.abs("_w") > F.col("_size") * MIN_SHARE
+    return summed.withColumn("value", F.when(enough, F.col("_s") / F.col("_w"))).drop("_s", "_w", "_size")
 
 
 def resample(

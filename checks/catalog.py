@@ -189,17 +189,16 @@ def aoi_tile_refs(fx):
 
 @check(
     "tile_point_lookup",
-    """select distinct v.dataset_id, v.zoom as zoom_level, v.tile_x, v.tile_y, v.time_index,
-              'S' || v.dataset_id || '/' || v.zoom || '/' || v.tile_x || '/' || v.tile_y || '/' || v.time_index || '.tif' as file_path
+    """select distinct v.dataset_id, v.tile_x, v.tile_y, v.time_index,
+              'S' || v.dataset_id || '/10/' || v.tile_x || '/' || v.tile_y || '/' || v.time_index || '.tif' as file_path
        from {{cover}} v join (select cast(floor((lon + 180) / 360 * 1024) as integer) as tile_x,
-            cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 1024) as integer) as tile_y,
-            cast(point_id % 10 as bigint) as dataset_id from {{points}}) p
-       on p.dataset_id = v.dataset_id and v.zoom = 10 and p.tile_x = v.tile_x and p.tile_y = v.tile_y""",
+            cast(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 1024) as integer) as tile_y, s.dataset_id, s.time_index
+            from {{points}} join {{scenes}} s on s.ingest_id = point_id) p
+       on p.dataset_id = v.dataset_id and v.zoom = 10 and p.tile_x = v.tile_x and p.tile_y = v.tile_y and p.time_index = v.time_index""",
 )
 def tile_point_lookup(fx):
-    at = fx.points.select((F.col("point_id") % 10).alias("dataset_id"), grid.point_to_tile("lon", "lat", F.lit(10)).alias("t")).distinct()
-    times = catalog.time_indexes(fx.scenes)
-    wanted = at.join(times, "dataset_id").select(
+    at = fx.points.select(F.col("point_id").alias("ingest_id"), grid.point_to_tile("lon", "lat", F.lit(10)).alias("t"))
+    wanted = at.join(fx.scenes, "ingest_id").select(
         "dataset_id",
         F.lit(10).alias("zoom_level"),
         grid.z_index("time_index", F.col("t.tile_y"), F.col("t.tile_x")).alias("z_index"),
@@ -207,7 +206,7 @@ def tile_point_lookup(fx):
     hits = catalog.tile_point_lookup(fx.tile_refs, wanted)
     parts = F.split(F.regexp_replace("file_path", r"\.tif$", ""), "/")
     return hits.select(
-        "dataset_id", "zoom_level", parts[2].cast("int").alias("tile_x"), parts[3].cast("int").alias("tile_y"),
+        "dataset_id", parts[2].cast("int").alias("tile_x"), parts[3].cast("int").alias("tile_y"),
         parts[4].cast("bigint").alias("time_index"), "file_path",
     )
 

@@ -18,8 +18,8 @@ def _channel(colour: Column, start: int) -> Column:
 def color_ramp(value, low, high, ramp=None) -> Column:
     """RGBA by linear interpolation over evenly spaced stops between low and high.
 
-    `ramp` is a list of #rrggbbaa stops or an array<string> column. Null and values outside
-    the range are transparent.
+    `ramp` is a list of #rrggbbaa stops or an array<string> column. Less than one stop's width above
+    the range is the last colour; null and all else outside the range are transparent.
     """
     ramp = GREYSCALE if ramp is None else ramp
     stops = F.array(*[F.lit(c) for c in ramp]) if isinstance(ramp, (list, tuple)) else as_col(ramp)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions._col import as_col, intdiv
 from ..functions.bands import to_cell_type
 from ..functions.grid import cell_x, cell_y
+from ..schema import TILES
 
 
 @dataclass(frozen=True)
@@ -77,49 +78,40 @@ def convert_cell_type(cells: DataFrame, cell_type: str) -> DataFrame:
     return cells.withColumn("value", to_cell_type("value", cell_type))
 
 
-def dense_array(pairs: Column, size: int) -> Column:
-    """Array of `size` values from (place, value) structs; places not listed are null."""
-    every = F.sequence(F.lit(0), F.lit(size - 1))
-    missing = F.array_except(every, F.transform(pairs, lambda p: p["place"]))
-    gaps = F.transform(missing, lambda i: F.struct(i.alias("place"), F.lit(None).cast("double").alias("value")))
-    return F.transform(F.sort_array(F.concat(pairs, gaps)), lambda p: p["value"])
-
-
 def cells_to_tiles(cells: DataFrame, size: int, bands: int, zoom: int = 0) -> DataFrame:
     """Cut cells into size x size tiles of dense row-major arrays, null where no cell is.
 
-    Cells are shuffled once, by tile; both groupings below reuse that partitioning.
+    Cells are shuffled once, by tile, and each tile is filled in one numpy step; a group is at
+    most size * size * bands values. A cell has one value per time and band: mosaic overlapping
+    inputs first.
     """
-    keys = ["layer", "zoom", "tile_x", "tile_y", "time_index"]
-    place = (F.pmod("row", F.lit(size)) * size + F.pmod("col", F.lit(size))).cast("int")
-    tagged = cells.filter(F.col("value").isNotNull()).select(
+    n = size * size
+    place = F.pmod("row", F.lit(size)) * size + F.pmod("col", F.lit(size))
+    tagged = cells.filter(F.col("value").isNotNull() & F.col("band").between(1, bands)).select(
         "layer",
         F.lit(zoom).alias("zoom"),
         intdiv("col", size).cast("int").alias("tile_x"),
         intdiv("row", size).cast("int").alias("tile_y"),
         "time_index",
-        "band",
-        F.struct(place.alias("place"), "value").alias("pair"),
-    )
-    per_band = (
-        tagged.repartition(*keys)
-        .groupBy(*keys, "band")
-        .agg(F.collect_list("pair").alias("pairs"))
-        .withColumn("data", dense_array(F.col("pairs"), size * size))
-    )
-    empty = F.array_repeat(F.lit(None).cast("double"), size * size)
-    stacked = F.array(
-        *[
-            F.coalesce(F.first(F.when(F.col("band") == b, F.col("data")), ignorenulls=True), empty)
-            for b in range(1, bands + 1)
-        ]
-    )
-    return (
-        per_band.groupBy(*keys)
-        .agg(stacked.alias("bands"))
-        .select(*keys, F.lit(size).alias("cols"), F.lit(size).alias("rows"), "bands")
+        ((F.col("band") - 1) * n + place).cast("int").alias("slot"),
+        F.col("value").cast("double").alias("value"),
     )
 
+    def fill(table):
+        import numpy as np
+        import pyarrow as pa
+
+        values, empty = np.zeros(bands * n), np.ones(bands * n, dtype=bool)
+        slots = table.column("slot").to_numpy()
+        values[slots], empty[slots] = table.column("value").to_numpy(), False
+        arrays = pa.ListArray.from_arrays(np.arange(bands + 1, dtype="int32") * n, pa.array(values, mask=empty))
+        key = table.slice(0, 1).select(["layer", "zoom", "tile_x", "tile_y", "time_index"])
+        shape = pa.array([size], pa.int32())
+        whole = pa.ListArray.from_arrays(np.array([0, bands], dtype="int32"), arrays)
+        return key.append_column("cols", shape).append_column("rows", shape).append_column("bands", whole)
+
+    return tagged.groupBy("layer", "zoom", "tile_x", "tile_y", "time_index").applyInArrow(fill, TILES)
+
 
 def tiles_to_cells(tiles: DataFrame, keep_null: bool = False) -> DataFrame:
     """One row per cell; col and row are global (tile key times tile size plus offset)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracell.operators import algebra, layout
+from terracell.operators import tiles as T
 from terracell.plans.model import process_inputs as bind_inputs
 from terracell.plans.model import run_model as run
 
@@ -159,12 +160,12 @@ def run_model(fx):
                   degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 1024e0)))) as ty0, a.*
            from (select * from {{aois}} where aoi_id = 100) a, unnest(generate_series(700, 720)) gx(x), unnest(generate_series(390, 420)) gy(y))
            where tx0 <= xmax and tx1 >= xmin and ty0 <= ymax and ty1 >= ymin) k
-         on c.col // 16 = tx - 705 and c.row // 16 = ty - 403
+         on c.col // 16 = tx - 705 and c.row // 16 = ty - 402
        where c.time_index in (0, 864000)""",
 )
 def process_inputs(fx):
-    # stored tiles carry slippy keys: the layer's first tile is taken as (705, 403) at zoom 10
-    tiles = fx.tiles.withColumn("zoom", F.lit(10)).withColumn("tile_x", F.col("tile_x") + 705).withColumn("tile_y", F.col("tile_y") + 403)
+    # stored tiles carry slippy keys: the layer's first tile is taken as (705, 402) at zoom 10
+    tiles = fx.tiles.withColumn("zoom", F.lit(10)).withColumn("tile_x", F.col("tile_x") + 705).withColumn("tile_y", F.col("tile_y") + 402)
     tiles = tiles.withColumn("dataset_id", F.lit(7).cast("bigint"))
     refs = tiles.select(
         "dataset_id", F.col("zoom").alias("zoom_level"), "time_index",
@@ -175,5 +176,35 @@ def process_inputs(fx):
     spec = [{"id": "I1", "aoiCode": code, "dsName": names[7], "tIndexes": [0, 864000]}]
     cells = bind_inputs(spec, fx.aois, fx.datasets, refs, tiles, level=10)["I1"]
     return cells.select(
-        "time_index", (F.col("col") - 705 * TILE).alias("col"), (F.col("row") - 403 * TILE).alias("row"), "band", "value"
+        "time_index", (F.col("col") - 705 * TILE).alias("col"), (F.col("row") - 402 * TILE).alias("row"), "band", "value"
     )
+
+
+@check("tile_ndi", f"select {_POS}, {_NDI} as value from {{{{wide}}}}")
+def tile_ndi(fx):
+    tiles = fx.tiles
+    return layout.tiles_to_cells(T.tile_ndi((tiles, 5), (tiles, 4))).select("time_index", "col", "row", "value")
+
+
+@check(
+    "tile_local_avg",
+    f"""select a.time_index, a.col, a.row, (a.b1 + a.b2 + b.b1) / 3e0 as value
+        from {{{{wide}}}} a join {_SHIFTED} b using (time_index, col, row)""",
+)
+def tile_local_avg(fx):
+    tiles = fx.tiles
+    shifted = layout.cells_to_tiles(_shifted(fx), TILE, 2)
+    out = T.tile_local_avg([(tiles, 1), (tiles, 2), (shifted, 1)])
+    return layout.tiles_to_cells(out).select("time_index", "col", "row", "value")
+
+
+@check("tile_min_max", "select layer, band, min(value) as min_value, max(value) as max_value from {{cells}} group by 1, 2")
+def tile_min_max(fx):
+    return T.tile_min_max(fx.tiles)
+
+
+@check("tile_scale_offset", f"select {_POS}, band, value * 0.5e0 + 3 as value from {{{{cells}}}} where band in (2, 5)")
+def tile_scale_offset(fx):
+    out = layout.tiles_to_cells(T.tile_scale_offset(T.tile_select_bands(fx.tiles, [2, 5]), 0.5, 3.0))
+    band = F.when(F.col("band") == 1, 2).otherwise(5)
+    return out.select("time_index", "col", "row", band.alias("band"), "value")

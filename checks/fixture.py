@@ -100,7 +100,7 @@ class Fixture:
     def aois(self) -> DataFrame:
         size = (2 + F.col("c_nationkey") % 8) / 32
         xmin = 68.0 + F.pmod(F.col("c_custkey") * 37, F.lit(56)) / 32
-        ymin = 35.5 - F.col("c_custkey") / 1024
+        ymin = 35.875 - F.col("c_custkey") / 1024
         return (
             self.table("customer")
             .select(

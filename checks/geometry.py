@@ -80,10 +80,10 @@ def clip_to_aoi(fx):
 
 @check(
     "crop_window",
-    f"select time_index, col, row, band, value from {{{{cells}}}} where {_CX} between 68.5e0 and 69.609375e0 and {_CY} between 34.5e0 and 35.75e0",
+    f"select time_index, col, row, band, value from {{{{cells}}}} where {_CX} between 68.5e0 and 69.609375e0 and {_CY} between 34.5e0 and 35.9375e0",
 )
 def crop_window(fx):
-    return layout.crop_window(fx.cells, GRID, 68.5, 34.5, 69.609375, 35.75).select("time_index", "col", "row", "band", "value")
+    return layout.crop_window(fx.cells, GRID, 68.5, 34.5, 69.609375, 35.9375).select("time_index", "col", "row", "band", "value")
 
 
 def _kernel_sql() -> str:

@@ -30,7 +30,7 @@ CTES = {
         select aoi_id, aoi_code, xmin, ymin, xmin + s as xmax, ymin + s as ymax,
                xmin + s / 2 as cx, ymin + s / 2 as cy, s / 2 as h
         from (select c_custkey as aoi_id, c_name as aoi_code, 68e0 + (c_custkey * 37 % 56) / 32e0 as xmin,
-                     35.5e0 - c_custkey / 1024e0 as ymin, (2 + c_nationkey % 8) / 32e0 as s from customer)""",
+                     35.875e0 - c_custkey / 1024e0 as ymin, (2 + c_nationkey % 8) / 32e0 as s from customer)""",
     "points": """
         select event_id as point_id, 68e0 + (event_id * 31 % 2048) / 1024e0 as lon,
                35.9990234375e0 - event_id / 8192e0 as lat, cast(floor(value) as double) as weight from events""",

@@ -20,7 +20,7 @@ from ..functions.grid import (
     z_index,
 )
 from ..functions._col import pow2
-from ..plans.joins import box_join, fan_out
+from ..plans.joins import box_join, fan_out, small_join
 
 STORAGE_LEVELS = list(range(MIN_ZOOM, MAX_ZOOM + 1))
 BOX = ["xmin", "ymin", "xmax", "ymax"]
@@ -115,7 +115,7 @@ def aoi_tile_refs(aois: DataFrame, tile_refs: DataFrame, level: int = MAX_ZOOM,
         F.col("tile_x").alias("spatial_index_x"),
         F.col("tile_y").alias("spatial_index_y"),
     )
-    return cover.join(stored, ["spatial_index_x", "spatial_index_y"])
+    return small_join(stored, cover, ["spatial_index_x", "spatial_index_y"], ["aoi_id"])
 
 
 def with_tiles(cover: DataFrame, tile_refs: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,7 +137,7 @@ def aoi_data(aois: DataFrame, tiles: DataFrame, level: int, times: list[int] | N
     if times is not None:
         stored = stored.filter(F.col("time_index").isin(times))
     cover = tiles_in_bbox(aois.select("aoi_id", *BOX), [level])
-    hits = cover.join(stored.drop("layer"), ["zoom", "tile_x", "tile_y"])
+    hits = small_join(stored.drop("layer"), cover, ["zoom", "tile_x", "tile_y"], ["aoi_id"])
     tile = tile_bbox(F.col("zoom"), F.col("tile_x"), F.col("tile_y"))
     cells = (
         hits.select("aoi_id", *BOX, "zoom", "tile_x", "tile_y", "time_index", "cols", "rows", F.posexplode("bands").alias("b", "data"))

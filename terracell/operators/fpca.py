@@ -93,9 +93,16 @@ def leading_pair(gram: np.ndarray) -> tuple[np.ndarray, float]:
     return (v if v[top] >= 0 else -v), s
 
 
-def fpca_fit(cells: DataFrame, step: str = "time_index", pixel: list[str] | None = None) -> FpcaModel:
-    """Fit the leading pair; N(N+1)/2 numbers reach the driver."""
-    steps = layer_steps(cells, step)
+def fpca_fit(
+    cells: DataFrame, step: str = "time_index", pixel: list[str] | None = None, steps: list[int] | None = None
+) -> FpcaModel:
+    """Fit the leading pair; N(N+1)/2 numbers reach the driver.
+
+    Steps known from the catalog (at most MAX_STEPS) spare the scan that looks for them.
+    """
+    steps = sorted(steps) if steps is not None else layer_steps(cells, step)
+    if len(steps) > MAX_STEPS:
+        raise ValueError(f"more than {MAX_STEPS} time steps")
     gram = np.zeros((len(steps), len(steps)))
     for r in fpca_gram(cells, step, steps, pixel).collect():
         gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["g"]

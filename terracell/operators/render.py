@@ -9,6 +9,7 @@ from ..functions.bands import scale_offset
 from ..functions.colour import color_ramp, to_byte
 from ..functions.geom import boxes_overlap, point_in_ring
 from ..functions.grid import MAX_ZOOM, MIN_ZOOM, clamp_zoom, lat_to_tile_y, lon_to_tile_x, tile_bbox
+from ..plans.joins import small_join
 from .layout import cells_to_wide
 
 DEFAULT_BANDS = [2, 3, 4]
@@ -65,7 +66,8 @@ def tile_render_query(
     slippy tiles. A request outside its AOI's envelope yields nothing. Output pixels are
     (request_id, col, row); null or masked pixels are transparent.
 
-    Each request meets the stored tiles under it in one equi-join on the tile key, and every
+    Each request meets the stored tiles under it in one equi-join on the tile key (the stored arrays
+    are not shuffled while the counted requests fit a broadcast), and every
     output pixel takes the nearest stored cell of the one tile its centre falls in.
     """
     red, green, blue = composite_bands(bands, no_of_bands)
@@ -104,7 +106,8 @@ def tile_render_query(
         "rows",
         *[F.get("bands", F.lit(n - 1)).alias(f"_d{k}") for k, n in zip("rgb", (red, green, blue))],
     )
-    hits = covered.join(stored, ["zoom", "tile_x", "tile_y", "time_index"]).withColumn(
+    keys = ["zoom", "tile_x", "tile_y", "time_index"]
+    hits = small_join(stored, covered, keys, ["request_id"]).withColumn(
         "_t", tile_bbox(F.col("zoom"), F.col("tile_x"), F.col("tile_y"))
     )
 

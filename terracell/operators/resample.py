@@ -28,6 +28,7 @@ from ..functions.grid import (
     tile_bbox,
 )
 from ..functions.kernels import SUPPORT, kernel_weight
+from ..plans.joins import small_join
 from .layout import Grid
 
 
@@ -186,7 +187,7 @@ def overzoom(requests: DataFrame, tile_cells: DataFrame, max_zoom: int = MAX_ZOO
         (F.col("_a.off_x") * size).alias("_ox"),
         (F.col("_a.off_y") * size).alias("_oy"),
     )
-    hits = keyed.join(tile_cells, ["zoom", "tile_x", "tile_y"])
+    hits = small_join(tile_cells, keyed, ["zoom", "tile_x", "tile_y"], ["request_id"])
     n = pow2("_dz")
 
     def targets(cell: str, origin: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import stretch
 from ..functions.kernels import savgol_weights
 from ..functions.timeindex import DAY, STEP_DAYS, STEPS_PER_YEAR, slot_before
-from ..plans.joins import skew_join, summary_join
+from ..plans.joins import small_join, summary_join
 
 SERIES_KEY = ["layer", "col", "row", "band"]
 
@@ -151,4 +151,4 @@ def pixel_drill(points: DataFrame, cells: DataFrame, grid, start=None, end=None,
     )
     ranged = time_range(cells, start, end)
     value = F.coalesce(F.nanvl("value", F.lit(fill)), F.lit(fill))
-    return skew_join(located, ranged, ["col", "row"], ["point_id"]).withColumn("value", value)
+    return small_join(ranged, located, ["col", "row"], ["point_id"]).withColumn("value", value)

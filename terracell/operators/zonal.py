@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions._col import intdiv
 from ..functions.geom import _edges
-from ..plans.joins import skew_join
+from ..plans.joins import small_join
 from .layout import Grid
 
 BLOCK = 256
@@ -78,14 +78,14 @@ def rasterize_polygon(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", cols:
 def zonal_cells(cells: DataFrame, aois: DataFrame, grid: Grid, id_col: str = "aoi_id") -> DataFrame:
     """Cells inside each polygon, tagged with its id.
 
-    Where very many polygons share a block, their spans are spread and only that block's cells
-    copied.
+    Counted spans that fit are broadcast and the cells stay where they are. Otherwise, where very
+    many polygons share a block, their spans are spread and only that block's cells copied.
     """
     spans = polygon_spans(aois, grid, id_col)
     first, last = intdiv("c0", BLOCK).cast("int"), intdiv("c1", BLOCK).cast("int")
     blocked = spans.withColumn("_block", F.explode(F.sequence(first, last)))
     keyed = cells.withColumn("_block", intdiv("col", BLOCK).cast("int"))
-    joined = skew_join(blocked, keyed, ["row", "_block"], [id_col, "c0"])
+    joined = small_join(keyed, blocked, ["row", "_block"], [id_col, "c0"])
     return joined.filter(F.col("col").between(F.col("c0"), F.col("c1"))).select(id_col, *cells.columns)
 
 
@@ -130,9 +130,9 @@ def clip_to_aoi(cells: DataFrame, aois: DataFrame, grid: Grid, id_col: str = "ao
     """
     mask = polygon_mask(aois, grid, id_col)
     bit = F.getbit(F.coalesce("_mask", F.lit(0).cast("bigint")), F.pmod("col", F.lit(MASK_BITS)))
+    keyed = cells.withColumn("_block", intdiv("col", MASK_BITS).cast("int"))
     return (
-        cells.withColumn("_block", intdiv("col", MASK_BITS).cast("int"))
-        .join(mask, ["row", "_block"], "left")
+        small_join(keyed, mask, ["row", "_block"], ["row"], "left")
         .withColumn("value", F.when(bit == 1, F.col("value")))
         .select(*cells.columns)
     )

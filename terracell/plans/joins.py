@@ -52,6 +52,27 @@ def summary_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def small_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    spread_by: list[str],
+    how: str = "inner",
+    max_rows: int = SUMMARY_ROWS,
+) -> DataFrame:
+    """Equi-join of stored data with a side that is usually small (spans, points, requests).
+
+    The side is computed once and counted. Up to max_rows it is broadcast, so the stored data is
+    never shuffled for it; beyond that the join is a shuffled one that spreads the side's hot keys.
+    """
+    small = cut(small)
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    if how == "inner":
+        return skew_join(small, big, on, spread_by)
+    return big.join(small, on, how)
+
+
 def skew_join(
     big: DataFrame,
     other: DataFrame,
@@ -106,12 +127,14 @@ def box_join(
     on: list[str] | None = None,
     bucket: float = 0.5,
     rows_per_task: int = ROWS_PER_TASK,
+    max_rows: int = SUMMARY_ROWS,
 ) -> DataFrame:
     """All pairs whose boxes meet (closed), as an equi-join on grid buckets.
 
     `big` has columns xmin..ymax, `other` has b_xmin..b_ymax; further columns must not clash
     except those in `on`. A pair sharing several buckets is kept in one only: the bucket
-    holding the lower left corner of the overlap, so no distinct is needed afterwards.
+    holding the lower left corner of the overlap, so no distinct is needed afterwards. `other` is
+    broadcast when its counted bucket rows allow it; if not, hot buckets of `big` are spread.
     """
     on = list(on or [])
 
@@ -120,9 +143,12 @@ def box_join(
             "_bx", F.explode(bucket_range(F.col(f"{p}xmin"), F.col(f"{p}xmax"), bucket))
         ).withColumn("_by", F.explode(bucket_range(F.col(f"{p}ymin"), F.col(f"{p}ymax"), bucket)))
 
-    joined = skew_join(
-        spread(big, ""), spread(other, "b_"), [*on, "_bx", "_by"], spread_by, "inner", rows_per_task, multiplies=True
-    )
+    keys = [*on, "_bx", "_by"]
+    boxes = cut(spread(other, "b_"))
+    if boxes.count() <= max_rows:
+        joined = spread(fan_out(big, *spread_by), "").join(F.broadcast(boxes), keys)
+    else:
+        joined = skew_join(spread(big, ""), boxes, keys, spread_by, "inner", rows_per_task, multiplies=True)
     first_x = F.floor(F.greatest("xmin", "b_xmin") / bucket).cast("int")
     first_y = F.floor(F.greatest("ymin", "b_ymin") / bucket).cast("int")
     meets = (

@@ -10,6 +10,7 @@ from ..operators.cover import aoi_tile_refs
 from ..operators.layout import select_bands
 from ..operators.series import savgol
 from ..functions.grid import MAX_ZOOM
+from .joins import small_join
 
 #: names under which each operation may be asked for
 ALIASES = {
@@ -103,5 +104,6 @@ def process_inputs(
         if spec.get("tIndexes") is not None:
             stored = stored.filter(F.col("time_index").isin(spec["tIndexes"]))
         join_on = [c for c in keys.columns if c in tiles.columns]
-        out[spec["id"]] = tiles_to_cells(stored.join(keys, join_on, "left_semi"))
+        wanted = keys.select(*join_on).distinct()
+        out[spec["id"]] = tiles_to_cells(small_join(stored, wanted, join_on, join_on, "left_semi"))
     return out

@@ -38,7 +38,9 @@ def boxes_overlap(a: dict | Column, b: dict | Column) -> Column:
     )
 
 
-def _edges(ring: Column) -> Column:
+def edges_of(ring) -> Column:
+    """Edges of a closed ring as array<struct<x1,y1,x2,y2>>; null for a null ring."""
+    ring = as_col(ring)
     n = F.size(ring) - 1
     return F.zip_with(
         F.slice(ring, F.lit(1), n),
@@ -51,19 +53,27 @@ def _edges(ring: Column) -> Column:
 
 def point_in_ring(x, y, ring) -> Column:
     """Even-odd rule on half-open edges."""
+    return point_in_edges(x, y, edges_of(ring))
+
+
+def point_in_edges(x, y, edges) -> Column:
     x, y = as_col(x), as_col(y)
 
     def crosses(e):
         at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
         return ((e["y1"] > y) != (e["y2"] > y)) & (x < at)
 
-    hits = F.size(F.filter(_edges(as_col(ring)), crosses))
+    hits = F.size(F.filter(as_col(edges), crosses))
     return hits % 2 == 1
 
 
 def ring_meets_box(ring, box: Column | dict) -> Column:
     """Closed polygon against closed box: an edge meets the box, or the box lies inside."""
-    ring = as_col(ring)
+    return edges_meet_box(edges_of(ring), box)
+
+
+def edges_meet_box(edges, box: Column | dict) -> Column:
+    edges = as_col(edges)
     xmin, ymin, xmax, ymax = (as_col(box[k]) for k in ("xmin", "ymin", "xmax", "ymax"))
     # a one-element array, so that the box is computed once and not once per edge
     frame = F.struct(
@@ -89,15 +99,15 @@ def ring_meets_box(ring, box: Column | dict) -> Column:
 
     return F.exists(
         F.array(frame),
-        lambda f: F.exists(_edges(ring), lambda e: edge_meets(e, f)) | point_in_ring(f["cx"], f["cy"], ring),
+        lambda f: F.exists(edges, lambda e: edge_meets(e, f)) | point_in_edges(f["cx"], f["cy"], edges),
     )
 
 
-def footprint_meets_box(ring, own_box: dict, box: Column | dict) -> Column:
-    """Envelope test, then the exact test where a ring is given. CASE keeps that order, whatever
+def footprint_meets_box(edges, own_box: dict, box: Column | dict) -> Column:
+    """Envelope test, then the exact test where edges are given. CASE keeps that order, whatever
     join or filter the condition ends up in."""
-    ring = as_col(ring)
-    exact = F.when(ring.isNull(), F.lit(True)).otherwise(ring_meets_box(ring, box))
+    edges = as_col(edges)
+    exact = F.when(edges.isNull(), F.lit(True)).otherwise(edges_meet_box(edges, box))
     return F.when(boxes_overlap(own_box, box), exact).otherwise(F.lit(False))
 
 

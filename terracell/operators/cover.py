@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geom import boxes_overlap, footprint_meets_box
+from ..functions.geom import boxes_overlap, edges_of, footprint_meets_box
 from ..functions.grid import (
     MAX_ZOOM,
     MIN_ZOOM,
@@ -54,10 +54,13 @@ def scene_tile_cover(scenes: DataFrame, levels: list[int] | None = None, grid_ma
 
     grid_mask (zoom, tile_x, tile_y) limits the cover to known grid cells.
     """
+    exact = "ring" in scenes.columns
+    if exact:  # edges are laid out once per scene, not once per candidate tile
+        scenes = scenes.withColumn("_edges", edges_of("ring")).drop("ring")
     cover = tiles_in_bbox(fan_out(scenes, "ingest_id"), levels or STORAGE_LEVELS)
-    if "ring" in scenes.columns:
+    if exact:
         tile = tile_bbox(F.col("zoom"), F.col("tile_x"), F.col("tile_y"))
-        cover = cover.filter(footprint_meets_box("ring", {k: F.col(k) for k in BOX}, tile)).drop("ring")
+        cover = cover.filter(footprint_meets_box("_edges", {k: F.col(k) for k in BOX}, tile)).drop("_edges")
     if grid_mask is not None:
         cover = cover.join(grid_mask.select("zoom", "tile_x", "tile_y").distinct(), ["zoom", "tile_x", "tile_y"], "left_semi")
     return cover.drop(*BOX)
@@ -78,10 +81,10 @@ def tile_refs_of(cover: DataFrame, sensor: str | Column = "sensor") -> DataFrame
 
 
 def scene_aoi_filter(pairs: DataFrame) -> DataFrame:
-    """Scene footprint (ring if present, else box) against the AOI's envelope b_xmin..b_ymax."""
+    """Scene footprint (its edges if present, else its box) against the AOI's envelope b_xmin..b_ymax."""
     box = {k: F.col(f"b_{k}") for k in BOX}
     own = {k: F.col(k) for k in BOX}
-    return pairs.filter(footprint_meets_box("ring", own, box) if "ring" in pairs.columns else boxes_overlap(own, box))
+    return pairs.filter(footprint_meets_box("_edges", own, box) if "_edges" in pairs.columns else boxes_overlap(own, box))
 
 
 def aoi_scenes(aois: DataFrame, scenes: DataFrame, start=None, end=None, dataset_id: int | None = None) -> DataFrame:
@@ -95,8 +98,9 @@ def aoi_scenes(aois: DataFrame, scenes: DataFrame, start=None, end=None, dataset
     if dataset_id is not None:
         wanted = wanted.filter(F.col("dataset_id") == dataset_id)
     areas = aois.select("aoi_id", *[F.col(k).alias(f"b_{k}") for k in BOX])
-    keep = ["ingest_id", "dataset_id", "time_index", *BOX] + (["ring"] if "ring" in scenes.columns else [])
-    pairs = box_join(wanted.select(*keep), areas, ["ingest_id"])
+    keep = ["ingest_id", "dataset_id", "time_index", *BOX]
+    edges = [edges_of("ring").alias("_edges")] if "ring" in scenes.columns else []
+    pairs = box_join(wanted.select(*keep, *edges), areas, ["ingest_id"])
     return scene_aoi_filter(pairs).select("aoi_id", "ingest_id", "dataset_id", "time_index")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._col import intdiv
-from ..functions.geom import _edges
+from ..functions.geom import edges_of
 from ..plans.joins import small_join
 from .layout import Grid
 
@@ -32,7 +32,7 @@ def polygon_spans(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", cols: int
 
     aois has an id and a closed `ring`. Spans are cut to the raster when its size is given.
     """
-    edges = aois.select(id_col, F.explode(_edges(F.col("ring"))).alias("e")).select(
+    edges = aois.select(id_col, F.explode(edges_of("ring")).alias("e")).select(
         id_col, "e.x1", "e.y1", "e.x2", "e.y2"
     )
     top = F.floor((F.lit(grid.y0) - F.greatest("y1", "y2")) / grid.dy - 0.5).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions._col import as_col
+from ..functions._col import as_col, intdiv
 from ..functions.geom import boxes_overlap
 from ..operators.series import time_range
 from ..schema import BAND_META
@@ -122,9 +122,12 @@ def write_tile_catalog(tile_refs: DataFrame, path: str) -> None:
     rows = tile_refs.withColumn("tile_id", F.xxhash64(*key))
     if _exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(*key), key, "left_anti")
+    blocks = {"_bx": intdiv("spatial_index_x", 64), "_by": intdiv("spatial_index_y", 64)}
     (
-        rows.repartitionByRange("dataset_id", "zoom_level", "z_index")
+        rows.withColumns(blocks)
+        .hint("rebalance", *[F.col(c) for c in ("dataset_id", "zoom_level", "_bx", "_by")])
         .sortWithinPartitions("dataset_id", "zoom_level", "z_index")
+        .drop(*blocks)
         .write.mode("append")
         .parquet(path)
     )

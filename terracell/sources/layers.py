@@ -16,16 +16,25 @@ from ..operators.layout import tiles_to_cells
 from ..operators.series import time_range
 
 
+#: tiles per side of the blocks kept together in a file, and the time span of a block
+BLOCK_TILES, BLOCK_DAYS = 8, 30
+
+
 def _clustered(tiles: DataFrame, lead: list[str], time) -> DataFrame:
+    """Blocks of neighbouring tiles and times to the same task, in Z order within it.
+
+    A rebalance needs no sampling pass over what may be an expensive plan, splits blocks that turn
+    out too large and merges small ones into files of an even size.
+    """
     high, low = z_parts(time, "tile_y", "tile_x")
-    order = [*lead, "_z_high", "_z_low"]
-    return (
-        tiles.withColumn("_z_high", high)
-        .withColumn("_z_low", low)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .drop("_z_high", "_z_low")
-    )
+    blocks = [
+        intdiv("tile_x", BLOCK_TILES),
+        intdiv("tile_y", BLOCK_TILES),
+        intdiv("time_index", BLOCK_DAYS * DAY),
+    ]
+    named = tiles.withColumns({"_z_high": high, "_z_low": low, **{f"_b{i}": b for i, b in enumerate(blocks)}})
+    spread = named.hint("rebalance", *[F.col(c) for c in (*lead, "_b0", "_b1", "_b2")])
+    return spread.sortWithinPartitions(*lead, "_z_high", "_z_low").drop("_z_high", "_z_low", "_b0", "_b1", "_b2")
 
 
 def write_layer(tiles: DataFrame, path: str, mode: str = "append") -> None:

@@ -134,21 +134,25 @@ def union_layers(fx):
     return layout.union_layers(fx.cells, fx.cells.withColumn("value", F.col("value") * 2))
 
 
-@check(
-    "run_model",
-    f"""select 'avg' as layer, {_POS}, 1 as band,
-        ({_NDI} + case when b1 + b2 = 0 then 0e0 else (b1 - b2) / cast(b1 + b2 as double) end) / 2 as value from {{{{wide}}}}""",
-)
+_MODEL_SQL = f"""({_NDI} + case when b1 + b2 = 0 then 0e0 else (b1 - b2) / cast(b1 + b2 as double) end) / 2 as value from {{{{wide}}}}"""
+_MODEL = {
+    "operations": [
+        {"id": "O1", "type": "op_ndi", "inputs": [{"id": "I1", "band": 5}, {"id": "I1", "band": 4}], "output": {"id": "O1"}},
+        {"id": "O2", "type": "op_normalized_difference", "inputs": [{"layer": "I1", "band": 1}, {"layer": "I1", "band": 2}], "output": {"id": "O2"}},
+        {"id": "O3", "type": "op_local_avg", "inputs": [{"id": "O1", "band": 1}, {"id": "O2", "band": 1}], "output": {"id": "O3"}},
+    ],
+    "output": {"id": "O3"},
+}
+
+
+@check("run_model", f"select 'avg' as layer, {_POS}, 1 as band, {_MODEL_SQL}")
 def run_model(fx):
-    spec = {
-        "operations": [
-            {"id": "O1", "type": "op_ndi", "inputs": [{"id": "I1", "band": 5}, {"id": "I1", "band": 4}], "output": {"id": "O1"}},
-            {"id": "O2", "type": "op_normalized_difference", "inputs": [{"layer": "I1", "band": 1}, {"layer": "I1", "band": 2}], "output": {"id": "O2"}},
-            {"id": "O3", "type": "op_local_avg", "inputs": [{"id": "O1", "band": 1}, {"id": "O2", "band": 1}], "output": {"id": "O3"}},
-        ],
-        "output": {"id": "O3"},
-    }
-    return run(spec, {"I1": fx.cells})
+    return run(_MODEL, {"I1": fx.cells})
+
+
+@check("run_model_on_tiles", f"select 'avg' as layer, {_POS}, 1 as band, {_MODEL_SQL}")
+def run_model_on_tiles(fx):
+    return layout.tiles_to_cells(run(_MODEL, {"I1": fx.tiles}))
 
 
 @check(

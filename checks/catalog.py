@@ -65,12 +65,9 @@ def time_indexes(fx):
     return catalog.time_indexes(fx.scenes, start=_T0)
 
 
-@check("time_index_list", "select dataset_id, time_index, row_number() over (partition by dataset_id order by time_index) as pos from (select distinct dataset_id, time_index from {{scenes}})")
+@check("time_index_list", "select dataset_id, time_index, count(*) as scenes from {{scenes}} group by 1, 2")
 def time_index_list(fx):
-    lists = catalog.time_indexes(fx.scenes).groupBy("dataset_id").agg(F.sort_array(F.collect_set("time_index")).alias("list"))
-    return lists.select("dataset_id", F.posexplode("list").alias("p", "time_index")).select(
-        "dataset_id", "time_index", (F.col("p") + 1).cast("bigint").alias("pos")
-    )
+    return catalog.time_index_list(fx.scenes)
 
 
 @check("sorted_time_indexes", "select distinct dataset_id, time_index from {{scenes}} order by 1, 2")

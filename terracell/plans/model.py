@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.algebra import local_avg, ndi
 from ..operators.cover import aoi_tile_refs
-from ..operators.layout import select_bands
+from ..operators.layout import select_bands, tiles_to_cells
 from ..operators.series import savgol
+from ..operators.tiles import tile_local_avg, tile_ndi
 from ..functions.grid import MAX_ZOOM
 from .joins import small_join
 
@@ -25,20 +26,35 @@ ALIASES = {
 }
 
 
+def _tiled(inputs) -> bool:
+    """Whether all inputs are tile layers; mixed inputs are met as cells."""
+    return all("bands" in layer.columns for layer, _ in inputs)
+
+
+def _as_cells(inputs):
+    seen: dict[int, DataFrame] = {}
+    out = []
+    for layer, band in inputs:
+        if "bands" in layer.columns:  # the same frame stays one frame, so that it is read once
+            layer = seen.setdefault(id(layer), tiles_to_cells(layer))
+        out.append((layer, band))
+    return out
+
+
 def _ndi(inputs, spec):
     if len(inputs) != 2:
         raise ValueError("a normalized difference takes two inputs")
-    return ndi(inputs[0], inputs[1])
+    return tile_ndi(*inputs) if _tiled(inputs) else ndi(*_as_cells(inputs))
 
 
 def _local_avg(inputs, spec):
-    return local_avg(inputs)
+    return tile_local_avg(inputs) if _tiled(inputs) else local_avg(_as_cells(inputs))
 
 
 def _savgol(inputs, spec):
     if len(inputs) != 1:
         raise ValueError("smoothing takes one input")
-    layer, band = inputs[0]
+    layer, band = _as_cells(inputs)[0]
     picked = layer if band is None else select_bands(layer, [band])
     return savgol(picked, spec.get("window", 5), spec.get("degree", 2))
 
@@ -57,7 +73,8 @@ def run_model(spec: dict, layers: dict[str, DataFrame]) -> DataFrame:
     """Apply spec["operations"] in order and return the layer named by spec["output"]["id"].
 
     Each operation reads its inputs by id, with a 1-based band, and binds its output id. An
-    unknown operation or id is an error.
+    unknown operation or id is an error. Layers may be cells or tiles; operations whose inputs are
+    all tiles work array against array, without shuffling cells.
     """
     bound = dict(layers)
     for op in spec["operations"]:
@@ -80,14 +97,12 @@ def run_model(spec: dict, layers: dict[str, DataFrame]) -> DataFrame:
 
 
 def process_inputs(
-    inputs: list[dict], aois: DataFrame, datasets: DataFrame, tile_refs: DataFrame, tiles: DataFrame, level: int = MAX_ZOOM
+    inputs: list[dict], aois: DataFrame, datasets: DataFrame, tile_refs: DataFrame, tiles: DataFrame, level: int = MAX_ZOOM, as_tiles: bool = False
 ) -> dict[str, DataFrame]:
-    """Named inputs (id, aoiCode, dsName, tIndexes) to lazy layers of cells.
+    """Named inputs (id, aoiCode, dsName, tIndexes) to lazy layers of cells, or of tiles.
 
     All listed times are read and stay apart by time_index. Cells keep global coordinates.
     """
-    from ..operators.layout import tiles_to_cells
-
     out = {}
     for spec in inputs:
         area = aois.filter(F.col("aoi_code") == spec["aoiCode"]).select("aoi_id", "xmin", "ymin", "xmax", "ymax")
@@ -105,5 +120,6 @@ def process_inputs(
             stored = stored.filter(F.col("time_index").isin(spec["tIndexes"]))
         join_on = [c for c in keys.columns if c in tiles.columns]
         wanted = keys.select(*join_on).distinct()
-        out[spec["id"]] = tiles_to_cells(small_join(stored, wanted, join_on, join_on, "left_semi"))
+        found = small_join(stored, wanted, join_on, join_on, "left_semi")
+        out[spec["id"]] = found if as_tiles else tiles_to_cells(found)
     return out

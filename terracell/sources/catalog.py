@@ -90,6 +90,11 @@ def time_indexes(scenes: DataFrame, dataset_id: int | None = None, start=None, e
     return found.select("dataset_id", "time_index").distinct()
 
 
+def time_index_list(scenes: DataFrame) -> DataFrame:
+    """Per dataset, each scene time and how many scenes have it."""
+    return scenes.groupBy("dataset_id", "time_index").agg(F.count(F.lit(1)).alias("scenes"))
+
+
 def sorted_time_indexes(scenes: DataFrame, dataset_id: int | None = None) -> DataFrame:
     return time_indexes(scenes, dataset_id).orderBy("dataset_id", "time_index")
 

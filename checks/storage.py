@@ -15,13 +15,18 @@ from .registry import check
 _CELLS = "select layer, time_index, col, row, band, value from {{cells}}"
 
 
-def _decode_json_tiles(path, content):
-    """Raster codec of the checks: one JSON tile per line."""
-    import json
+def _json_decoder():
+    """Raster codec of the checks: one JSON tile per line. A local function, so that it travels to
+    the workers by value."""
 
-    for line in content.decode().splitlines():
-        t = json.loads(line)
-        yield {k: t[k] for k in ("tile_x", "tile_y", "cols", "rows", "bands")}
+    def decode(path, content):
+        import json
+
+        for line in content.decode().splitlines():
+            t = json.loads(line)
+            yield {k: t[k] for k in ("tile_x", "tile_y", "cols", "rows", "bands")}
+
+    return decode
 
 
 def _raw_tiles(fx, name):
@@ -42,7 +47,7 @@ def scan_multiband(fx):
 
 @check("scan_multiband_decoded", "select col, row, band, count(*) as n, sum(value) as total from {{cells}} group by 1, 2, 3")
 def scan_multiband_decoded(fx):
-    tiles = rasters.scan_multiband(fx.spark, f"{_raw_tiles(fx, 'raw')}/*", _decode_json_tiles)
+    tiles = rasters.scan_multiband(fx.spark, _raw_tiles(fx, "raw"), _json_decoder())
     return layout.tiles_to_cells(tiles).groupBy("col", "row", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
@@ -56,7 +61,7 @@ def scan_singleband(fx):
     """select cast(epoch(make_timestamp(1995 + time_index // 864000, 1, 1, 0, 0, 0)) as bigint) - 631152000 as time_index, col, row, band, value from {{cells}}""",
 )
 def scan_glob_timestamped(fx):
-    tiles = rasters.scan_glob_timestamped(fx.spark, f"{_raw_tiles(fx, 'glob')}/*", _decode_json_tiles, "part-*")
+    tiles = rasters.scan_glob_timestamped(fx.spark, _raw_tiles(fx, "glob"), _json_decoder(), "part-*")
     return layout.tiles_to_cells(tiles).drop("layer")
 
 

@@ -15,7 +15,8 @@ from ..functions.geom import edges_of
 from ..plans.joins import small_join
 from .layout import Grid
 
-BLOCK = 256
+#: columns per join block: narrow enough that a cell meets few spans, wide enough that spans stay few
+BLOCK = 32
 MASK_BITS = 64
 
 

@@ -35,6 +35,17 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(task_count(df), *keys)
 
 
+def rebalance(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the same keys together, in partitions of an even size, before a write.
+
+    Adaptive execution splits and merges them by measured size. Where it is off, as in a stateful
+    streaming batch, this is a plain repartition.
+    """
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", *[F.col(k) for k in keys])
+    return df.repartition(*keys)
+
+
 def summary_join(
     big: DataFrame, summary: DataFrame, on: list[str], how: str = "inner", max_rows: int = SUMMARY_ROWS
 ) -> DataFrame:

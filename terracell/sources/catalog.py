@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions._col import as_col, intdiv
 from ..functions.geom import boxes_overlap
 from ..operators.series import time_range
+from ..plans.joins import rebalance
 from ..schema import BAND_META
 
 CATALOG_TABLES = ["datasets", "scenes", "tile_refs", "aois"]
@@ -129,8 +130,7 @@ def write_tile_catalog(tile_refs: DataFrame, path: str) -> None:
         rows = rows.join(spark.read.parquet(path).select(*key), key, "left_anti")
     blocks = {"_bx": intdiv("spatial_index_x", 64), "_by": intdiv("spatial_index_y", 64)}
     (
-        rows.withColumns(blocks)
-        .hint("rebalance", *[F.col(c) for c in ("dataset_id", "zoom_level", "_bx", "_by")])
+        rebalance(rows.withColumns(blocks), "dataset_id", "zoom_level", *blocks)
         .sortWithinPartitions("dataset_id", "zoom_level", "z_index")
         .drop(*blocks)
         .write.mode("append")

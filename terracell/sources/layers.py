@@ -14,6 +14,7 @@ from ..functions.grid import z_index, z_parts
 from ..functions.timeindex import DAY
 from ..operators.layout import tiles_to_cells
 from ..operators.series import time_range
+from ..plans.joins import rebalance
 
 
 #: tiles per side of the blocks kept together in a file, and the time span of a block
@@ -33,7 +34,7 @@ def _clustered(tiles: DataFrame, lead: list[str], time) -> DataFrame:
         intdiv("time_index", BLOCK_DAYS * DAY),
     ]
     named = tiles.withColumns({"_z_high": high, "_z_low": low, **{f"_b{i}": b for i, b in enumerate(blocks)}})
-    spread = named.hint("rebalance", *[F.col(c) for c in (*lead, "_b0", "_b1", "_b2")])
+    spread = rebalance(named, *lead, "_b0", "_b1", "_b2")
     return spread.sortWithinPartitions(*lead, "_z_high", "_z_low").drop("_z_high", "_z_low", "_b0", "_b1", "_b2")
 
 

@@ -27,8 +27,11 @@ DECODED = "path string, tile_x int, tile_y int, cols int, rows int, bands array<
 
 
 def decode_files(spark: SparkSession, path: str, decoder: Decoder, glob: str | None = None) -> DataFrame:
-    """Raw files through a decoder: (path, tile_x, tile_y, cols, rows, bands)."""
-    reader = spark.read.format("binaryFile")
+    """Raw files under a path through a decoder: (path, tile_x, tile_y, cols, rows, bands).
+
+    A file is one row, so it must stay under 2 GB; Arrow batches are bounded in bytes by the session.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
 

@@ -45,12 +45,24 @@ def test_summary_join_beyond_the_broadcast_bound(spark):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.select(small.columns).collect()))
 
 
+def test_small_join_beyond_the_broadcast_bound(spark):
+    big = spark.range(2000).select((F.col("id") % 300).alias("k"), "id")
+    small = spark.range(500).select((F.col("id") % 350).alias("k"), F.col("id").alias("o"))
+    for how in ("inner", "left", "left_semi"):
+        near = joins.small_join(big, small, ["k"], ["o"], how)
+        far = joins.small_join(big, small, ["k"], ["o"], how, max_rows=10)
+        rows = lambda df: sorted(map(tuple, df.select(near.columns).fillna(-1).collect()))
+        assert rows(near) == rows(far)
+
+
 def test_box_join_equals_brute_force(spark):
     a = spark.range(300).select(
         "id", ((F.col("id") * 37 % 100) / 10).alias("xmin"), ((F.col("id") * 53 % 90) / 10).alias("ymin")
     ).withColumns({"xmax": F.col("xmin") + F.col("id") % 7 / 4, "ymax": F.col("ymin") + F.col("id") % 5 / 4})
     b = a.select((F.col("id") * 2).alias("o"), *[F.col(c).alias(f"b_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
-    got = sorted((r["id"], r["o"]) for r in joins.box_join(a, b, ["id"], rows_per_task=20).collect())
+    got = sorted((r["id"], r["o"]) for r in joins.box_join(a, b, ["id"]).collect())
+    shuffled = joins.box_join(a, b, ["id"], rows_per_task=20, max_rows=5)
+    assert sorted((r["id"], r["o"]) for r in shuffled.collect()) == got
     rows_a, rows_b = a.collect(), b.collect()
     want = sorted(
         (x["id"], y["o"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import decontaminate
 from .packing import pack
 from .sharding import shard_by_bytes
 
@@ -19,6 +20,56 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, cut=False, with_text=False)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP1_SQL = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+  FROM documents
+), item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, size, list_aggregate(words[k : k + size - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT item, words, least(10, len(words)) AS size,
+               unnest(range(1, len(words) - least(10, len(words)) + 2)) AS k
+        FROM item_words WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT row, size, k, list_aggregate(words[k : k + size - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS k
+        FROM doc_words, sizes WHERE len(words) >= size)
+), hits AS (
+  SELECT row, k, size, item FROM places JOIN windows USING (size, phrase)
+), hit_words AS (
+  SELECT row, count(*) AS n_hit
+  FROM (SELECT DISTINCT row, unnest(range(k, k + size)) AS w FROM hits) GROUP BY row
+), hit_items AS (
+  SELECT row, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
+"""
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,7 +82,7 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_harmonic_packing, op7_byte_shards)
+    f.__name__: f for f in (op1_fm_index_decontamination, op6_harmonic_packing, op7_byte_shards)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terracell.plans.storage import scratch_path
 
@@ -20,3 +21,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fold(doc_id: Column) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo 3. Fold 1 is held out."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language_id, quality
+from .common import fold, table
 from .decontamination import decontaminate
 from .packing import pack
 from .sharding import shard_by_bytes
@@ -70,6 +71,27 @@ FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
 """
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    """Learned from labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").filter(fold(F.col("doc_id")) != 1).select("doc_id", "text")
+    return quality.fit(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+
+
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(), "score", "predicted")
+
+
+def op4_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(fold(F.col("doc_id")) != 1))
+    return language_id.identify(docs, model).select("doc_id", held_out(), "lang_pred", "score")
+
+
+def held_out():
+    return F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -82,7 +104,7 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fm_index_decontamination, op6_harmonic_packing, op7_byte_shards)
+    f.__name__: f for f in (op1_fm_index_decontamination, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards)
 }
 
 ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL}

@@ -11,6 +11,7 @@ from . import language_id, quality
 from .common import fold, table
 from .decontamination import decontaminate
 from .packing import pack
+from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
 
 
@@ -71,6 +72,53 @@ FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
 """
 
 
+def op2_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), split_words AS (
+  SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs
+), windows AS (
+  SELECT row, k, list_aggregate(words[k : k + 7], 'string_agg', ' ') AS phrase
+  FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS k FROM split_words WHERE len(words) >= 8)
+), repeats AS (
+  SELECT row, count(*) AS n_repeat_words
+  FROM (SELECT DISTINCT row, unnest(range(k, k + 8)) AS w
+        FROM (SELECT row, k, count(*) OVER (PARTITION BY row, phrase) AS n FROM windows) WHERE n > 1)
+  GROUP BY row
+), lines AS (
+  SELECT row, host, line, length(translate(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13), '')) AS chars,
+         trim(regexp_replace(regexp_replace(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'),
+           '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  FROM (SELECT row, host, unnest(string_split(text, chr(10))) AS line FROM docs)
+), word_lines AS (
+  SELECT * FROM lines WHERE chars > 0
+), dups AS (
+  SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM word_lines GROUP BY row
+), frequent AS (
+  SELECT host, norm FROM word_lines GROUP BY host, norm HAVING count(DISTINCT row) > 20
+), removed AS (
+  SELECT row, sum(chars) AS removed_chars
+  FROM word_lines l JOIN frequent f ON l.norm = f.norm AND l.host IS NOT DISTINCT FROM f.host GROUP BY row
+), counts AS (
+  SELECT doc_id, len(words) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(CAST(removed_chars AS BIGINT), 0) AS removed_chars
+  FROM docs JOIN split_words USING (row) LEFT JOIN repeats USING (row) LEFT JOIN dups USING (row) LEFT JOIN removed USING (row)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, removed_chars,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND removed_chars <= 0.5 * word_chars AS kept
+FROM counts
+"""
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
     """Learned from labelled documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").filter(fold(F.col("doc_id")) != 1).select("doc_id", "text")
@@ -104,7 +152,7 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fm_index_decontamination, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards)
+    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards)
 }
 
-ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL, "op2_line_frequency_rules": OP2_SQL}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -14,31 +17,64 @@ from .common import keep
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, rank long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: words remembered by a task; beyond that it starts anew, which costs time only
-MEMO_WORDS = 500_000
+#: words remembered by a worker process; beyond that it starts anew, which costs time only
+MEMO_WORDS = 1_000_000
+
+#: punctuation, lower-case letters without marks of their own, punctuation: three pieces to the tokenizer
+PLAIN = re.compile("([.,;:!?*#$%&|]*)([a-zß-öø-ÿ]+)([.,;:!?*#$%&|]*)")
 
 
 class WordIds(dict):
     """Token ids of a white-space separated word, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are
-    those of its words in order.
+    those of its words in order. The same holds for a run of letters and the punctuation around it, so the many words
+    that differ in that only cost one call.
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(tokenizer_path)
+        # for pieces that are in normal form and cannot be split
+        self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= MEMO_WORDS:
+                self.pieces = {"": b""}
+            found = self.pieces[piece] = as_bytes(self.bare.encode(piece, add_special_tokens=False).ids)
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        text = word.decode()
+        plain = PLAIN.fullmatch(text.lower())
+        if plain:
+            found = b"".join(map(self.piece, plain.groups()))
+        else:
+            found = as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self) >= MEMO_WORDS:
             self.clear()
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
         self[word] = found
         return found
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@functools.cache
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One memory for all tasks of a worker process."""
+    return WordIds(tokenizer_path)
+
+
 def cut_lengths(n: int, capacity: int, shares: int) -> list[int]:
     """Lengths that a document of n tokens is cut into.
 
@@ -62,14 +98,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
         from pyspark import TaskContext
 
         worker = TaskContext.get().partitionId()
-        words, ranks, end, schema = WordIds(tokenizer_path), {}, end_id.to_bytes(4, "little"), None
+        words, ranks, end = word_ids(tokenizer_path), {}, end_id.to_bytes(4, "little")
         schema = pa.schema([(name.split()[0], pa.int64()) for name in PIECES.split(", ")])
         for batch in batches:
             rows = []
             texts = batch.column("text").cast(pa.binary())
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
                 body = text.as_py()
-                ids = b"".join(map(words.__getitem__, (body or b"").split())) + end
+                ids = words.of(body or b"") + end
                 start, total = 0, len(ids) // 4
                 for length in cut_lengths(total, capacity, shares):
                     rank = ranks.get(length, 0)

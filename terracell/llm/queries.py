@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality
 from .common import fold, table
 from .decontamination import decontaminate
+from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
@@ -151,8 +152,12 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards)
+    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards, op9_parity_sketch_join)
 }
 
 ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL, "op2_line_frequency_rules": OP2_SQL}

@@ -26,3 +26,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """The fold of a document: crc32 of its id as text, modulo 3. Fold 1 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df in range partitions by `order`, written once, each row with the number of its partition.
+
+    Rows equal in all of `order` may be spread over several partitions, so no value is too frequent for a task.
+    """
+    spread = df.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order, "spread")
+    return keep(spread.withColumn("part", F.spark_partition_id()).drop("spread"), "ranged")

@@ -12,6 +12,7 @@ from .common import fold, table
 from .decontamination import decontaminate
 from .near_duplicates import near_duplicates
 from .packing import pack
+from .perspectives import rotate_perspectives
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
 
@@ -156,8 +157,36 @@ def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=80)
 
 
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    masks = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"]))
+    return views.withColumn("masks", F.array_join(masks, ","))
+
+
+OP10_SQL = """
+WITH turns AS (
+  SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER w - 1 AS pos
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST)
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
+), segments AS (
+  SELECT t.conv_id, speaker, CAST(pos // 256 AS INTEGER) AS part, pos, coalesce(role = speaker, false) AS own,
+         '<|start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+           ELSE 'user ' || replace(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10), ' ') END || chr(10) AS head,
+         replace(text, '<|', '< |') || '<|end|>' AS body
+  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) - 1 AS stop
+  FROM segments
+)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
+       coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY pos) FILTER (own), '') AS masks
+FROM placed GROUP BY conv_id, speaker, part
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards, op9_parity_sketch_join)
+    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards, op9_parity_sketch_join, op10_perspective_rotation)
 }
 
-ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL, "op2_line_frequency_rules": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL, "op2_line_frequency_rules": OP2_SQL, "op10_perspective_rotation": OP10_SQL}

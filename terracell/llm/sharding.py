@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, ranged
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,9 +30,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         F.crc32(body.cast("binary")).alias("crc"),
     )
     order = ["id", "crc", "size"]
-    # the last key only spreads a run of equal rows over several partitions
-    ranged = narrow.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order, "spread")
-    rows = keep(ranged.withColumn("part", F.spark_partition_id()).drop("spread"), "shard-rows")
+    rows = ranged(narrow, *order)
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row a partition

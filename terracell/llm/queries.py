@@ -15,6 +15,7 @@ from .packing import pack
 from .perspectives import rotate_perspectives
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
+from .url_templates import url_verdicts
 
 
 def tokenizer_path() -> str:
@@ -142,6 +143,19 @@ def held_out():
     return F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
 
 
+#: fixed values: verdict, host, path
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op5_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -186,7 +200,7 @@ FROM placed GROUP BY conv_id, speaker, part
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op6_harmonic_packing, op7_byte_shards, op9_parity_sketch_join, op10_perspective_rotation)
+    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op5_path_templates, op6_harmonic_packing, op7_byte_shards, op9_parity_sketch_join, op10_perspective_rotation)
 }
 
 ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL, "op2_line_frequency_rules": OP2_SQL, "op10_perspective_rotation": OP10_SQL}

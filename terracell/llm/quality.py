@@ -87,7 +87,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     sample_docs: int = SAMPLE_DOCS,
     sample_chars: int = SAMPLE_CHARS,
     dictionary_bytes: int = DICTIONARY_BYTES,
@@ -96,21 +97,23 @@ def fit(
 ) -> QualityModel:
     """Train dictionaries on a bounded sample of labelled rows and calibrate on another.
 
-    labelled: doc_id, text, quality (0 or 1). About sample_docs rows a class, chosen by a hash of the id, train its
-    dictionary, as many others calibrate, whole and each weighted to its class's share of all labelled rows. Rows with
-    a null in a column take no part. Without rows of both classes every score is the share of good labels, or 0.5.
+    docs: doc_id, text. labels: doc_id, quality (0 or 1). About sample_docs labels a class, chosen by a hash of the id,
+    train its dictionary; as many others calibrate, on whole texts, each weighted to its class's share of all labels. The
+    sample is drawn from the narrow labels, and its at most about 4 * sample_docs ids are broadcast, so texts are not
+    shuffled. Rows with a null in a column take no part. Without rows of both classes every score is the share of good
+    labels, or 0.5.
     """
-    rows = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).filter(
-        "doc_id is not null and text is not null and quality in (0, 1)"
-    )
-    n = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
+    n = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n.values())
     share = (n.get(1, 0) + 1) / (total + 2)
+    prior = QualityModel(None, None, 0.0, math.log(share / (1 - share)), piece_bytes, level)
     if len(n) < 2:
-        return QualityModel(None, None, 0.0, math.log(share / (1 - share)), piece_bytes, level)
+        return prior
     chance = F.when(F.col("quality") == 1, F.lit(min(0.5, sample_docs / n[1]))).otherwise(F.lit(min(0.5, sample_docs / n[0])))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    drawn = rows.select("quality", "doc_id", "text", (draw < chance).alias("trains"), (draw < 2 * chance).alias("used")).filter("used")
+    drawn = known.withColumns({"trains": draw < chance, "used": draw < 2 * chance}).filter("used").drop("used").distinct()
+    drawn = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id")
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(drawn.filter("trains").select("quality", "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()):
         samples[r["quality"]].append(r["text"].encode())
@@ -118,7 +121,7 @@ def fit(
     seen = measure(drawn.filter("not trains"), model, "quality").collect()
     y = np.array([r["quality"] for r in seen], float)
     if model.good is None or model.bad is None or not 0 < y.sum() < len(y):
-        return QualityModel(None, None, 0.0, math.log(share / (1 - share)), piece_bytes, level)
+        return prior
     weight = np.where(y == 1, n[1] / y.sum(), n[0] / (len(y) - y.sum()))
     model.slope, model.intercept = logistic(np.array([r["difference"] for r in seen]), y, weight)
     return model

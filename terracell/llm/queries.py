@@ -124,8 +124,8 @@ FROM counts
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
     """Learned from labelled documents outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents").filter(fold(F.col("doc_id")) != 1).select("doc_id", "text")
-    return quality.fit(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id")) != 1)
+    return quality.fit(table(spark, sf_dir, "documents"), labels)
 
 
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality
 from .common import fold, table
 from .decontamination import decontaminate
+from .log_templates import drop_recurring_lines
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .perspectives import rotate_perspectives
@@ -167,6 +168,10 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=80)
 
@@ -200,7 +205,7 @@ FROM placed GROUP BY conv_id, speaker, part
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op5_path_templates, op6_harmonic_packing, op7_byte_shards, op9_parity_sketch_join, op10_perspective_rotation)
+    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op5_path_templates, op6_harmonic_packing, op7_byte_shards, op8_log_templates, op9_parity_sketch_join, op10_perspective_rotation)
 }
 
 ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL, "op2_line_frequency_rules": OP2_SQL, "op10_perspective_rotation": OP10_SQL}

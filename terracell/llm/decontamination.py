@@ -11,11 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fm_index import FMIndex
 
-#: benchmark text that a task holds at a time; a larger benchmark is searched in several blocks
-BLOCK_BYTES = 32_000_000
+#: benchmark text that the driver or a task holds at a time; a larger benchmark is searched in several blocks
+BLOCK_BYTES = 4_000_000
 #: words of documents in one index; a longer document has an index of its own
 SHARD_WORDS = 1_500_000
 
@@ -23,14 +24,14 @@ SHARD_WORDS = 1_500_000
 FOLD = bytes(i + 32 if 0x41 <= i <= 0x5A else i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20 for i in range(256))
 WORD = re.compile(rb"[^ ]+")
 
-FOUND = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-FOUND_SCHEMA = pa.schema(
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = T.StructType(
     [
-        ("doc_id", pa.int64()),
-        ("text", pa.string()),
-        ("n_words", pa.int64()),
-        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        ("items", pa.list_(pa.string())),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("n_words", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -111,45 +112,55 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def search_batches(batches: Iterator[pa.RecordBatch], phrases: Phrases, cut: bool, texts_out: bool, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Fill up shards with documents, search each, and give its rows back with spans and items added."""
+def search_batches(
+    batches: Iterator[pa.RecordBatch], phrases: Phrases, cut: bool, texts_out: bool, shard_words: int
+) -> Iterator[pa.RecordBatch]:
+    """Fill up shards with documents, search each, and give its rows back with spans and items added.
 
-    def flush(rows: list[dict], docs: list[list[bytes]]) -> pa.RecordBatch:
+    Columns behind the first four (doc_id, text, spans, items) are passed on.
+    """
+
+    def flush(rows: list[dict], docs: list[list[bytes]], schema: pa.Schema) -> pa.RecordBatch:
         hits: dict[int, tuple[set, set]] = {}
         for doc, first, end, phrase in zip(*(x.tolist() for x in search_shard(docs, phrases))):
             spans, items = hits.setdefault(doc, (set(), set()))
             spans.add((first, end))
             items.update(phrases.owners[phrase])
         for k, (spans, items) in hits.items():
-            rows[k]["spans"] = merged([*((s["start"], s["end"]) for s in rows[k]["spans"]), *spans])
+            before = [(s["start"], s["end"]) for s in rows[k]["spans"]]
+            rows[k]["spans"] = [{"start": s, "end": e} for s, e in merged([*before, *spans])]
             rows[k]["items"] = sorted({*rows[k]["items"], *items})
-            rows[k]["spans"] = [{"start": s, "end": e} for s, e in rows[k]["spans"]]
         for row in rows:
             body = row.pop("body")
             if cut and row["spans"]:
                 body = without_spans(body, [(s["start"], s["end"]) for s in row["spans"]])
             row["text"] = None if body is None or not texts_out else body.decode()
-        return pa.RecordBatch.from_pylist(rows, FOUND_SCHEMA)
+        return pa.RecordBatch.from_pylist(rows, schema)
 
-    rows, docs, filled = [], [], 0
+    rows, docs, filled, schema = [], [], 0, None
     for batch in batches:
+        given = batch.schema
+        schema = pa.schema(
+            [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))]
+            + [(f.name, f.type) for f in list(given)[4:]]
+        )
         texts = batch.column("text").cast(pa.binary())
-        others = {c: batch.column(c).to_pylist() for c in ("doc_id", "spans", "items")}
+        others = {f.name: batch.column(f.name).to_pylist() for f in given if f.name != "text"}
         for k in range(batch.num_rows):
             body = texts[k].as_py()
             words = words_of(body)
             if docs and filled + len(words) > shard_words:
-                yield flush(rows, docs)
+                yield flush(rows, docs, schema)
                 rows, docs, filled = [], [], 0
             rows.append({c: v[k] for c, v in others.items()} | {"body": body, "n_words": len(words)})
             docs.append(words)
             filled += len(words)
     if docs:
-        yield flush(rows, docs)
+        yield flush(rows, docs, schema)
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phrases]:
-    """The benchmark's windows, at most about block_bytes of text at a time."""
+def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Phrases, bool]]:
+    """The benchmark's windows, at most about block_bytes of text at a time, and whether they are the last."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).filter(
         "item is not null and text is not null"
     )
@@ -157,7 +168,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Ite
     n = max(1, math.ceil(size / block_bytes))
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Phrases([(r["item"], bytes(r["text"])) for r in part.collect()], window)
+        yield Phrases([(r["item"], bytes(r["text"])) for r in part.collect()], window), k == n - 1
 
 
 def decontaminate(
@@ -166,6 +177,7 @@ def decontaminate(
     window: int = 10,
     cut: bool = True,
     with_text: bool = True,
+    carry: tuple[str, ...] = (),
     block_bytes: int = BLOCK_BYTES,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
@@ -176,8 +188,9 @@ def decontaminate(
     it. Only benchmark text travels, at most block_bytes at a time: a larger benchmark is searched block after block
     in one narrow pass over the documents. No shuffle takes place, and no document meets another outside its task.
 
-    docs: doc_id, text. benchmark: item_id, text. Returns doc_id, text (without the spans if `cut`; no such column unless with_text), n_words,
-    spans (merged half-open word spans of the original text), items (sorted ids of the items found).
+    docs: doc_id, text. benchmark: item_id, text. Returns doc_id, text (without the spans if `cut`; no such column
+    unless with_text), n_words, spans (merged half-open word spans of the original text), items (sorted ids of the items
+    found), and the columns named in carry.
 
     Null text has no words and stays null; text of any length is searched whole. Null item ids or texts take no part;
     an item that occurs twice counts once. Repeated documents are reported each. An empty benchmark finds nothing, an
@@ -188,14 +201,16 @@ def decontaminate(
         F.col("text").cast("string").alias("text"),
         F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),
+        *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)),
     )
-    blocks = list(benchmark_blocks(benchmark, window, block_bytes))
-    for k, phrases in enumerate(blocks):
+    columns = out.columns
+    fields = T.StructType([*FOUND.fields, *out.schema.fields[4:]])
+    for phrases, last in benchmark_blocks(benchmark, window, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        last = k == len(blocks) - 1
 
         def run(batches, shared=shared, last=last):
             return search_batches(batches, shared.value, cut and last, with_text or not last, shard_words)
 
-        out = out.select("doc_id", "text", "spans", "items").mapInArrow(run, FOUND)
+        out = out.select(*columns).mapInArrow(run, fields)
+    out = out.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
     return out if with_text else out.drop("text")

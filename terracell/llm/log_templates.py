@@ -93,7 +93,12 @@ def lines_in(rows: DataFrame, hot: np.ndarray | None, depth: int) -> DataFrame:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, depth: int = 4, min_docs: int = 5, min_constant: float = 0.6, keep_first: bool = True
+    docs: DataFrame,
+    depth: int = 4,
+    min_docs: int = 5,
+    min_constant: float = 0.6,
+    keep_first: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Drop lines whose template recurs in at least min_docs documents.
 
@@ -106,14 +111,16 @@ def drop_recurring_lines(
     Leaves, lines, tokens and templates are only counted, with partial sums, so a very common line costs one row a task.
     Token hashes are made only for lines in leaves that recur. Texts are shuffled once, to meet their line numbers.
 
-    Returns doc_id, text (the lines kept), n_lines, n_dropped (lines with a token, and those dropped).
+    Returns doc_id, text (the lines kept), the columns named in carry, n_lines, n_dropped (lines with a token, and those dropped).
 
     Null and empty texts have no lines and stay as they are; lines without a token are kept and not counted. Lines of any length
     and number are used whole. Rows with equal doc_id and text are treated alike and count each; a null doc_id comes last
     for keep_first. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("print", F.xxhash64("text"))
+    carried = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    given = given.withColumn("print", F.xxhash64("text"))
+    rows = given.select("doc_id", "text", "print")
     hot = keep(leaves(rows, depth).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"), "hot-leaves")
     few = hot.count() <= BROADCAST_LEAVES
     picked = np.array([r["leaf"] for r in hot.toLocalIterator()], np.int64) if few else None
@@ -145,13 +152,14 @@ def drop_recurring_lines(
         gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("print").alias("p")).agg(F.collect_set("line_no").alias("gone"))
 
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
+    joined = given.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
     parts = F.split("text", "\n", -1)
     left = F.filter(parts, lambda line, k: ~F.array_contains("gone", k))
     has_token = F.filter(parts, lambda line: F.translate(line, " \t\x0b\x0c\r", "") != "")
     return joined.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)),
         F.coalesce(F.size(has_token), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

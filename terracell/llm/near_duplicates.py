@@ -173,9 +173,13 @@ def shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
             lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["doc_id", "shingles"])
 
-    ids = keep(ids.selectExpr("node as doc_id").distinct(), "wanted")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(side, "doc_id", "left_semi").mapInArrow(run, SETS)
+    return by_ids(rows, ids.selectExpr("node as doc_id"), "left_semi").mapInArrow(run, SETS)
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of documents with ids, which are broadcast where their number is small enough."""
+    ids = keep(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -323,3 +327,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = links.unionByName(keep(verify(left, sets, percent), "links"))
     roots = components(links).selectExpr("node as doc_id", "root")
     return described.join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs without the near duplicates: of each component the document with the smallest id stays.
+
+    Rows that share a doc_id are one document, of which one row stays (the one with the smallest text hash). Rows without a
+    doc_id, and texts without words, have no duplicates and stay.
+    """
+    found = keep(near_duplicates(docs, percent), "components")
+    kept = by_ids(docs, found.filter("component_id <> doc_id").select("doc_id"), "left_anti")
+    again = keep(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = by_ids(kept, again, "left_semi").withColumn("row_of_id", F.row_number().over(first)).filter("row_of_id = 1")
+    return by_ids(kept, again, "left_anti").unionByName(one.drop("row_of_id"))

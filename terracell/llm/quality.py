@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: labelled documents drawn per class for the dictionaries, at most about; as many again calibrate the score
 SAMPLE_DOCS = 1_000
@@ -142,25 +143,25 @@ def measure(docs: DataFrame, model: QualityModel, label: str | None = None) -> D
     return rows.mapInArrow(run, f"doc_id long, {'quality int, ' if label else ''}difference double")
 
 
-def score_quality(docs: DataFrame, model: QualityModel, with_text: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score each document by how much better good text predicts it than bad text does.
 
     Every piece of the whole text is compressed with the dictionary of either class; the difference of the sizes,
     per byte of text, goes through the calibrated logistic curve.
 
-    Returns doc_id, score (0 to 1, higher: good likelier), predicted (1 if score >= 0.5), and the text if asked.
+    Returns doc_id, the columns named in carry, score (0 to 1, higher: good likelier), predicted (1 if score >= 0.5).
 
     Null or empty text has difference 0. Repeated rows are each scored. An empty table gives no rows. Other columns
     are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select("doc_id", *carry, F.col("text").cast("string").alias("scored_text"))
+    fields = [*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.scores(shared.value.differences(batch.column("text").cast(pa.binary()).to_pylist()))
-            columns = [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())]
-            names = ["doc_id", "score", "predicted"]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * with_text, names=names + ["text"] * with_text)
+            score = shared.value.scores(shared.value.differences(batch.columns[-1].cast(pa.binary()).to_pylist()))
+            found = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[f.name for f in fields])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int" + ", text string" * with_text)
+    return rows.mapInArrow(run, T.StructType(fields))

@@ -223,15 +223,6 @@ def merge_metadata(meta: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def override_bounds(meta: DataFrame, min_t: int | None = None, max_t: int | None = None) -> DataFrame:
-    """Widen or replace the time bounds of layer metadata."""
-    if min_t is not None:
-        meta = meta.withColumn("min_t", F.lit(min_t).cast("bigint"))
-    if max_t is not None:
-        meta = meta.withColumn("max_t", F.lit(max_t).cast("bigint"))
-    return meta
-
-
 def union_layers(*layers: DataFrame) -> DataFrame:
     out = layers[0]
     for other in layers[1:]:

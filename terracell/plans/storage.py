@@ -31,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once, keep on shared storage, drop the lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked through Spark, so a path in any store will do."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

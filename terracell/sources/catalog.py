@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions._col import as_col, intdiv
+from ..functions._col import intdiv
 from ..functions.geom import boxes_overlap
 from ..operators.series import time_range
 from ..plans.joins import rebalance
+from ..plans.storage import cut, path_exists
 from ..schema import BAND_META
 
 CATALOG_TABLES = ["datasets", "scenes", "tile_refs", "aois"]
@@ -59,11 +60,6 @@ def parse_band_meta(datasets: DataFrame, column: str = "band_meta") -> DataFrame
     )
 
 
-def parse_color_scheme(column) -> Column:
-    """JSON list of #rrggbbaa stops to array<string>; null when malformed."""
-    return F.from_json(as_col(column), "array<string>")
-
-
 def tile_point_lookup(tile_refs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stored tile for each (dataset_id, zoom_level, z_index) asked for; the smallest path if several.
 
@@ -116,18 +112,18 @@ def latest_scenes_by(scenes: DataFrame, by: list[str], k: int = 1) -> DataFrame:
     return scenes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+TILE_REF_KEY = ["dataset_id", "ingest_id", "zoom_level", "spatial_index_x", "spatial_index_y", "time_index"]
+SCENE_KEY = ["dataset_id", "ingest_id"]
+
+
 def write_tile_catalog(tile_refs: DataFrame, path: str) -> None:
     """Append catalog rows, clustered by Z key for point and range lookups.
 
-    The natural key (dataset, zoom, x, y, time) is the identity; tile_id is a stable hash of it, so
-    a task that runs twice gives the same id. Rows already stored are left out, so sending a
-    batch again is harmless.
+    The key (dataset, ingest, zoom, x, y, time) is the identity; tile_id is a stable hash of it, so a task that runs
+    twice gives the same id. A key is stored once, whether it comes twice in a batch, in two batches or in a
+    replayed batch, and two ingests of one dataset and time both stay.
     """
-    spark = tile_refs.sparkSession
-    key = ["dataset_id", "zoom_level", "spatial_index_x", "spatial_index_y", "time_index"]
-    rows = tile_refs.withColumn("tile_id", F.xxhash64(*key))
-    if _exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(*key), key, "left_anti")
+    rows = append_new(tile_refs.withColumn("tile_id", F.xxhash64(*TILE_REF_KEY)), path, TILE_REF_KEY)
     blocks = {"_bx": intdiv("spatial_index_x", 64), "_by": intdiv("spatial_index_y", 64)}
     (
         rebalance(rows.withColumns(blocks), "dataset_id", "zoom_level", *blocks)
@@ -138,7 +134,26 @@ def write_tile_catalog(tile_refs: DataFrame, path: str) -> None:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path)
+def write_scenes(scenes: DataFrame, path: str) -> None:
+    """Append scene rows; a (dataset, ingest) already stored is left out."""
+    rows = append_new(scenes, path, SCENE_KEY)
+    rebalance(rows, "dataset_id").sortWithinPartitions(*SCENE_KEY).write.mode("append").parquet(path)
+
+
+def append_new(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """Rows whose key is not stored yet, one a key.
+
+    The batch is computed once. Its key ranges, one row, are handed to the scan of what is stored, so an
+    append reads the parts of the table that can hold its keys and not the whole table.
+    """
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(key)
+    if not path_exists(spark, path):
+        return rows
+    rows = cut(rows)
+    ends = rows.agg(*[f(c).alias(f"{name}_{c}") for c in key for name, f in (("low", F.min), ("high", F.max))]).first()
+    stored = spark.read.parquet(path).select(*key)
+    for c in key:
+        if ends[f"low_{c}"] is not None:
+            stored = stored.filter(F.col(c).between(ends[f"low_{c}"], ends[f"high_{c}"]))
+    return rows.join(stored, key, "left_anti")

@@ -15,6 +15,8 @@ from ..functions.timeindex import DAY
 from ..operators.layout import tiles_to_cells
 from ..operators.series import time_range
 from ..plans.joins import rebalance
+from ..plans.storage import cut, path_exists
+from ..schema import TILE_KEY
 
 
 #: tiles per side of the blocks kept together in a file, and the time span of a block
@@ -39,8 +41,8 @@ def _clustered(tiles: DataFrame, lead: list[str], time) -> DataFrame:
 
 
 def write_layer(tiles: DataFrame, path: str, mode: str = "append") -> None:
-    """Spatial layer: partitioned by layer and zoom, files in Z order of (y, x)."""
-    keyed = tiles.withColumn("z_index", z_index("time_index", "tile_y", "tile_x"))
+    """Spatial layer: partitioned by layer and zoom, files in Z order of (y, x), which is the stored z_index."""
+    keyed = tiles.withColumn("z_index", z_index(F.lit(0).cast("bigint"), "tile_y", "tile_x"))
     _clustered(keyed, ["layer", "zoom"], F.lit(0)).write.mode(mode).partitionBy("layer", "zoom").parquet(path)
 
 
@@ -52,13 +54,25 @@ def write_layer_temporal(tiles: DataFrame, path: str, step_days: int = 10, mode:
 
 
 def upsert_layer(tiles: DataFrame, path: str) -> None:
-    """Create the layer, or replace only the (layer, zoom, time_index) partitions being written."""
-    keyed = tiles.withColumn("z_index", z_index("time_index", "tile_y", "tile_x"))
+    """Create the layer, or replace the tiles with the keys being written.
+
+    Only the (layer, zoom, time_index) folders that a written tile lies in are rewritten; their other tiles are carried over.
+    Of two tiles with one key in a call, one stays.
+    """
+    folder = ["layer", "zoom", "time_index"]
+    spark = tiles.sparkSession
+    keyed = tiles.withColumn("z_index", z_index("time_index", "tile_y", "tile_x")).dropDuplicates(TILE_KEY)
+    if path_exists(spark, path):
+        keyed = cut(keyed)
+        stored = spark.read.schema(keyed.schema).parquet(path)
+        others = stored.join(keyed.select(*folder).distinct(), folder, "left_semi").join(keyed.select(*TILE_KEY), TILE_KEY, "left_anti")
+        # computed before the folders it comes from are replaced
+        keyed = cut(keyed.unionByName(others))
     (
-        _clustered(keyed, ["layer", "zoom", "time_index"], F.lit(0))
+        _clustered(keyed, folder, F.lit(0))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("layer", "zoom", "time_index")
+        .partitionBy(*folder)
         .parquet(path)
     )
 
@@ -108,13 +122,16 @@ def stitch_export(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def reingest_output(
-    tiles: DataFrame, layer_path: str, catalog_path: str, time_index: int, dataset_id: int, ingest_id: int, name: str = "SingleRasterBand"
+    tiles: DataFrame, layer_path: str, catalog_path: str, time_index: int, dataset_id: int, ingest_id: int, name: str
 ) -> None:
-    """Store a result as a new dataset at one time: its layer and its catalog rows."""
+    """Store a result as a new dataset at one time: its layer and its catalog rows.
+
+    Results of other ingests at the same time keep their tiles where the keys differ; the result's plan runs once.
+    """
     from ..operators.cover import tile_refs_of
     from .catalog import write_tile_catalog
 
-    out = tiles.withColumn("layer", F.lit(name)).withColumn("time_index", F.lit(time_index).cast("bigint"))
+    out = cut(tiles.withColumn("layer", F.lit(name)).withColumn("time_index", F.lit(time_index).cast("bigint")))
     upsert_layer(out, layer_path)
     cover = out.select(
         F.lit(ingest_id).cast("bigint").alias("ingest_id"),

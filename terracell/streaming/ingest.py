@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cover import scene_tile_cover, tile_refs_of
-from ..sources.catalog import write_tile_catalog
+from ..sources.catalog import write_scenes, write_tile_catalog
 
 
 def stream_scene_ingest(
@@ -15,28 +14,21 @@ def stream_scene_ingest(
     catalog_path: str,
     checkpoint: str,
     levels: list[int] | None = None,
-    event_time: str = "ts",
-    watermark: str = "30 days",
+    scenes_path: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start the ingest of a streaming scenes DataFrame (SCENES columns plus event time and sensor).
+    """Start the ingest of a streaming scenes DataFrame (SCENES columns plus sensor).
 
-    A scene sent again, i.e. the same (dataset, ingest, time), is dropped within the watermark. The
-    state holds only those keys. Each micro-batch appends rows the catalog does not have yet, so a
-    batch replayed after a failure adds nothing either.
+    Scenes come in any order of acquisition: an archive may be delivered after the newest scene. There is therefore no
+    watermark and no state; what was ingested before is known from the catalog, whose keys make a scene sent again and a batch
+    replayed after a failure add nothing. With scenes_path the scene rows are stored, too, after their tiles.
     """
-    once = scenes.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(
-        ["dataset_id", "ingest_id", "time_index"]
-    )
 
     def append(batch: DataFrame, _epoch: int) -> None:
-        cover = scene_tile_cover(batch.drop(event_time), levels)
+        cover = scene_tile_cover(batch, levels)
         write_tile_catalog(tile_refs_of(cover), catalog_path)
+        if scenes_path is not None:
+            write_scenes(batch, scenes_path)
 
-    writer = once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    writer = scenes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def scene_rows(df: DataFrame, **columns) -> DataFrame:
-    """Name the columns of an arriving table as scene columns."""
-    return df.select(*[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])

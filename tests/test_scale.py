@@ -114,14 +114,27 @@ def test_metadata_reads_no_arrays(spark, fx, tmp_path):
     assert "bands" not in plan[plan.index("ReadSchema"):].split("\n")[0]
 
 
-def test_upsert_replaces_one_time_only(spark, fx, tmp_path):
+def test_upsert_replaces_the_tiles_written(spark, fx, tmp_path):
     path = str(tmp_path / "layer")
     layers.upsert_layer(fx.tiles, path)
     before = layers.read_layer(spark, path).count()
-    layers.upsert_layer(fx.tiles.filter("time_index = 0").limit(1), path)
+    one = fx.tiles.filter("time_index = 0").limit(1).withColumn("bands", F.array(F.array(F.lit(-1.0))))
+    layers.upsert_layer(one, path)
     after = layers.read_layer(spark, path)
-    assert after.filter("time_index = 0").count() == 1
-    assert after.count() == before - fx.tiles.filter("time_index = 0").count() + 1
+    assert after.count() == before
+    assert after.filter(F.col("bands")[0][0] == -1.0).count() == 1
+
+
+def test_two_results_at_one_time_both_stay(spark, fx, tmp_path):
+    layer, refs = str(tmp_path / "layer"), str(tmp_path / "refs")
+    result = rasters.scan_singleband(fx.tiles.filter("time_index = 0"), 1)
+    left, right = result.filter("tile_x < 2"), result.filter("tile_x >= 2")
+    layers.reingest_output(left, layer, refs, 77, 3, 5, "result")
+    layers.reingest_output(right, layer, refs, 77, 3, 6, "result")
+    layers.reingest_output(right, layer, refs, 77, 3, 6, "result")  # sent again
+    stored = layers.read_layer(spark, layer)
+    assert stored.count() == result.count() == spark.read.parquet(refs).count()
+    assert left.count() and right.count()
 
 
 def test_tiles_round_trip(spark, fx):
@@ -202,14 +215,44 @@ def test_stream_ignores_what_is_sent_again(spark, tmp_path):
     assert spark.read.parquet(store).count() == first // 3 * 4
 
 
-def test_catalog_append_is_idempotent(spark, fx, tmp_path):
+def test_catalog_is_the_same_however_it_is_batched(spark, fx, tmp_path):
+    refs = fx.tile_refs.filter("zoom_level = 8 and ingest_id < 400")
+    half = F.col("ingest_id") % 2 == 0
+    batches = {
+        "one": [refs],
+        "two": [refs.filter(half), refs.filter(~half)],
+        "replay": [refs.filter(half), refs, refs],
+        "doubled": [refs.unionByName(refs)],
+    }
+    stored = {}
+    for name, parts in batches.items():
+        for part in parts:
+            catalog.write_tile_catalog(part, str(tmp_path / name))
+        stored[name] = sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).select("tile_id", *refs.columns).collect()))
+    assert stored["one"] == stored["two"] == stored["replay"] == stored["doubled"]
+    assert len(stored["one"]) == refs.count() == len({r[0] for r in stored["one"]})
+    # scenes of one dataset and time share tiles, and both stay
+    assert refs.select(*[c for c in catalog.TILE_REF_KEY if c != "ingest_id"]).distinct().count() < refs.count()
+
+
+def test_append_reads_only_the_key_ranges_of_the_batch(spark, fx, tmp_path):
     path = str(tmp_path / "refs")
-    refs = fx.tile_refs.filter("zoom_level = 8 and ingest_id < 40").withColumn("dataset_id", F.col("ingest_id"))
-    catalog.write_tile_catalog(refs, path)
-    n = spark.read.parquet(path).count()
-    catalog.write_tile_catalog(refs, path)
-    stored = spark.read.parquet(path)
-    assert stored.count() == n and stored.select("tile_id").distinct().count() == n
+    refs = fx.tile_refs.filter("zoom_level in (8, 9) and ingest_id < 400")
+    catalog.write_tile_catalog(refs.filter("zoom_level = 8"), path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = plan_of(catalog.append_new(refs.filter("zoom_level = 9"), path, catalog.TILE_REF_KEY))
+    assert "GreaterThanOrEqual(zoom_level,9)" in plan and "LessThanOrEqual(zoom_level,9)" in plan
+
+
+def test_an_older_scene_after_a_newer_one_is_stored(spark, tmp_path):
+    inbox, store, scenes, state = (str(tmp_path / n) for n in ("in", "store", "scenes", "state"))
+    for n, (ingest, time) in enumerate([(1, 913543204), (2, 157766400), (3, 913543204)]):
+        row = (ingest, 1, time, None, 90.0, 25.0, 90.3, 25.3, "S")
+        spark.createDataFrame([row], SCENE).coalesce(1).write.mode("append").parquet(inbox)
+        arriving = spark.readStream.schema(SCENE).parquet(inbox)
+        stream_scene_ingest(arriving, store, state, [8], scenes).awaitTermination()
+        assert spark.read.parquet(store).select("ingest_id").distinct().count() == n + 1
+        assert spark.read.parquet(scenes).count() == n + 1
 
 
 def test_checkpoints_go_where_the_session_says(spark):

@@ -14,6 +14,7 @@ from terracell.llm.log_templates import drop_recurring_lines
 from terracell.llm.near_duplicates import drop_near_duplicates
 from terracell.llm.packing import cut_lengths, pack, word_ids
 from terracell.llm.queries import QUERIES, tokenizer_path
+from terracell.llm.shingles import Chunk
 from terracell.llm.sharding import shard_by_bytes
 from terracell.llm.url_templates import url_verdicts
 
@@ -200,9 +201,13 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
 
 def test_block_pairs_finds_each_open_pair_once(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 3)
-    members = [(1, k, k % 4, 100 + k) for k in range(11)] + [(2, 50, 50, 10), (2, 51, 51, 12), (2, 52, 52, 100)]
-    rows = near_duplicates.block_pairs(spark.createDataFrame(members, "bucket long, node long, root long, n_shingles long"), 80).collect()
+    same, far = bytearray(8), bytearray(b"\xff" * 16)
+    members = [(1, k, k % 4, 100 + k, same) for k in range(11)] + [(1, 20, 20, 105, far)]
+    members += [(2, 50, 50, 10, same), (2, 51, 51, 12, bytearray(16)), (2, 52, 52, 100, same)]
+    given = spark.createDataFrame(members, "bucket long, node long, root long, n_shingles long, bits binary")
+    rows = near_duplicates.block_pairs(given, 80).collect()
     wanted = {(a, b) for a in range(11) for b in range(a + 1, 11) if a % 4 != b % 4} | {(50, 51)}
+    wanted |= {(k, 20) for k in range(11)}  # far folds to nothing: equal parities allow similarity
     assert sorted((r["a"], r["b"]) for r in rows) == sorted(wanted)
 
 
@@ -221,7 +226,8 @@ def test_sketch_levels_cover_sets_with_empty_blocks():
                 b = c
             if len(a) == len(np.intersect1d(a, b)) == len(b):
                 continue
-            keys = [{k for _, _, _, ks, _ in near_duplicates.sketch_rows([s], bands) for k in ks.tolist()} for s in (a, b)]
+            rows = [near_duplicates.sketch_rows(Chunk([0], [s]), np.array([0]), bands) for s in (a, b)]
+            keys = [{k for _, _, _, ks, _ in r for k in ks.tolist()} for r in rows]
             assert keys[0] & keys[1], (n, len(b))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 from .components import components
-from .shingles import WordHashes, mix, shingle_set
+from .shingles import Chunk, mix, shingle_chunks
 
 #: documents whose ids are broadcast to fetch their texts; beyond that the texts are shuffled
 BROADCAST_IDS = 2_000_000
@@ -55,45 +55,43 @@ class Bands:
         return index[use], band[use]
 
 
-def sketch(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blocks: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketches, one row of blocks after the other, and where each starts.
+def sketch(chunk: Chunk, index: np.ndarray, blocks: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of the chosen sets, one row of blocks after the other, and where each starts.
 
-    A shingle flips one of 2^32 bits of one block. A block is kept as the exclusive or of random codes of its set
-    bits, so equal bits give equal codes and two flips of a bit cancel, as in the plain bit sketch.
+    A shingle flips one bit of one block, the one its hash names. A block has a bit for every hash, so it is kept as the
+    exclusive or of the hashes whose bits are set: equal bits give equal words, and two flips of a bit cancel.
     """
-    ends = np.cumsum(blocks)
-    first = ends - blocks
-    words = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    h = mix(values[np.repeat(starts, lengths) + inside], 11 + level)
-    at = ((h >> np.uint64(32)) * np.repeat(blocks, lengths).astype(np.uint64)) >> np.uint64(32)
-    code = mix(h & np.uint64(0xFFFFFFFF), 101)
-    np.bitwise_xor.at(words, np.repeat(first, lengths) + at.astype(np.int64), code)
+    first = np.cumsum(blocks) - blocks
+    lengths = chunk.sizes[index]
+    words = np.zeros(int(blocks.sum()), np.uint64)
+    inside = np.arange(int(lengths.sum())) + np.repeat(chunk.starts[index] - (np.cumsum(lengths) - lengths), lengths)
+    values = chunk.values[inside]
+    at = mix(values, 11 + level) >> np.uint64(32)
+    at = (at * np.repeat(blocks, lengths).astype(np.uint64)) >> np.uint64(32)
+    np.bitwise_xor.at(words, np.repeat(first, lengths) + at.astype(np.int64), values)
     return words, first
 
 
-def sketch_rows(sets: list[np.ndarray], bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def sketch_rows(chunk: Chunk, chosen: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each level: index of the set, tag, agreeing blocks that a similar set must share, bucket keys and their counts.
 
     Of `blocks` blocks at most `differ` differ between similar sets; both-empty ones say nothing and give no key. If a
     set has so many empty blocks that nothing must agree, it is sketched again at the next level, where the same holds for a
     similar one; the last level gives keys for empty blocks, too.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values = np.concatenate([np.zeros(0, np.uint64), *sets])
-    offsets = np.cumsum(sizes) - sizes
-    index, band = bands.of(sizes)
+    index, band = bands.of(chunk.sizes[chosen])
+    index = chosen[index]
     for level in range(LEVELS):
         if not len(index):
             return
         blocks = bands.blocks[band]
-        words, first = sketch(values, offsets[index], sizes[index], blocks, level)
+        words, first = sketch(chunk, index, blocks, level)
         row = np.repeat(np.arange(len(index)), blocks)
         filled = (words != 0) | (level == LEVELS - 1)
         count = np.bincount(row, filled, len(index)).astype(np.int64)
         must = count - bands.differ[band]
-        place = (np.arange(len(words)) - first[row]).astype(np.uint64)
         tag = (band * LEVELS + level).astype(np.uint64)
+        place = (np.arange(len(words)) - first[row]).astype(np.uint64)
         keys = mix(words ^ mix((place << np.uint64(TAG_BITS)) | tag[row], 211))
         keys = (keys & ~np.uint64((1 << TAG_BITS) - 1)) | tag[row]
         yield index, tag.astype(np.int64), np.maximum(must, 0), keys[filled].view(np.int64), count
@@ -101,65 +99,44 @@ def sketch_rows(sets: list[np.ndarray], bands: Bands) -> Iterator[tuple[np.ndarr
         index, band = index[again], band[again]
 
 
-def each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    hashes = WordHashes()
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        yield batch.column("doc_id").to_pylist(), [shingle_set(t.as_py(), hashes) for t in texts]
-
-
-def set_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each set."""
-    one = [np.add.reduce(mix(s, 301)) if len(s) else np.uint64(0) for s in sets]
-    two = [np.bitwise_xor.reduce(mix(s, 401)) if len(s) else np.uint64(0) for s in sets]
-    return np.array(one, np.uint64).view(np.int64), np.array(two, np.uint64).view(np.int64)
+        yield from shingle_chunks(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()))
 
 
 def describe(rows: DataFrame, bands: Bands) -> DataFrame:
     """Size and fingerprints of each document's set, and per tag how many agreeing blocks a similar set must share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in each_batch(batches):
-            tags: list[list[int]] = [[] for _ in ids]
-            musts: list[list[int]] = [[] for _ in ids]
-            for index, tag, must, _, _ in sketch_rows(sets, bands):
+        for chunk in chunks(batches):
+            tags: list[list[int]] = [[] for _ in chunk.ids]
+            musts: list[list[int]] = [[] for _ in chunk.ids]
+            for index, tag, must, _, _ in sketch_rows(chunk, np.arange(len(chunk.ids)), bands):
                 for i, t, m in zip(index.tolist(), tag.tolist(), must.tolist()):
                     tags[i].append(t)
                     musts[i].append(m)
-            one, two = set_prints(sets)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(one),
-                    pa.array(two),
-                    pa.array(tags, pa.list_(pa.int64())),
-                    pa.array(musts, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "print_1", "print_2", "tags", "musts"],
-            )
+            lists = pa.list_(pa.int64())
+            columns = [pa.array(chunk.ids, pa.int64()), *map(pa.array, (chunk.sizes, *chunk.prints())), pa.array(tags, lists), pa.array(musts, lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print_1", "print_2", "tags", "musts"])
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, print_1 long, print_2 long, tags array<long>, musts array<long>")
 
 
 def bucket_keys(rows: DataFrame, bands: Bands) -> DataFrame:
-    """key, doc_id for every block of every sketch; a set that occurs twice in a batch is sketched once."""
+    """key, doc_id for every block of every sketch; a set that occurs twice in a chunk is sketched once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in each_batch(batches):
-            one, two = set_prints(sets)
+        for chunk in chunks(batches):
             least: dict[tuple[int, int], int] = {}
-            for k in sorted((k for k in range(len(ids)) if ids[k] is not None), key=lambda k: -ids[k]):
-                least[int(one[k]), int(two[k])] = k
-            chosen = sorted(least.values())
-            names = np.array([ids[k] for k in chosen], np.int64)
-            for index, _, _, keys, count in sketch_rows([sets[k] for k in chosen], bands):
+            prints = list(zip(*(p.tolist() for p in chunk.prints())))
+            named = [k for k, name in enumerate(chunk.ids) if name is not None]
+            for k in sorted(named, key=lambda k: -chunk.ids[k]):
+                least[prints[k]] = k
+            names = np.array([name or 0 for name in chunk.ids], np.int64)
+            for index, _, _, keys, count in sketch_rows(chunk, np.array(sorted(least.values()), np.int64), bands):
+                ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[index]),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys)),
-                    ],
-                    names=["doc_id", "keys"],
+                    [pa.array(names[index]), pa.ListArray.from_arrays(ends, pa.array(keys))], names=["doc_id", "keys"]
                 )
 
     return rows.mapInArrow(run, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
@@ -169,9 +146,10 @@ def shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The sets of the documents in ids (node), broadcast where their number is small enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in each_batch(batches):
-            lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["doc_id", "shingles"])
+        for chunk in chunks(batches):
+            ends = pa.array(np.append(chunk.starts, len(chunk.values)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(chunk.values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids, pa.int64()), lists], names=["doc_id", "shingles"])
 
     return by_ids(rows, ids.selectExpr("node as doc_id"), "left_semi").mapInArrow(run, SETS)
 
@@ -232,31 +210,58 @@ def buckets_of(keys: DataFrame, described: DataFrame, classes: DataFrame) -> Dat
     return keep(useful.filter("n > 1"), "useful-buckets")
 
 
+def bit_sketches(sets: DataFrame) -> DataFrame:
+    """node, bits: a plain parity sketch of each set, its bits a power of two and two to four times the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shingles in batch.column("shingles"):
+                values = shingles.values.to_numpy().view(np.uint64)
+                size = 1 << max(6, int(2 * len(values) - 1).bit_length())
+                at = mix(values, 501) & np.uint64(size - 1)
+                flips = np.bincount(at.astype(np.int64), minlength=size) & 1
+                out.append(np.packbits(flips.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["node", "bits"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "node long, bits binary")
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the size of the smallest, which keeps parities."""
+    words = min(map(len, sketches)) // 8
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in sketches])
+
+
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one bucket that no link joins yet and whose sizes allow similarity, each found once.
+    """Pairs of nodes of one bucket that no link joins yet and whose sizes and sketches allow similarity, each once.
 
-    A bucket is cut into blocks, and a task compares two of them, so neither memory nor time of a task grows with
-    the bucket.
+    members: bucket, node, root, n_shingles, bits. A bucket is cut into blocks, and a task compares two of them, so neither
+    memory nor time of a task grows with the bucket. The Hamming distance of two sketches is at most the symmetric
+    difference of the sets, so a pair beyond what similar sets may differ in goes no further.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, root, size, block = (batch.column(c).to_numpy() for c in ("node", "root", "n_shingles", "block"))
-        first, second = batch.column("first")[0].as_py(), batch.column("second")[0].as_py()
+    def run(table: pa.Table) -> pa.Table:
+        node, root, size, block = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles", "block"))
+        sketches = folded(table.column("bits").to_pylist())
+        first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for i in left:
             other = right if first != second else right[node[right] > node[i]]
             fits = (root[other] != root[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))
             other = other[fits]
+            apart = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            other = other[(100 + percent) * apart <= (100 - percent) * (size[other] + size[i])]
             found.append(np.column_stack([np.minimum(node[other], node[i]), np.maximum(node[other], node[i])]))
-        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     numbered = members.withColumn("block", F.expr(f"(row_number() over (partition by bucket order by node) - 1) div {BLOCK}"))
     numbered = numbered.withColumn("blocks", F.max("block").over(Window.partitionBy("bucket")))
     spread = numbered.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks"))))
     spread = spread.select(
-        "bucket", "node", "root", "n_shingles", "block", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second")
+        "bucket", "node", "root", "n_shingles", "bits", "block", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second")
     )
     return spread.groupBy("bucket", "first", "second").applyInArrow(run, "a long, b long").distinct()
 
@@ -322,8 +327,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     roots = components(links)
 
     rooted = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "node")
-    split = rooted.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).filter("split").select("bucket")
-    left = block_pairs(rooted.join(split, "bucket"), percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    split = rooted.groupBy("bucket").agg(
+        (F.min("root") != F.max("root")).alias("split"), F.expr("bit_xor(xxhash64(node))").alias("members"), F.count(F.lit(1)).alias("n")
+    )
+    # buckets with the same members need one look
+    split = split.filter("split").groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    open_members = keep(rooted.select("bucket", "node", "root", "n_shingles").join(split, "bucket"), "open-members")
+    wanted = sets.join(open_members.selectExpr("node as doc_id").distinct(), "doc_id", "left_semi")
+    left = block_pairs(open_members.join(bit_sketches(wanted), "node"), percent)
+    left = left.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(keep(verify(left, sets, percent), "links"))
     roots = components(links).selectExpr("node as doc_id", "root")
     return described.join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -65,9 +65,9 @@ def scan_glob_timestamped(fx):
     return layout.tiles_to_cells(tiles).drop("layer")
 
 
-@check("scan_year_bands", "select time_index + (band - 1) * 864000 as time_index, col, row, 1 as band, value from {{cells}} where band <= 3")
+@check("scan_year_bands", "select time_index + (band - 1) * 864000 as time_index, col, row, 1 as band, value from {{cells}}")
 def scan_year_bands(fx):
-    return rasters.scan_year_bands(fx.cells, steps=3).drop("layer")
+    return rasters.scan_year_bands(fx.cells).drop("layer")
 
 
 @check("scan_dated_scene", "select 913523404 :: bigint as time_index, col, row, band, value from {{cells}}")

@@ -7,6 +7,7 @@ Parquet can prune on; the exact ones run only on rows the envelope test lets thr
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +52,16 @@ def edges_of(ring) -> Column:
     )
 
 
+def edges_of_rings(rings) -> Column:
+    """Edges of all rings of a polygon with holes, or of several polygons."""
+    return F.flatten(F.transform(as_col(rings), edges_of))
+
+
+def polygon_edges(df) -> Column:
+    """Edges from the column `rings` where df has it, else from `ring`."""
+    return edges_of_rings("rings") if "rings" in df.columns else edges_of("ring")
+
+
 def point_in_ring(x, y, ring) -> Column:
     """Even-odd rule on half-open edges."""
     return point_in_edges(x, y, edges_of(ring))
@@ -111,6 +122,21 @@ def footprint_meets_box(edges, own_box: dict, box: Column | dict) -> Column:
     return F.when(boxes_overlap(own_box, box), exact).otherwise(F.lit(False))
 
 
+def rings_from_geojson(text) -> Column:
+    """All rings of a GeoJSON Polygon or MultiPolygon, holes included; null when malformed."""
+    text = as_col(text)
+    one = F.from_json(text, "type string, coordinates array<array<array<double>>>")
+    many = F.from_json(text, "type string, coordinates array<array<array<array<double>>>>")
+
+    def points(ring):
+        return F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+
+    kind = F.get_json_object(text, "$.type")
+    return F.when(kind == "Polygon", F.transform(one["coordinates"], points)).when(
+        kind == "MultiPolygon", F.transform(F.flatten(many["coordinates"]), points)
+    )
+
+
 def ring_from_geojson(text) -> Column:
     """Outer ring of a GeoJSON Polygon; null when malformed."""
     parsed = F.from_json(as_col(text), "type string, coordinates array<array<array<double>>>")
@@ -133,27 +159,57 @@ def box_to_geojson(xmin, ymin, xmax, ymax) -> Column:
 
 
 def ring_from_ewkb(hex_text) -> Column:
-    """Outer ring of a hex (E)WKB polygon, either byte order. Arrow-batched."""
+    """First ring of a hex (E)WKB polygon, either byte order. Arrow-batched."""
+    return F.get(rings_from_ewkb(hex_text), F.lit(0))
 
-    @F.pandas_udf(RING)
-    def decode(texts: pd.Series) -> pd.Series:
-        import numpy as np
 
-        def one(text):
-            if text is None:
-                return None
-            raw = bytes.fromhex(text)
-            order = "<" if raw[0] == 1 else ">"
-            kind = int(np.frombuffer(raw, order + "u4", 1, 1)[0])
-            at = 5 + (4 if kind & 0x20000000 else 0)
-            if kind & 0xFF != 3:
-                return None
-            width = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
-            n = int(np.frombuffer(raw, order + "u4", 1, at + 4)[0])
-            pts = np.frombuffer(raw, order + "f8", n * width, at + 8).reshape(n, width)
-            return [{"x": float(p[0]), "y": float(p[1])} for p in pts]
+def rings_from_ewkb(hex_text) -> Column:
+    """All rings of a hex (E)WKB polygon or multipolygon, either byte order. Arrow-batched.
+
+    Only the few counts of a geometry are read one by one; its points are taken as one buffer a ring.
+    """
+
+    @F.arrow_udf(f"array<{RING}>")
+    def decode(texts: pa.Array) -> pa.Array:
+        import numpy as np
 
-        return texts.map(one, na_action=None)
+        def rings_at(raw, at, found):
+            order = "<" if raw[at] == 1 else ">"
+            kind = int(np.frombuffer(raw, order + "u4", 1, at + 1)[0])
+            at += 5 + (4 if kind & 0x20000000 else 0)
+            count = int(np.frombuffer(raw, order + "u4", 1, at)[0])
+            at += 4
+            if kind & 0xFF == 6:
+                for _ in range(count):
+                    at = rings_at(raw, at, found)
+            elif kind & 0xFF == 3:
+                width = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
+                for _ in range(count):
+                    n = int(np.frombuffer(raw, order + "u4", 1, at)[0])
+                    found.append(np.frombuffer(raw, order + "f8", n * width, at + 4).reshape(n, width)[:, :2].astype("<f8"))
+                    at += 4 + 8 * n * width
+            else:
+                raise ValueError("not a polygon")
+            return at
+
+        rings, per_row, known = [], [], []
+        for text in texts:
+            found: list = []
+            try:
+                rings_at(bytes.fromhex(text.as_py()), 0, found)
+                known.append(True)
+            except (TypeError, ValueError, IndexError):
+                found = []
+                known.append(False)
+            rings += found
+            per_row.append(len(found))
+        points = np.concatenate([np.zeros((0, 2)), *rings])
+        xy = pa.StructArray.from_arrays([pa.array(points[:, 0].copy()), pa.array(points[:, 1].copy())], names=["x", "y"])
+        ring_ends = np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype("int32")
+        row_ends = np.concatenate([[0], np.cumsum(per_row)]).astype("int32")
+        whole = pa.ListArray.from_arrays(pa.array(ring_ends), xy)
+        mask = pa.array([not k for k in known])
+        return pa.ListArray.from_arrays(pa.array(row_ends), whole, mask=mask)
 
     return decode(as_col(hex_text))
 

@@ -45,6 +45,12 @@ def _tagged(inputs: list[BandRef]) -> DataFrame:
     return out
 
 
+def _only(mine: Column, value: Column) -> Column:
+    """value, or an error where an input has two rows at a position: several layers in a frame, or unmerged scenes."""
+    twice = F.raise_error(F.lit("an input has two values for one position and band: select one layer, or mosaic first"))
+    return F.when(F.count_if(mine) > 1, twice.cast("double")).otherwise(value)
+
+
 def align(inputs: list[BandRef], inner: bool = True) -> DataFrame:
     """One row per position with columns v0..vn-1, one per input.
 
@@ -53,7 +59,7 @@ def align(inputs: list[BandRef], inner: bool = True) -> DataFrame:
     """
     n = len(inputs)
     tagged = _tagged(inputs)
-    picks = [F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"v{i}") for i in range(n)]
+    picks = [_only(F.col("slot") == i, F.max(F.when(F.col("slot") == i, F.col("value")))).alias(f"v{i}") for i in range(n)]
     seen = [F.max((F.col("slot") == i).cast("int")).alias(f"_has{i}") for i in range(n)]
     rows = tagged.groupBy(*POSITION).agg(*picks, *(seen if inner else []))
     if inner:
@@ -99,6 +105,8 @@ def local_avg(inputs: list[BandRef], name: str = "avg", skip_missing: bool = Fal
     )
     if skip_missing:
         return _as_layer(grouped, F.when(F.col("_k") > 0, F.col("_s") / F.col("_k")), name)
+    twice = F.raise_error(F.lit("an input has two values for one position and band: select one layer, or mosaic first"))
+    grouped = grouped.withColumn("_n", F.when(F.col("_n") > n, twice.cast("bigint")).otherwise(F.col("_n")))
     whole = grouped.filter(F.col("_n") == n)
     return _as_layer(whole, F.when(F.col("_k") == n, F.col("_s") / n), name)
 
@@ -123,10 +131,10 @@ def merge_layers(layers: list[DataFrame], name: str = "merged", first_wins: bool
 
 
 def fill_empty(wanted: DataFrame, cells: DataFrame, keys: list[str], value: float = 0.0) -> DataFrame:
-    """Every wanted key with its cell value, or a constant where no cell is stored."""
-    return wanted.join(cells.select(*keys, "value"), keys, "left").withColumn(
-        "value", F.coalesce("value", F.lit(value))
-    )
+    """Every wanted key with its cell value, or a constant where no cell is stored; a stored null stays null."""
+    stored = cells.select(*keys, "value", F.lit(True).alias("_stored"))
+    filled = F.when(F.col("_stored"), F.col("value")).otherwise(F.lit(value))
+    return wanted.join(stored, keys, "left").withColumn("value", filled).drop("_stored")
 
 
 def raster_calc(cells: DataFrame, expression: str, bands: list[int], name: str = "calc") -> DataFrame:

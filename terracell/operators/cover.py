@@ -132,19 +132,21 @@ def without_tiles(cover: DataFrame, tile_refs: DataFrame, keys: list[str]) -> Da
     return cover.join(tile_refs.select(*keys), keys, "left_anti")
 
 
-def aoi_data(aois: DataFrame, tiles: DataFrame, level: int, times: list[int] | None = None) -> DataFrame:
+def aoi_data(aois: DataFrame, tiles: DataFrame, level: int, times: list[int] | None = None, layer: str | None = None) -> DataFrame:
     """Cells under each AOI's envelope from slippy tiles: cover, join, latest-last mosaic, crop.
 
-    Output: aoi_id, zoom, tile_x, tile_y, col, row (within the tile), band, value.
+    Every layer, or the one named, is mosaicked on its own. Output: aoi_id, layer, zoom, tile_x, tile_y, col, row (within the tile), band, value.
     """
     stored = tiles.filter(F.col("zoom") == level)
     if times is not None:
         stored = stored.filter(F.col("time_index").isin(times))
+    if layer is not None:
+        stored = stored.filter(F.col("layer") == layer)
     cover = tiles_in_bbox(aois.select("aoi_id", *BOX), [level])
-    hits = small_join(stored.drop("layer"), cover, ["zoom", "tile_x", "tile_y"], ["aoi_id"])
+    hits = small_join(stored, cover, ["zoom", "tile_x", "tile_y"], ["aoi_id"])
     tile = tile_bbox(F.col("zoom"), F.col("tile_x"), F.col("tile_y"))
     cells = (
-        hits.select("aoi_id", *BOX, "zoom", "tile_x", "tile_y", "time_index", "cols", "rows", F.posexplode("bands").alias("b", "data"))
+        hits.select("aoi_id", *BOX, "layer", "zoom", "tile_x", "tile_y", "time_index", "cols", "rows", F.posexplode("bands").alias("b", "data"))
         .select("*", F.posexplode("data").alias("p", "value"))
         .filter(F.col("value").isNotNull())
         .withColumn("col", F.pmod("p", "cols").cast("int"))
@@ -153,7 +155,7 @@ def aoi_data(aois: DataFrame, tiles: DataFrame, level: int, times: list[int] | N
         .withColumn("_y", tile["ymax"] - (F.col("row") + 0.5) * (tile["ymax"] - tile["ymin"]) / F.col("rows"))
         .filter(F.col("_x").between(F.col("xmin"), F.col("xmax")) & F.col("_y").between(F.col("ymin"), F.col("ymax")))
     )
-    keys = ["aoi_id", "zoom", "tile_x", "tile_y", "col", "row"]
+    keys = ["aoi_id", "layer", "zoom", "tile_x", "tile_y", "col", "row"]
     return cells.groupBy(*keys, (F.col("b") + 1).alias("band")).agg(
         F.max_by("value", "time_index").alias("value")
     )

@@ -21,7 +21,8 @@ MAX_STEPS = 512
 
 
 def layer_steps(cells: DataFrame, step: str = "time_index", max_steps: int = MAX_STEPS) -> list[int]:
-    """The distinct steps of a layer, ascending; an error beyond max_steps."""
+    """The distinct steps of a layer, ascending; an error beyond max_steps, which the caller may raise: the matrix that is
+    brought together has max_steps squared entries."""
     found = [r[0] for r in cells.select(step).distinct().limit(max_steps + 1).collect()]
     if len(found) > max_steps:
         raise ValueError(f"more than {max_steps} time steps")
@@ -33,13 +34,13 @@ def fpca_gram(cells: DataFrame, step: str = "time_index", steps: list[int] | Non
 
     Pixels are brought together once (at most N values each); every task reduces its
     pixels to one N x N matrix, so what is shuffled after that does not grow with T. A missing
-    value counts as 0.
+    value counts as 0, several values of a pixel and step as their mean. With `steps` given, other steps are left out.
     """
     steps = steps or layer_steps(cells, step)
     pixel = pixel or ["col", "row"]
     n = len(steps)
     vectors = (
-        cells.filter(F.col("value").isNotNull())
+        cells.filter(F.col("value").isNotNull() & F.col(step).isin(steps))
         .groupBy(*pixel)
         .agg(F.collect_list(F.struct(F.col(step).cast("bigint").alias("s"), "value")).alias("pairs"))
         .select(
@@ -60,7 +61,10 @@ def fpca_gram(cells: DataFrame, step: str = "time_index", steps: list[int] | Non
             m = np.zeros((len(batch), n))
             who = np.repeat(np.arange(len(batch)), sizes)
             where = np.searchsorted(order, np.concatenate(batch["s"].to_list()))
-            m[who, where] = np.concatenate(batch["v"].to_list())
+            times = np.zeros_like(m)
+            np.add.at(m, (who, where), np.concatenate(batch["v"].to_list()))
+            np.add.at(times, (who, where), 1)
+            m /= np.maximum(times, 1)
             total += m.T @ m
             count += len(batch)
         if count:
@@ -94,15 +98,19 @@ def leading_pair(gram: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fpca_fit(
-    cells: DataFrame, step: str = "time_index", pixel: list[str] | None = None, steps: list[int] | None = None
+    cells: DataFrame,
+    step: str = "time_index",
+    pixel: list[str] | None = None,
+    steps: list[int] | None = None,
+    max_steps: int = MAX_STEPS,
 ) -> FpcaModel:
     """Fit the leading pair; N(N+1)/2 numbers reach the driver.
 
-    Steps known from the catalog (at most MAX_STEPS) spare the scan that looks for them.
+    Steps known from the catalog (at most max_steps) spare the scan that looks for them.
     """
-    steps = sorted(steps) if steps is not None else layer_steps(cells, step)
-    if len(steps) > MAX_STEPS:
-        raise ValueError(f"more than {MAX_STEPS} time steps")
+    steps = sorted(set(steps)) if steps is not None else layer_steps(cells, step, max_steps)
+    if len(steps) > max_steps:
+        raise ValueError(f"more than {max_steps} time steps")
     gram = np.zeros((len(steps), len(steps)))
     for r in fpca_gram(cells, step, steps, pixel).collect():
         gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["g"]
@@ -116,13 +124,17 @@ def _lookup(model: FpcaModel, values: list[float], step: str) -> Column:
 
 
 def fpca_components(cells: DataFrame, model: FpcaModel, step: str = "time_index", pixel: list[str] | None = None) -> DataFrame:
-    """(pixel, component): one partially aggregated sum per pixel. Null for an all-zero layer."""
+    """(pixel, component): a sum per pixel over the mean value of each step. Null for an all-zero layer.
+
+    Cells are shuffled by pixel once; both groupings work on that.
+    """
     pixel = pixel or ["col", "row"]
     if not model.steps:
         return cells.groupBy(*pixel).agg(F.lit(None).cast("double").alias("component"))
     weight = _lookup(model, [v / model.s if model.s else 0.0 for v in model.v], step)
+    means = cells.repartition(*pixel).groupBy(*pixel, step).agg(F.avg("value").alias("value"))
     total = F.sum(F.col("value") * weight)
-    return cells.groupBy(*pixel).agg((total if model.s else F.lit(None).cast("double")).alias("component"))
+    return means.groupBy(*pixel).agg((total if model.s else F.lit(None).cast("double")).alias("component"))
 
 
 def fpca_scores(components: DataFrame, model: FpcaModel) -> DataFrame:
@@ -145,12 +157,22 @@ def fpca_reconstruct(components: DataFrame, model: FpcaModel) -> DataFrame:
     )
 
 
-def fpca_image(cells: DataFrame, step_days: int = 10) -> DataFrame:
-    """First component over 10-day slots as a 0..255 image: (layer, col, row, component, stretched)."""
-    slotted = timestep_slots(cells, step_days)
+def fpca_image(cells: DataFrame, step_days: int = 10, max_steps: int = MAX_STEPS, max_layers: int = 100) -> DataFrame:
+    """First component over 10-day slots as a 0..255 image: (layer, col, row, component, stretched).
+
+    Every layer has a model of its own; scenes of one slot are averaged. More layers than max_layers are an error: select some.
+    """
+    names = [r["layer"] for r in cells.select("layer").distinct().limit(max_layers + 1).collect()]
+    if len(names) > max_layers:
+        raise ValueError(f"more than {max_layers} layers")
     pixel = ["layer", "col", "row"]
-    model = fpca_fit(slotted, "slot", pixel)
-    components = fpca_components(slotted, model, "slot", pixel)
+    parts = []
+    for name in sorted(names, key=str):
+        slotted = timestep_slots(cells.filter(F.col("layer").eqNullSafe(F.lit(name))), step_days)
+        parts.append(fpca_components(slotted, fpca_fit(slotted, "slot", pixel, max_steps=max_steps), "slot", pixel))
+    components = parts[0] if parts else cells.select(*pixel, F.lit(None).cast("double").alias("component")).limit(0)
+    for part in parts[1:]:
+        components = components.unionByName(part)
     ranges = components.groupBy("layer").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     return (
         summary_join(components, ranges, ["layer"])
@@ -160,7 +182,7 @@ def fpca_image(cells: DataFrame, step_days: int = 10) -> DataFrame:
 
 
 def fpca_per_pixel(cells: DataFrame, steps: list[int] | None = None) -> DataFrame:
-    """Per pixel: years x within-year steps matrix (rows = time_index, columns = band) to one
+    """Per pixel (several values of a year and step as their mean, other steps than those given left out): years x within-year steps matrix (rows = time_index, columns = band) to one
     component per step: (layer, col, row, step, component).
 
     A pixel's matrix is at most years x steps. Pixels are solved in stacked numpy batches.
@@ -168,7 +190,7 @@ def fpca_per_pixel(cells: DataFrame, steps: list[int] | None = None) -> DataFram
     steps = steps or layer_steps(cells, "band")
     n = len(steps)
     matrices = (
-        cells.filter(F.col("value").isNotNull())
+        cells.filter(F.col("value").isNotNull() & F.col("band").isin(steps))
         .groupBy("layer", "col", "row")
         .agg(F.collect_list(F.struct("time_index", "band", "value")).alias("m"))
         .select(
@@ -195,7 +217,10 @@ def fpca_per_pixel(cells: DataFrame, steps: list[int] | None = None) -> DataFram
             times, year = np.unique(np.concatenate(batch["t"].to_list()), return_inverse=True)
             where = np.searchsorted(order, np.concatenate(batch["b"].to_list()))
             m = np.zeros((rows, len(times), n))
-            m[who, year, where] = np.concatenate(batch["v"].to_list())
+            seen = np.zeros_like(m)
+            np.add.at(m, (who, year, where), np.concatenate(batch["v"].to_list()))
+            np.add.at(seen, (who, year, where), 1)
+            m /= np.maximum(seen, 1)
             values, vectors = np.linalg.eigh(m @ m.transpose(0, 2, 1) / n)
             v, s = vectors[:, :, -1], np.sqrt(np.maximum(values[:, -1], 0.0))
             size = np.abs(v)

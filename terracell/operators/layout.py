@@ -55,10 +55,15 @@ def cells_to_wide(cells: DataFrame, bands: list[int], keys: list[str] | None = N
     return cells.filter(F.col("band").isin(bands)).groupBy(*keys).agg(*picks)
 
 
-def select_bands(cells: DataFrame, numbers: list[int], renumber: bool = True) -> DataFrame:
-    """Keep the listed 1-based bands; with renumber they become 1..n in list order."""
+def select_bands(cells: DataFrame, numbers: list[int], renumber: bool = True, no_of_bands: int | None = None) -> DataFrame:
+    """Keep the listed 1-based bands; with renumber they become 1..n in list order.
+
+    With the dataset's no_of_bands, a number beyond it is an error instead of an empty layer.
+    """
     if not numbers or min(numbers) < 1:
         raise ValueError("band numbers start at 1")
+    if no_of_bands is not None:
+        check_bands(numbers, no_of_bands)
     kept = cells.filter(F.col("band").isin(numbers))
     if not renumber:
         return kept
@@ -78,22 +83,24 @@ def convert_cell_type(cells: DataFrame, cell_type: str) -> DataFrame:
     return cells.withColumn("value", to_cell_type("value", cell_type))
 
 
-def cells_to_tiles(cells: DataFrame, size: int, bands: int, zoom: int = 0) -> DataFrame:
+def cells_to_tiles(cells: DataFrame, size: int, bands: int, zoom: int | None = 0) -> DataFrame:
     """Cut cells into size x size tiles of dense row-major arrays, null where no cell is.
 
     Cells are shuffled once, by tile, and each tile is filled in one numpy step; a group is at
-    most size * size * bands values. A cell has one value per time and band: mosaic overlapping
-    inputs first.
+    most size * size * bands values. With zoom None the cells have a column `zoom`. A cell has one value per time and band:
+    two values, or a band outside 1..bands, are an error, since either would lose a value.
     """
     n = size * size
     place = F.pmod("row", F.lit(size)) * size + F.pmod("col", F.lit(size))
-    tagged = cells.filter(F.col("value").isNotNull() & F.col("band").between(1, bands)).select(
+    outside = F.raise_error(F.concat(F.lit("band "), F.col("band").cast("string"), F.lit(f" is outside 1..{bands}")))
+    slot = F.when(F.col("band").between(1, bands), ((F.col("band") - 1) * n + place).cast("int")).otherwise(outside)
+    tagged = cells.filter(F.col("value").isNotNull()).select(
         "layer",
-        F.lit(zoom).alias("zoom"),
+        F.col("zoom") if zoom is None else F.lit(zoom).alias("zoom"),
         intdiv("col", size).cast("int").alias("tile_x"),
         intdiv("row", size).cast("int").alias("tile_y"),
         "time_index",
-        ((F.col("band") - 1) * n + place).cast("int").alias("slot"),
+        slot.alias("slot"),
         F.col("value").cast("double").alias("value"),
     )
 
@@ -104,8 +111,10 @@ def cells_to_tiles(cells: DataFrame, size: int, bands: int, zoom: int = 0) -> Da
         values, empty = np.zeros(bands * n), np.ones(bands * n, dtype=bool)
         slots = table.column("slot").to_numpy()
         values[slots], empty[slots] = table.column("value").to_numpy(), False
-        arrays = pa.ListArray.from_arrays(np.arange(bands + 1, dtype="int32") * n, pa.array(values, mask=empty))
         key = table.slice(0, 1).select(["layer", "zoom", "tile_x", "tile_y", "time_index"])
+        if len(slots) > bands * n - empty.sum():
+            raise ValueError(f"a cell of tile {key.to_pylist()[0]} has two values for one band: mosaic first")
+        arrays = pa.ListArray.from_arrays(np.arange(bands + 1, dtype="int32") * n, pa.array(values, mask=empty))
         shape = pa.array([size], pa.int32())
         whole = pa.ListArray.from_arrays(np.array([0, bands], dtype="int32"), arrays)
         return key.append_column("cols", shape).append_column("rows", shape).append_column("bands", whole)
@@ -113,14 +122,16 @@ def cells_to_tiles(cells: DataFrame, size: int, bands: int, zoom: int = 0) -> Da
     return tagged.groupBy("layer", "zoom", "tile_x", "tile_y", "time_index").applyInArrow(fill, TILES)
 
 
-def tiles_to_cells(tiles: DataFrame, keep_null: bool = False) -> DataFrame:
+def tiles_to_cells(tiles: DataFrame, keep_null: bool = False, with_zoom: bool = False) -> DataFrame:
     """One row per cell; col and row are global (tile key times tile size plus offset)."""
+    zoom = ["zoom"] if with_zoom else []
     banded = tiles.select(
-        "layer", "time_index", "tile_x", "tile_y", "cols", "rows", F.posexplode("bands").alias("b", "data")
+        "layer", *zoom, "time_index", "tile_x", "tile_y", "cols", "rows", F.posexplode("bands").alias("b", "data")
     )
     cells = banded.select("*", F.posexplode("data").alias("p", "value"))
     out = cells.select(
         "layer",
+        *zoom,
         "time_index",
         (F.col("tile_x") * F.col("cols") + F.pmod("p", "cols")).cast("int").alias("col"),
         (F.col("tile_y") * F.col("rows") + intdiv("p", "cols")).cast("int").alias("row"),
@@ -130,9 +141,10 @@ def tiles_to_cells(tiles: DataFrame, keep_null: bool = False) -> DataFrame:
     return out if keep_null else out.filter(F.col("value").isNotNull())
 
 
-def retile(tiles: DataFrame, size: int, bands: int, zoom: int = 0) -> DataFrame:
-    """Re-cut the tiles of one zoom to another tile size; edge tiles are padded with nulls."""
-    return cells_to_tiles(tiles_to_cells(tiles.filter(F.col("zoom") == zoom)), size, bands, zoom)
+def retile(tiles: DataFrame, size: int, bands: int, zoom: int | None = None) -> DataFrame:
+    """Re-cut the tiles of every zoom, or of one, to another tile size; edge tiles are padded with nulls."""
+    kept = tiles if zoom is None else tiles.filter(F.col("zoom") == zoom)
+    return cells_to_tiles(tiles_to_cells(kept, with_zoom=True), size, bands, None)
 
 
 def stitch(tiles: DataFrame) -> DataFrame:

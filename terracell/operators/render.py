@@ -59,10 +59,12 @@ def tile_render_query(
     vmax: float = 1.0,
     size: int = 256,
     levels: tuple[int, int] = (MIN_ZOOM, MAX_ZOOM),
+    layer: str | None = None,
 ) -> DataFrame:
     """RGBA pixels of a batch of map-tile requests, clipped to each request's AOI.
 
-    requests: request_id, z, x, y, time_index, aoi_id. aois: aoi_id, xmin..ymax, ring. tiles: stored
+    requests: request_id, z, x, y, time_index, aoi_id, and `layer` where each names the one it wants; else `layer` names
+    one for all. Without either, `tiles` must hold one layer. aois: aoi_id, xmin..ymax, ring. tiles: stored
     slippy tiles. A request outside its AOI's envelope yields nothing. Output pixels are
     (request_id, col, row); null or masked pixels are transparent.
 
@@ -97,7 +99,11 @@ def tile_render_query(
             F.explode(F.sequence(lat_to_tile_y(F.col("_n") - dy / 2, F.col("zoom")), lat_to_tile_y(F.col("_s") + dy / 2, F.col("zoom")))),
         )
     )
+    if layer is not None:
+        tiles = tiles.filter(F.col("layer") == layer)
+    asked_for = ["layer"] if "layer" in requests.columns else []
     stored = tiles.select(
+        *asked_for,
         "zoom",
         "tile_x",
         "tile_y",
@@ -106,7 +112,7 @@ def tile_render_query(
         "rows",
         *[F.get("bands", F.lit(n - 1)).alias(f"_d{k}") for k, n in zip("rgb", (red, green, blue))],
     )
-    keys = ["zoom", "tile_x", "tile_y", "time_index"]
+    keys = [*asked_for, "zoom", "tile_x", "tile_y", "time_index"]
     hits = small_join(stored, covered, keys, ["request_id"]).withColumn(
         "_t", tile_bbox(F.col("zoom"), F.col("tile_x"), F.col("tile_y"))
     )

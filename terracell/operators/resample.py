@@ -97,21 +97,21 @@ def _gather(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def resample(
-    cells: DataFrame, src: Grid, dst: Grid, cols: int, rows: int, method: str = "bilinear", mercator: bool = False, name: str = "resampled"
+    cells: DataFrame, src: Grid, dst: Grid, cols: int, rows: int, method: str = "bilinear", mercator: bool = False
 ) -> DataFrame:
-    """Cells on another grid; method is nearest, bilinear or cubic."""
+    """Cells on another grid, layer by layer; method is nearest, bilinear or cubic."""
     x, y = _axes(dst, cols, rows, mercator)
     parts = _scatter(cells, src, x, y, method)
-    keys = ["time_index", "i", "j", "band"]
+    keys = ["layer", "time_index", "i", "j", "band"]
     out = parts.select(*keys, "value") if method == "nearest" else _gather(parts, keys)
     return out.filter(F.col("value").isNotNull()).select(
-        F.lit(name).alias("layer"), "time_index", F.col("i").alias("col"), F.col("j").alias("row"), "band", "value"
+        "layer", "time_index", F.col("i").alias("col"), F.col("j").alias("row"), "band", "value"
     )
 
 
 def reproject_webmercator(cells: DataFrame, src: Grid, dst: Grid, cols: int, rows: int, method: str = "bilinear") -> DataFrame:
     """Degrees to a Web Mercator grid given in metres."""
-    return resample(cells, src, dst, cols, rows, method, mercator=True, name="webmercator")
+    return resample(cells, src, dst, cols, rows, method, mercator=True)
 
 
 def pyramid(cells: DataFrame, levels: int, how: str = "nearest") -> DataFrame:
@@ -172,14 +172,16 @@ def ingest_pyramid(cells: DataFrame, src: Grid, levels: list[int] | None = None,
 def overzoom(requests: DataFrame, tile_cells: DataFrame, max_zoom: int = MAX_ZOOM, size: int = 256) -> DataFrame:
     """Requested tiles beyond the stored zoom: the matching window of the ancestor, blown up.
 
-    requests: request_id, z, x, y. tile_cells: zoom, tile_x, tile_y, time_index, band, col, row,
-    value. Output: request_id, time_index, band, col, row, value. A tile at or below max_zoom is
+    requests: request_id, z, x, y, and `layer` where each asks for one. tile_cells: layer, zoom, tile_x, tile_y, time_index,
+    band, col, row, value. Output: request_id, layer, time_index, band, col, row, value. A tile at or below max_zoom is
     returned as it is stored.
     """
     dz = F.greatest(F.col("z") - max_zoom, F.lit(0))
+    asked = ["layer"] if "layer" in requests.columns else []
     up = requests.withColumn("_dz", dz).withColumn("_a", ancestor("x", "y", F.col("_dz")))
     keyed = up.select(
         "request_id",
+        *asked,
         F.col("_dz"),
         (F.col("z") - F.col("_dz")).cast("int").alias("zoom"),
         F.col("_a.tile_x").alias("tile_x"),
@@ -187,7 +189,7 @@ def overzoom(requests: DataFrame, tile_cells: DataFrame, max_zoom: int = MAX_ZOO
         (F.col("_a.off_x") * size).alias("_ox"),
         (F.col("_a.off_y") * size).alias("_oy"),
     )
-    hits = small_join(tile_cells, keyed, ["zoom", "tile_x", "tile_y"], ["request_id"])
+    hits = small_join(tile_cells, keyed, [*asked, "zoom", "tile_x", "tile_y"], ["request_id"])
     n = pow2("_dz")
 
     def targets(cell: str, origin: str) -> Column:
@@ -199,6 +201,6 @@ def overzoom(requests: DataFrame, tile_cells: DataFrame, max_zoom: int = MAX_ZOO
         hits.withColumn("_i", F.explode(targets("col", "_ox")))
         .withColumn("_j", F.explode(targets("row", "_oy")))
         .select(
-            "request_id", "time_index", "band", F.col("_i").cast("int").alias("col"), F.col("_j").cast("int").alias("row"), "value"
+            "request_id", "layer", "time_index", "band", F.col("_i").cast("int").alias("col"), F.col("_j").cast("int").alias("row"), "value"
         )
     )

@@ -124,14 +124,17 @@ def time_range(df: DataFrame, start=None, end=None, column: str = "time_index")
     return df
 
 
-def band_to_timestep(cells: DataFrame, step_days: int = STEP_DAYS, steps: int = STEPS_PER_YEAR) -> DataFrame:
-    """Year files whose bands are time steps: band i of a file starting at t0 is t0 + (i-1) steps."""
-    first = F.col("time_index")
-    return (
-        cells.filter(F.col("band") <= steps)
-        .withColumn("time_index", first + (F.col("band") - 1).cast("bigint") * (step_days * DAY))
-        .withColumn("band", F.lit(1))
-    )
+def band_to_timestep(cells: DataFrame, step_days: int = STEP_DAYS, steps: int | None = None) -> DataFrame:
+    """Year files whose bands are time steps: band i of a file starting at t0 is t0 + (i-1) steps.
+
+    All bands are taken. Where the caller states how many steps a file has (a year of ten-day steps has STEPS_PER_YEAR), a band
+    beyond them is an error.
+    """
+    band = F.col("band")
+    if steps is not None:
+        beyond = F.raise_error(F.concat(F.lit("band "), band.cast("string"), F.lit(f" is beyond {steps} steps")))
+        band = F.when(band <= steps, band).otherwise(beyond)
+    return cells.withColumn("time_index", F.col("time_index") + (band - 1).cast("bigint") * (step_days * DAY)).withColumn("band", F.lit(1))
 
 
 def timestep_slots(cells: DataFrame, step_days: int = STEP_DAYS) -> DataFrame:

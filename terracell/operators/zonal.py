@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._col import intdiv
-from ..functions.geom import edges_of
-from ..plans.joins import small_join
+from ..functions.geom import polygon_edges
+from ..plans.joins import fan_out, small_join
 from .layout import Grid
 
 #: columns per join block: narrow enough that a cell meets few spans, wide enough that spans stay few
@@ -31,18 +31,22 @@ def _first_col_from(x: Column, grid: Grid) -> Column:
 def polygon_spans(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", cols: int | None = None, rows: int | None = None) -> DataFrame:
     """(id, row, c0, c1): columns c0..c1 of a raster row lie inside the polygon.
 
-    aois has an id and a closed `ring`. Spans are cut to the raster when its size is given.
+    aois has an id and a closed `ring`, or `rings` where polygons have holes or several parts (even-odd over all
+    rings). Keys may be negative; where a raster's size is given in either direction, spans are cut to it
+    and to keys from 0 on.
     """
-    edges = aois.select(id_col, F.explode(edges_of("ring")).alias("e")).select(
+    edges = aois.select(id_col, F.explode(polygon_edges(aois)).alias("e")).select(
         id_col, "e.x1", "e.y1", "e.x2", "e.y2"
     )
     top = F.floor((F.lit(grid.y0) - F.greatest("y1", "y2")) / grid.dy - 0.5).cast("int")
     bottom = F.ceil((F.lit(grid.y0) - F.least("y1", "y2")) / grid.dy - 0.5).cast("int")
-    top = F.greatest(top, F.lit(0))
+    if rows is not None or cols is not None:
+        top = F.greatest(top, F.lit(0))
     if rows is not None:
         bottom = F.least(bottom, F.lit(rows - 1))
+    # edges are spread before each becomes one row per raster row, so a very detailed polygon is many tasks' work
     crossings = (
-        edges.filter(F.col("y1") != F.col("y2"))
+        fan_out(edges.filter(F.col("y1") != F.col("y2")))
         .withColumn("_top", top)
         .withColumn("_bottom", bottom)
         .filter(F.col("_top") <= F.col("_bottom"))
@@ -62,7 +66,7 @@ def polygon_spans(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", cols: int
     spans = sorted_x.select(id_col, "row", F.explode(pairs).alias("_s")).select(
         id_col,
         "row",
-        F.greatest(_first_col_from(F.col("_s.a"), grid), F.lit(0)).alias("c0"),
+        F.greatest(_first_col_from(F.col("_s.a"), grid), F.lit(None if rows is None and cols is None else 0).cast("int")).alias("c0"),
         (_first_col_from(F.col("_s.b"), grid) - 1).alias("c1"),
     )
     if cols is not None:

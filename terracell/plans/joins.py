@@ -14,6 +14,8 @@ from .storage import cut
 
 #: a summary with at most this many rows is broadcast
 SUMMARY_ROWS = 200_000
+#: and at most this many bytes of text
+BROADCAST_BYTES = 64_000_000
 #: rows of one join key that one task should handle
 ROWS_PER_TASK = 2_000_000
 #: copies of the small side when a summary is too large to broadcast
@@ -46,17 +48,37 @@ def rebalance(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys)
 
 
+def measured(df: DataFrame, keys: list[str]) -> dict:
+    """Of a computed table, in one pass: rows, bytes (as text), and the least and largest value of each key."""
+    ends = [f(k).alias(f"{name}_{k}") for k in keys for name, f in (("low", F.min), ("high", F.max))]
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")
+    return df.agg(F.count(F.lit(1)).alias("rows"), size, *ends).first().asDict()
+
+
+def small_enough(size: dict, max_rows: int) -> bool:
+    return size["rows"] <= max_rows and size["bytes"] <= BROADCAST_BYTES
+
+
+def within(df: DataFrame, keys: list[str], size: dict) -> DataFrame:
+    """Rows whose keys lie between the measured ends: plain comparisons, which prune files and row groups of a stored table."""
+    plain = dict(df.dtypes)
+    for k in keys:
+        if size[f"low_{k}"] is not None and plain[k] in ("int", "bigint", "string", "date", "timestamp", "smallint", "tinyint"):
+            df = df.filter(F.col(k).between(size[f"low_{k}"], size[f"high_{k}"]))
+    return df
+
+
 def summary_join(
     big: DataFrame, summary: DataFrame, on: list[str], how: str = "inner", max_rows: int = SUMMARY_ROWS
 ) -> DataFrame:
     """Attach a per-group summary (one row per key) to the rows it was grouped from.
 
-    The summary is computed once and counted. Up to max_rows it is broadcast, so the
+    The summary is computed once and measured. Up to max_rows and BROADCAST_BYTES it is broadcast, so the
     big side is not shuffled at all; beyond that, both sides are salted, so a key holding
     a large share of the rows is spread over many tasks.
     """
     summary = cut(summary)
-    if summary.count() <= max_rows:
+    if small_enough(measured(summary, []), max_rows):
         return big.join(F.broadcast(summary), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(FALLBACK_SALTS)))
     copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(FALLBACK_SALTS - 1).cast("bigint"))))
@@ -73,15 +95,20 @@ def small_join(
 ) -> DataFrame:
     """Equi-join of stored data with a side that is usually small (spans, points, requests).
 
-    The side is computed once and counted. Up to max_rows it is broadcast, so the stored data is
-    never shuffled for it; beyond that the join is a shuffled one that spreads the side's hot keys.
+    The side is computed once and measured, here, while the plan is built. Its key ranges reach the scan of the stored data, which
+    then reads only the files and row groups that can match. Up to max_rows and BROADCAST_BYTES the side is
+    broadcast, so the stored data is never shuffled for it; beyond that the join is a shuffled one that spreads hot keys.
     """
     small = cut(small)
-    if small.count() <= max_rows:
+    size = measured(small, on)
+    if how in ("inner", "left_semi"):
+        big = within(big, on, size)
+    if small_enough(size, max_rows):
         return big.join(F.broadcast(small), on, how)
     if how == "inner":
         return skew_join(small, big, on, spread_by)
-    return big.join(small, on, how)
+    # one row per key on the small side: the stored rows of a hot key are spread, its row copied
+    return skew_join(big, small, on, [c for c in big.columns if c not in on][:2] or on, how)
 
 
 def skew_join(
@@ -156,7 +183,7 @@ def box_join(
 
     keys = [*on, "_bx", "_by"]
     boxes = cut(spread(other, "b_"))
-    if boxes.count() <= max_rows:
+    if small_enough(measured(boxes, []), max_rows):
         joined = spread(fan_out(big, *spread_by), "").join(F.broadcast(boxes), keys)
     else:
         joined = skew_join(spread(big, ""), boxes, keys, spread_by, "inner", rows_per_task, multiplies=True)

@@ -87,7 +87,7 @@ def with_path_time(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("time_index", ts_to_time_index(year_start(year_from_path(path))))
 
 
-def scan_year_bands(cells: DataFrame, steps: int = 36) -> DataFrame:
+def scan_year_bands(cells: DataFrame, steps: int | None = None) -> DataFrame:
     """Year files whose bands are 10-day steps to one band over time."""
     return band_to_timestep(cells, steps=steps)
 

@@ -171,7 +171,7 @@ def test_year_file_bands(spark):
     start = 252460800  # 1998-01-01 in seconds since 1990
     layer = cells_of(spark, [(start, 0, 0, b, float(b)) for b in range(1, 43)])
     got = series.band_to_timestep(layer).withColumn("ts", timeindex.time_index_to_ts("time_index")).orderBy("ts").collect()
-    assert len(got) == 36 and str(got[0]["ts"]) == "1998-01-01 00:00:00" and str(got[-1]["ts"]) == "1998-12-17 00:00:00"
+    assert len(got) == 42 and str(got[0]["ts"]) == "1998-01-01 00:00:00" and str(got[35]["ts"]) == "1998-12-17 00:00:00"
 
 
 def test_ewkb_polygon(spark):
@@ -291,3 +291,97 @@ def test_model_errors(spark):
 def test_unsupported_crs_is_an_error(spark):
     with pytest.raises(ValueError):
         grid.reproject_point(F.lit(1.0), F.lit(1.0), 4326, 32644)
+
+
+def square(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+
+def test_holes_and_parts_from_both_codecs(spark):
+    import json
+
+    outer, hole, part = square(0, 0, 8, 8), square(2, 2, 5, 5), square(10, 1, 12, 3)
+
+    def wkb(rings):
+        return struct.pack("<BII", 1, 3, len(rings)) + b"".join(
+            struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings
+        )
+
+    multi = struct.pack("<BIII", 1, 0x20000006, 4326, 2) + wkb([outer, hole]) + wkb([part])
+    text = json.dumps({"type": "MultiPolygon", "coordinates": [[outer, hole], [part]]})
+    df = spark.createDataFrame([(1, multi.hex(), text), (2, "00zz", "{}"), (3, None, None)], "aoi_id int, h string, j string")
+    decoded = df.select("aoi_id", geom.rings_from_ewkb("h").alias("rings"), geom.rings_from_geojson("j").alias("again"))
+    rows = decoded.orderBy("aoi_id").collect()
+    assert [[(p["x"], p["y"]) for p in r] for r in rows[0]["rings"]] == [outer, hole, part]
+    assert rows[0]["rings"] == rows[0]["again"] and rows[1]["rings"] is None and rows[2]["again"] is None
+    cell = Grid(0.0, 8.0, 1.0, 1.0)
+    got = {(r["col"], r["row"]) for r in zonal.rasterize_polygon(decoded.filter("aoi_id = 1"), cell).collect()}
+    inside = lambda x, y, s: s[0][0] < x < s[1][0] and s[0][1] < y < s[2][1]
+    centres = {(c, r): (c + 0.5, 7.5 - r) for c in range(14) for r in range(9)}
+    assert got == {k for k, p in centres.items() if (inside(*p, outer) and not inside(*p, hole)) or inside(*p, part)}
+
+
+def test_polygons_at_negative_keys(spark):
+    """Cells left of and above the grid's corner are found, masked and counted like all others."""
+    cell = Grid(0.0, 0.0, 1.0, 1.0)
+    ring = [{"x": float(x), "y": float(y)} for x, y in square(-70, -2, 3, 5)]
+    aoi = spark.createDataFrame([(1, ring)], "aoi_id int, ring array<struct<x:double,y:double>>")
+    layer = cells_of(spark, [(0, c, r, 1, 1.0) for c in range(-72, 6) for r in range(-7, 4)])
+    wanted = {(c, r) for c in range(-70, 3) for r in range(-5, 2)}
+    assert {(r["col"], r["row"]) for r in zonal.zonal_cells(layer, aoi, cell).collect()} == wanted
+    kept = zonal.clip_to_aoi(layer, aoi, cell).filter("value is not null").collect()
+    assert {(r["col"], r["row"]) for r in kept} == wanted
+    cut = {(r["col"], r["row"]) for r in zonal.rasterize_polygon(aoi, cell, cols=2, rows=9).collect()}
+    assert cut == {(c, r) for c, r in wanted if 0 <= c < 2 and 0 <= r}
+
+
+def raises(df, text):
+    with pytest.raises(Exception, match=text):
+        df.collect()
+
+
+def test_nothing_is_cut_off_silently(spark):
+    raises(layout.cells_to_tiles(cells_of(spark, [(0, 0, 0, 3, 1.0)]), 4, 2), "outside 1..2")
+    raises(layout.cells_to_tiles(cells_of(spark, [(0, 0, 0, 1, 1.0), (0, 0, 0, 1, 2.0)]), 4, 2), "two values")
+    many = cells_of(spark, [(0, 0, 0, b, float(b)) for b in range(1, 50)])
+    assert series.band_to_timestep(many).count() == 49
+    raises(series.band_to_timestep(many, steps=36), "beyond 36 steps")
+    with pytest.raises(ValueError, match="outside 1..5"):
+        layout.select_bands(many, [9], no_of_bands=5)
+    two = layout.cells_to_tiles(cells_of(spark, [(0, 9, 0, 1, 1.0)]), 4, 1).unionByName(layout.cells_to_tiles(cells_of(spark, [(0, 9, 0, 1, 2.0)]), 4, 1, zoom=3))
+    assert {(r["zoom"], r["tile_x"]) for r in layout.retile(two, 3, 1).collect()} == {(0, 3), (3, 3)}
+
+
+def test_two_layers_are_not_mixed(spark):
+    rows = [(0, c, r, b, float(10 * b + c)) for c in range(4) for r in range(4) for b in (1, 2)]
+    one = cells_of(spark, rows)
+    both = one.unionByName(one.withColumn("layer", F.lit("m")).withColumn("value", F.col("value") * 100))
+    raises(algebra.ndi((both, 1), (both, 2)), "two values")
+    raises(algebra.local_avg([(both, 1), (both, 2)]), "two values")
+    grid0, half = Grid(0.0, 4.0, 1.0, 1.0), Grid(0.0, 4.0, 0.5, 0.5)
+    alone = resample.resample(one, grid0, half, 8, 8).collect()
+    mixed = resample.resample(both, grid0, half, 8, 8).collect()
+    assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in mixed if r["layer"] == "l") and len(mixed) == 2 * len(alone)
+
+
+def test_fpca_with_repeated_slots_and_foreign_steps(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, c, 0, 1, float(rng.integers(1, 100))) for t in (0, 0, 1, 2, 2, 2, 7) for c in range(6)]
+    means = np.zeros((3, 6))
+    for t in range(3):
+        for c in range(6):
+            means[t, c] = np.mean([v for s, x, _, _, v in rows if (s, x) == (t, c)])
+    for order in (rows, rows[::-1]):
+        layer = cells_of(spark, order)
+        got = {(r["i"], r["j"]): r["g"] for r in fpca.fpca_gram(layer, steps=[0, 1, 2]).collect()}
+        assert all(abs(got[i, j] - (means @ means.T / 6)[i, j]) < 1e-9 for i in range(3) for j in range(i, 3))
+        model = fpca.fpca_fit(layer, steps=[0, 1, 2])
+        comp = {r["col"]: r["component"] for r in fpca.fpca_components(layer, model).collect()}
+        assert all(abs(comp[c] - means[:, c] @ np.array(model.v) / model.s) < 1e-9 for c in range(6))
+
+
+def test_stored_nulls_are_not_filled(spark):
+    wanted = spark.createDataFrame([(0,), (1,), (2,)], "col int")
+    stored = spark.createDataFrame([(0, 5.0), (1, None)], "col int, value double")
+    got = {r["col"]: r["value"] for r in algebra.fill_empty(wanted, stored, ["col"]).collect()}
+    assert got == {0: 5.0, 1: None, 2: 0.0}

@@ -63,7 +63,8 @@ def within(df: DataFrame, keys: list[str], size: dict) -> DataFrame:
     """Rows whose keys lie between the measured ends: plain comparisons, which prune files and row groups of a stored table."""
     plain = dict(df.dtypes)
     for k in keys:
-        if size[f"low_{k}"] is not None and plain[k] in ("int", "bigint", "string", "date", "timestamp", "smallint", "tinyint"):
+        if size[f"low_{k}"] is not None and plain[k].split("(")[0] in (
+            "decimal", "int", "bigint", "string", "date", "timestamp", "smallint", "tinyint"):
             df = df.filter(F.col(k).between(size[f"low_{k}"], size[f"high_{k}"]))
     return df
 

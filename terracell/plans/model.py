@@ -9,7 +9,8 @@ from ..operators.algebra import local_avg, ndi
 from ..operators.cover import aoi_tile_refs
 from ..operators.layout import select_bands, tiles_to_cells
 from ..operators.series import savgol
-from ..operators.tiles import tile_local_avg, tile_ndi
+from ..operators.tiles import tile_local_avg, tile_ndi, tile_select_bands
+from ..operators.tilestack import tile_savgol
 from ..functions.grid import MAX_ZOOM
 from .joins import small_join
 
@@ -54,6 +55,10 @@ def _local_avg(inputs, spec):
 def _savgol(inputs, spec):
     if len(inputs) != 1:
         raise ValueError("smoothing takes one input")
+    if _tiled(inputs):
+        layer, band = inputs[0]
+        picked = layer if band is None else tile_select_bands(layer, [band])
+        return tile_savgol(picked, spec.get("window", 5), spec.get("degree", 2))
     layer, band = _as_cells(inputs)[0]
     picked = layer if band is None else select_bands(layer, [band])
     return savgol(picked, spec.get("window", 5), spec.get("degree", 2))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions._col import intdiv
 from ..functions.geom import boxes_overlap
 from ..operators.series import time_range
-from ..plans.joins import rebalance
+from ..plans.joins import rebalance, small_join
 from ..plans.storage import cut, path_exists
 from ..schema import BAND_META
 
@@ -63,10 +63,11 @@ def parse_band_meta(datasets: DataFrame, column: str = "band_meta") -> DataFrame
 def tile_point_lookup(tile_refs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stored tile for each (dataset_id, zoom_level, z_index) asked for; the smallest path if several.
 
-    Stored rows are reduced per key on the map side, so a key stored many times stays cheap.
+    The wanted key ranges prune the scan. Stored rows are reduced per key on the map side, so a key stored many
+    times stays cheap.
     """
     keys = ["dataset_id", "zoom_level", "z_index"]
-    hits = tile_refs.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    hits = small_join(tile_refs, wanted.select(*keys).distinct(), keys, keys, "left_semi")
     return hits.groupBy(*keys).agg(F.min("file_path").alias("file_path"))
 
 

@@ -385,3 +385,36 @@ def test_stored_nulls_are_not_filled(spark):
     stored = spark.createDataFrame([(0, 5.0), (1, None)], "col int, value double")
     got = {r["col"]: r["value"] for r in algebra.fill_empty(wanted, stored, ["col"]).collect()}
     assert got == {0: 5.0, 1: None, 2: 0.0}
+
+
+def test_tiles_and_cells_agree_where_values_are_missing(spark):
+    from terracell.operators import tilestack as stack
+
+    rng = np.random.default_rng(3)
+    rows = [(t, c, r, b, float(rng.integers(1, 99))) for t in range(9) for c in range(5) for r in range(4) for b in (1, 2) if rng.random() < 0.7]
+    layer = cells_of(spark, rows)
+    tiles = layout.cells_to_tiles(layer, 3, 2)
+
+    def rounded(df):
+        return sorted((r["time_index"], r["col"], r["row"], r["band"], round(r["value"], 9)) for r in df.collect())
+
+    for window, degree in ((5, 2), (4, 2), (3, 1)):
+        assert rounded(layout.tiles_to_cells(stack.tile_savgol(tiles, window, degree))) == rounded(series.savgol(layer, window, degree))
+    newest = stack.tile_latest(tiles)
+    got = {(r["col"], r["row"], r["band"]): r["value"] for r in layout.tiles_to_cells(newest).collect()}
+    assert got == {(r["col"], r["row"], r["band"]): r["value"] for r in series.latest_per_cell(layer).collect()}
+    one = layer.filter("band = 1")
+    gram = {(r["i"], r["j"]): r["g"] for r in stack.tile_fpca_gram(layout.cells_to_tiles(one, 3, 1), list(range(9))).collect()}
+    want = {(r["i"], r["j"]): r["g"] for r in fpca.fpca_gram(one, steps=list(range(9))).collect()}
+    assert gram.keys() == want.keys() and all(abs(gram[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_no_cell_is_shuffled_for_stored_tiles(spark):
+    from terracell.operators import tilestack as stack
+
+    tiles = layout.cells_to_tiles(cells_of(spark, [(t, 0, 0, 1, 1.0) for t in range(3)]), 4, 1)
+    stored = spark.createDataFrame(tiles.collect(), tiles.schema)
+    for df in (stack.tile_savgol(stored), stack.tile_latest(stored), stack.tile_fpca_gram(stored, [0, 1, 2]), stack.tile_rgb_composite(stored, no_of_bands=1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan
+    assert "Exchange" not in plan  # the composite needs none

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import checks
-from terracell.operators import layout, series
+from checks.fixture import GRID
+from terracell.operators import cover, layout, render, series
 from terracell.plans import joins
 from terracell.sources import catalog, layers, rasters
 from terracell.streaming.ingest import stream_scene_ingest
@@ -260,3 +261,23 @@ def test_checkpoints_go_where_the_session_says(spark):
     from terracell.plans.storage import checkpoint_dir, scratch_path
 
     assert scratch_path(spark, "x").startswith(checkpoint_dir(spark).rstrip("/"))
+
+
+def test_small_sides_prune_the_scan(spark, fx, tmp_path):
+    """Key ranges of the small side reach the scan of what is stored."""
+    refs_path, tiles_path = str(tmp_path / "refs"), str(tmp_path / "tiles")
+    fx.tile_refs.filter("zoom_level = 12 and ingest_id < 400").write.parquet(refs_path)
+    fx.tiles.withColumn("zoom", F.lit(12)).write.parquet(tiles_path)
+    fx.cells.write.parquet(str(tmp_path / "cells"))
+    refs, tiles, cells = (spark.read.parquet(str(tmp_path / n)) for n in ("refs", "tiles", "cells"))
+    aois = fx.aois.filter("aoi_id = 100")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    asked = spark.createDataFrame([(1, 12, 2, 1, 0, 100)], "request_id long, z int, x int, y int, time_index long, aoi_id long")
+    plans = {
+        "spatial_index_x": plan_of(cover.aoi_tile_refs(aois, refs, 12)),
+        "tile_x": plan_of(cover.aoi_data(aois, tiles, 12)),
+        "col": plan_of(series.pixel_drill(fx.points.filter("point_id = 3"), cells, GRID)),
+        "tile_y": plan_of(render.tile_render_query(asked, tiles, fx.aois.withColumns({"xmin": F.lit(-180.0), "xmax": F.lit(180.0), "ymin": F.lit(-90.0), "ymax": F.lit(90.0)}))),
+    }
+    for key, plan in plans.items():
+        assert f"({key}," in plan[plan.index("PushedFilters"):], key

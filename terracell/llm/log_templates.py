@@ -103,9 +103,10 @@ def drop_recurring_lines(
     """Drop lines whose template recurs in at least min_docs documents.
 
     The tree has a fixed depth: a line goes down by its token count and its first `depth` tokens, tokens with a digit
-    being wildcards. In a leaf that min_docs documents reach, a later token is part of the template where at least min_docs documents
-    have it at that place, and a variable field elsewhere. Lines with equal templates are one; a template needs a share of
-    min_constant constant tokens. All its lines are dropped, but for those of the document with the smallest id (keep_first),
+    being wildcards. In a leaf that min_docs documents reach, a later token is constant where at least min_docs documents have
+    it at that place, and a variable field elsewhere. The leaf's main template has the most frequent constant of each place, and
+    takes every line that agrees with it in a share of min_constant of its tokens, leading ones included; other lines with that
+    share of constants form templates by equal constants. All lines of a recurring template are dropped, but for those of the document with the smallest id (keep_first),
     so a text that was copied is not lost altogether.
 
     Leaves, lines, tokens and templates are only counted, with partial sums, so a very common line costs one row a task.
@@ -135,13 +136,19 @@ def drop_recurring_lines(
         "distinct-lines",
     )
     tokens = distinct.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token")).filter("token <> 0")
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "at", "token")
+    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    most = constant.groupBy("leaf", "at").agg(F.max(F.struct("docs", "token")).alias("top")).select("leaf", "at", "top.token", F.lit(True).alias("main"))
+    constant = keep(constant.select("leaf", "at", "token").join(most, ["leaf", "at", "token"], "left"), "constant-tokens")
     fixed = tokens.select("leaf", "line", "at", "token").join(constant, ["leaf", "at", "token"])
-    fixed = fixed.groupBy("leaf", "line").agg(F.expr("bit_xor(xxhash64(at, token))").alias("fields"), F.count(F.lit(1)).alias("n_fixed"))
+    fixed = fixed.groupBy("leaf", "line").agg(
+        F.expr("bit_xor(xxhash64(at, token))").alias("fields"), F.count(F.lit(1)).alias("n_fixed"), F.count("main").alias("n_main")
+    )
     templates = distinct.select("leaf", "line", "n_tokens", "n_lead").join(fixed, ["leaf", "line"], "left")
-    n_fixed = F.coalesce("n_fixed", F.lit(0))
-    templates = templates.filter(F.col("n_lead") + n_fixed >= min_constant * F.col("n_tokens")).select(
-        "leaf", "line", F.xxhash64("leaf", F.coalesce("fields", F.lit(0)), n_fixed).alias("template")
+    n_fixed, n_main = F.coalesce("n_fixed", F.lit(0)), F.coalesce("n_main", F.lit(0))
+    enough = min_constant * F.col("n_tokens")
+    own = F.xxhash64("leaf", F.coalesce("fields", F.lit(0)), n_fixed)
+    templates = templates.filter(F.col("n_lead") + n_fixed >= enough).select(
+        "leaf", "line", F.when(F.col("n_lead") + n_main >= enough, F.xxhash64("leaf")).otherwise(own).alias("template")
     )
 
     places = lines.select("doc_id", "print", "line_no", "leaf", "line").join(templates, ["leaf", "line"])

@@ -72,13 +72,18 @@ def recurring_lines(docs, depth=4, min_docs=5, min_constant=0.6):
         for at, token in enumerate(line[depth:]):
             if token != "<*>":
                 tokens[len(line), line[:depth], at, token] += len(ids)
+    main = {}
+    for (size, lead, at, token), n in tokens.items():
+        if n >= min_docs:
+            main.setdefault((size, lead, at), Counter())[token] = n
     template = {}
     for line in line_docs:
         leaf = len(line), line[:depth]
-        rest = tuple(t if t != "<*>" and tokens[*leaf, at, t] >= min_docs else None for at, t in enumerate(line[depth:]))
-        fixed = sum(t != "<*>" for t in line[:depth]) + sum(t is not None for t in rest)
-        if len(leaf_docs[leaf]) >= min_docs and fixed >= min_constant * len(line):
-            template[line] = leaf, rest
+        lead, rest = sum(t != "<*>" for t in line[:depth]), enumerate(line[depth:])
+        fixed = tuple(t if t != "<*>" and tokens[*leaf, at, t] >= min_docs else None for at, t in rest)
+        alike = sum(t is not None and main[*leaf, at].most_common(1)[0][0] == t for at, t in enumerate(fixed))
+        if len(leaf_docs[leaf]) >= min_docs and lead + sum(t is not None for t in fixed) >= min_constant * len(line):
+            template[line] = leaf if lead + alike >= min_constant * len(line) else (leaf, fixed)
     seen, gone = defaultdict(set), defaultdict(set)
     for i, _, line in lines:
         if line in template:

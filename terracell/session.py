@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: Runtime settings: times are UTC, plans adapt to measured sizes, and skewed
@@ -17,10 +19,23 @@ RUNTIME_CONF = {
 }
 
 
+def code_on_workers(spark: SparkSession) -> None:
+    """Python workers that see this folder find the library there, whatever folder the driver was started in.
+
+    On a cluster the library is installed on the executors, or sent with addPyFile, as any other.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    code_on_workers(spark)
     return spark
 
 

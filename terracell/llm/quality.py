@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,16 +22,22 @@ DICTIONARY_BYTES = 65_536
 #: a text is compressed in pieces of so many bytes, so a long text is judged by all of its parts alike
 PIECE_BYTES = 512
 LEVEL = 3
+#: a text of so many bytes moves the score half as far from the share of good labels as a long one
+HALF_BYTES = 64
 
 
 @dataclass
 class QualityModel:
-    """Dictionaries of the two classes, and the logistic curve from size difference to score."""
+    """Dictionaries of the two classes, and the logistic curve from size difference to score.
+
+    prior is the log odds of a good label. slope and shift add to it what the difference says, the more the longer the text.
+    """
 
     good: bytes | None
     bad: bytes | None
+    prior: float
     slope: float = 0.0
-    intercept: float = 0.0
+    shift: float = 0.0
     piece_bytes: int = PIECE_BYTES
     level: int = LEVEL
 
@@ -42,22 +49,36 @@ class QualityModel:
             out.append(zstandard.ZstdCompressor(dict_data=d, level=self.level, write_content_size=False, write_dict_id=False))
         return out
 
-    def differences(self, texts: list[bytes | None]) -> np.ndarray:
-        """Bytes that the good dictionary saves over the bad one, per byte of text."""
-        out = np.zeros(len(texts))
-        if self.good is None or self.bad is None:
-            return out
-        good, bad = self.compressors()
-        for k, text in enumerate(texts):
-            saved = 0
-            for at in range(0, len(text or b""), self.piece_bytes):
-                piece = text[at : at + self.piece_bytes]
-                saved += len(bad.compress(piece)) - len(good.compress(piece))
-            out[k] = saved / max(1, len(text or b""))
-        return out
+    def features(self, texts: list[bytes | None]) -> np.ndarray:
+        """Per text: bytes that the good dictionary saves over the bad one, per byte of text, and the weight of the text's
+        length; the former times the latter first."""
+        sizes = np.array([len(t or b"") for t in texts], float)
+        saved = np.zeros(len(texts))
+        if self.good is not None and self.bad is not None:
+            good, bad = self.compressors()
+            for k, text in enumerate(texts):
+                for at in range(0, len(text or b""), self.piece_bytes):
+                    piece = text[at : at + self.piece_bytes]
+                    saved[k] += len(bad.compress(piece)) - len(good.compress(piece))
+        weight = sizes / (sizes + HALF_BYTES)
+        return np.column_stack([weight * saved / np.maximum(sizes, 1), weight])
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.prior + features @ [self.slope, self.shift], -30, 30)))
 
-    def scores(self, differences: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * differences, -30, 30)))
+
+def without_shared_lines(samples: dict[int, list[str]]) -> dict[int, list[bytes]]:
+    """The samples without lines that several of them have: what documents of either class begin or end with is no evidence.
+
+    A class that would have nothing left stays as it is.
+    """
+    seen = Counter(line for texts in samples.values() for text in texts for line in set(text.split("\n")))
+    out = {}
+    for label, texts in samples.items():
+        own = ["\n".join(line for line in text.split("\n") if seen[line] == 1) for text in texts]
+        own = [text for text in own if text.strip()]
+        out[label] = [text.encode() for text in own or texts]
+    return out
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes | None:
@@ -70,21 +91,20 @@ def dictionary(samples: list[bytes], size: int) -> bytes | None:
         return b"".join(samples)[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept by Newton steps on the standardised feature, with a slight ridge against separable data."""
-    mean, scale = x.mean(), x.std() or 1.0
-    a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    weight = weight / weight.sum()
-    b = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        gradient = a.T @ (weight * (p - y)) + ridge * b * [1, 0]
-        hessian = (a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag([ridge, 1e-9])
-        step = np.linalg.solve(hessian, gradient)
-        b = b - np.clip(step, -2, 2)
+def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float, ridge: float = 1e-3) -> np.ndarray:
+    """Coefficients by Newton steps on scaled features, with a slight ridge against separable data."""
+    scale = np.abs(features).max(axis=0)
+    scale[scale == 0] = 1.0
+    a, weight, b = features / scale, weight / weight.sum(), np.zeros(features.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(offset + a @ b, -30, 30)))
+        gradient = a.T @ (weight * (p - y)) + ridge * 1e-2 * b
+        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * 1e-2 * np.eye(len(b))
+        step = np.clip(np.linalg.solve(hessian, gradient), -5, 5)
+        b = b - step
         if np.abs(step).max() < 1e-9:
             break
-    return float(b[0] / scale), float(b[1] - b[0] * mean / scale)
+    return b / scale
 
 
 def fit(
@@ -108,50 +128,53 @@ def fit(
     n = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n.values())
     share = (n.get(1, 0) + 1) / (total + 2)
-    prior = QualityModel(None, None, 0.0, math.log(share / (1 - share)), piece_bytes, level)
+    prior = math.log(share / (1 - share))
     if len(n) < 2:
-        return prior
+        return QualityModel(None, None, prior)
     chance = F.when(F.col("quality") == 1, F.lit(min(0.5, sample_docs / n[1]))).otherwise(F.lit(min(0.5, sample_docs / n[0])))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     drawn = known.withColumns({"trains": draw < chance, "used": draw < 2 * chance}).filter("used").drop("used").distinct()
     drawn = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id")
-    samples: dict[int, list[bytes]] = {0: [], 1: []}
+    texts: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(drawn.filter("trains").select("quality", "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()):
-        samples[r["quality"]].append(r["text"].encode())
-    model = QualityModel(dictionary(samples[1], dictionary_bytes), dictionary(samples[0], dictionary_bytes), 0.0, 0.0, piece_bytes, level)
-    seen = measure(drawn.filter("not trains"), model, "quality").collect()
+        texts[r["quality"]].append(r["text"])
+    samples = without_shared_lines(texts)
+    model = QualityModel(dictionary(samples[1], dictionary_bytes), dictionary(samples[0], dictionary_bytes), prior, piece_bytes=piece_bytes, level=level)
+    seen = measure(drawn.filter("not trains"), model).collect()
     y = np.array([r["quality"] for r in seen], float)
     if model.good is None or model.bad is None or not 0 < y.sum() < len(y):
-        return prior
+        return QualityModel(None, None, prior)
     weight = np.where(y == 1, n[1] / y.sum(), n[0] / (len(y) - y.sum()))
-    model.slope, model.intercept = logistic(np.array([r["difference"] for r in seen]), y, weight)
+    found = logistic(np.array([(r["difference"], r["weight"]) for r in seen]), y, weight, prior)
+    model.slope, model.shift = map(float, found)
     return model
 
 
-def measure(docs: DataFrame, model: QualityModel, label: str | None = None) -> DataFrame:
-    """doc_id (and the label) with the normalised difference of compressed sizes."""
-    columns = ["doc_id", *([label] if label else [])]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def measure(labelled: DataFrame, model: QualityModel) -> DataFrame:
+    """quality, and the features of each text."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = pa.array(shared.value.differences(texts), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), found], names=[*columns, "difference"])
+            found = shared.value.features(batch.column("text").cast(pa.binary()).to_pylist())
+            columns = [batch.column("quality"), pa.array(found[:, 0]), pa.array(found[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["quality", "difference", "weight"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns[1:], F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {'quality int, ' if label else ''}difference double")
+    return labelled.select("quality", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "quality int, difference double, weight double"
+    )
 
 
 def score_quality(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score each document by how much better good text predicts it than bad text does.
 
     Every piece of the whole text is compressed with the dictionary of either class; the difference of the sizes,
-    per byte of text, goes through the calibrated logistic curve.
+    per byte of text, goes through the calibrated logistic curve. A short text says little, so its score stays near the share of
+    good labels.
 
     Returns doc_id, the columns named in carry, score (0 to 1, higher: good likelier), predicted (1 if score >= 0.5).
 
-    Null or empty text has difference 0. Repeated rows are each scored. An empty table gives no rows. Other columns
+    Null or empty text scores the share of good labels. Repeated rows are each scored. An empty table gives no rows. Other columns
     are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -160,7 +183,7 @@ def score_quality(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.scores(shared.value.differences(batch.columns[-1].cast(pa.binary()).to_pylist()))
+            score = shared.value.scores(shared.value.features(batch.columns[-1].cast(pa.binary()).to_pylist()))
             found = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[f.name for f in fields])
 

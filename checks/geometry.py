@@ -71,11 +71,10 @@ def rasterize_polygon(fx):
 @check(
     "clip_to_aoi",
     f"""select time_index, c.col, c.row, band, case when m.col is not null then value end as value from {{{{cells}}}} c
-        left join (select distinct col, row from {_ALL_CELLS} where aoi_id % 2 = 0 and {_IN}) m on m.col = c.col and m.row = c.row""",
+        left join (select distinct col, row from {_ALL_CELLS} where {_IN}) m on m.col = c.col and m.row = c.row""",
 )
 def clip_to_aoi(fx):
-    even = fx.aois.filter(F.col("aoi_id") % 2 == 0)
-    return zonal.clip_to_aoi(fx.cells, even, GRID).select("time_index", "col", "row", "band", "value")
+    return zonal.clip_to_aoi(fx.cells, fx.aois, GRID).select("time_index", "col", "row", "band", "value")
 
 
 @check(
@@ -96,11 +95,12 @@ def _kernel_sql() -> str:
     f"""select cast(col + dx as integer) as col, cast(row + dy as integer) as row, cast(sum(weight * w) as double) as value from
         (select cast(floor((lon - 68e0) / 0.0078125e0) as integer) as col, cast(floor((36e0 - lat) / 0.0078125e0) as integer) as row, weight
          from {{{{points}}}}), {_kernel_sql()}
-        where col + dx between 0 and 255 and row + dy between 0 and 2047 group by 1, 2""",
+        where col + dx between 0 and 255 and row + dy between 0 and (select max(event_id) // 64 + 16 from events) group by 1, 2""",
 )
 def kernel_density(fx):
     fine = Grid(GRID.x0, GRID.y0, GRID.dx / 4, GRID.dy / 4)
-    return zonal.kernel_density(fx.points, fine, 256, 2048, gaussian_kernel())
+    rows = fx.table("events").agg(F.max("event_id")).first()[0] // 64 + 17
+    return zonal.kernel_density(fx.points, fine, 256, rows, gaussian_kernel())
 
 
 def slippy_tiles(fx, levels=(9, 10), size=16):

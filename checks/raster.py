@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from terracell.operators import layout, resample
@@ -24,28 +26,28 @@ def _rows(fx) -> int:
 _TARGET = f"""(select i, j, (68e0 + 0.03125e0 / 4 + (i + 0.5e0) * 0.015625e0 - 68e0) / 0.03125e0 - 0.5e0 as u,
      (36e0 - (36e0 - 0.03125e0 / 4 - (j + 0.5e0) * 0.015625e0)) / 0.03125e0 - 0.5e0 as v
      from unnest(generate_series(0, {_COLS - 1})) gi(i), unnest(generate_series(0, (select 2 * max(row) + 1 from {{{{wide}}}}))) gj(j))"""
-_OUT = "c.time_index, cast(i as integer) as col, cast(j as integer) as row, 1 as band"
+_OUT = "c.time_index, cast(i as integer) as col, cast(j as integer) as row, c.band"
 
 
 @check(
     "resample_nearest",
-    f"""select {_OUT}, c.value from {_TARGET} t join (select * from {{{{cells}}}} where band = 1) c
+    f"""select {_OUT}, c.value from {_TARGET} t join {{{{cells}}}} c
         on c.col = cast(floor(u + 0.5e0) as integer) and c.row = cast(floor(v + 0.5e0) as integer)""",
 )
 def resample_nearest(fx):
-    out = resample.resample(fx.cells.filter("band = 1"), GRID, _DST, _COLS, _rows(fx), "nearest")
+    out = resample.resample(fx.cells, GRID, _DST, _COLS, _rows(fx), "nearest")
     return out.select("time_index", "col", "row", "band", "value")
 
 
 def _gathered(weight, span, target=_TARGET):
-    return f"""select time_index, col, row, band, {sql_micro("s / w", "value")} from (
-        select {_OUT}, sum(c.value * {weight('u - c.col')} * {weight('v - c.row')}) as s, sum({weight('u - c.col')} * {weight('v - c.row')}) as w,
+    return f"""select time_index, col, row, band, {sql_micro("case when abs(w) > size * 0.1e0 then s / w else a / size end / case when band = 3 then 1e6 else 1e0 end", "value")} from (
+        select {_OUT}, sum(c.value * abs({weight('u - c.col')} * {weight('v - c.row')})) as a, sum(c.value * {weight('u - c.col')} * {weight('v - c.row')}) as s, sum({weight('u - c.col')} * {weight('v - c.row')}) as w,
                sum(abs({weight('u - c.col')} * {weight('v - c.row')})) as size
         from {target} t, unnest(generate_series({span[0]}, {span[1]})) ga(a), unnest(generate_series({span[0]}, {span[1]})) gb(b),
-             (select * from {{{{cells}}}} where band = 1) c
+             {{{{cells}}}} c
         where c.col = cast(floor(u) as integer) + a and c.row = cast(floor(v) as integer) + b
           and {weight('u - c.col')} <> 0 and {weight('v - c.row')} <> 0
-        group by 1, 2, 3, 4) where abs(w) > size * 0.1e0"""
+        group by 1, 2, 3, 4)"""
 
 
 def _linear(d):
@@ -59,31 +61,43 @@ def _cubic(d):
     )
 
 
+def _scaled():
+    """Values in millionths; band 3, whose numbers are large, in millions first."""
+    return micro(F.col("value") / F.when(F.col("band") == 3, 1e6).otherwise(1.0), "value")
+
+
 @check("resample_bilinear", _gathered(_linear, (0, 1)))
 def resample_bilinear(fx):
-    out = resample.resample(fx.cells.filter("band = 1"), GRID, _DST, _COLS, _rows(fx), "bilinear")
-    return out.select("time_index", "col", "row", "band", micro("value", "value"))
+    out = resample.resample(fx.cells, GRID, _DST, _COLS, _rows(fx), "bilinear")
+    return out.select("time_index", "col", "row", "band", _scaled())
 
 
 @check("resample_bicubic", _gathered(_cubic, (-1, 2)))
 def resample_bicubic(fx):
-    out = resample.resample(fx.cells.filter("band = 1"), GRID, _DST, _COLS, _rows(fx), "cubic")
-    return out.select("time_index", "col", "row", "band", micro("value", "value"))
+    out = resample.resample(fx.cells, GRID, _DST, _COLS, _rows(fx), "cubic")
+    return out.select("time_index", "col", "row", "band", _scaled())
 
 
 # Web Mercator cells of 4 km from the layer's top left corner
 _R = 6378137.0
 _MX, _MY, _MD = 7569000.0, 4300000.0, 4000.0
-_MCOLS, _MROWS = 56, 700
+_MCOLS = 56
 _MERC = f"""(select i, j, (degrees(({_MX:.1f}e0 + (i + 0.5e0) * {_MD:.1f}e0) / {_R:.1f}e0) - 68e0) / 0.03125e0 - 0.5e0 as u,
      (36e0 - degrees(atan(sinh(({_MY:.1f}e0 - (j + 0.5e0) * {_MD:.1f}e0) / {_R:.1f}e0)))) / 0.03125e0 - 0.5e0 as v
-     from unnest(generate_series(0, {_MCOLS - 1})) gi(i), unnest(generate_series(0, {_MROWS - 1})) gj(j))"""
+     from unnest(generate_series(0, {_MCOLS - 1})) gi(i), unnest(generate_series(0, (select cast(ceil(({_MY:.1f}e0 - {_R:.1f}e0 * asinh(tan(radians(36e0 - (max(row) + 1) / 32e0)))) / {_MD:.1f}e0) as bigint)
+                                   from {{{{wide}}}}) - 1)) gj(j))"""
+
+
+def _mercator_rows(fx) -> int:
+    """Rows down to the layer's lower edge."""
+    south = math.radians(36 - (fx.wide.agg(F.max("row")).first()[0] + 1) / 32)
+    return math.ceil((_MY - _R * math.asinh(math.tan(south))) / _MD)
 
 
 @check("reproject_webmercator", _gathered(_linear, (0, 1), _MERC))
 def reproject_webmercator(fx):
-    out = resample.reproject_webmercator(fx.cells.filter("band = 1"), GRID, Grid(_MX, _MY, _MD, _MD), _MCOLS, _MROWS)
-    return out.select("time_index", "col", "row", "band", micro("value", "value"))
+    out = resample.reproject_webmercator(fx.cells, GRID, Grid(_MX, _MY, _MD, _MD), _MCOLS, _mercator_rows(fx))
+    return out.select("time_index", "col", "row", "band", _scaled())
 
 
 @check(
@@ -129,15 +143,17 @@ _TILE_PX = """(select zoom, tile_x, tile_y, i, j, (px - 68e0) / 0.03125e0 - 0.5e
 
 @check(
     "ingest_pyramid_cubic",
-    f"""select zoom, tile_x, tile_y, time_index, col, row, {sql_micro("s / w / 1e3", "value")} from (
+    f"""select zoom, tile_x, tile_y, time_index, col, row, {sql_micro("case when abs(w) > size * 0.1e0 then s / w else a / size end / 1e3", "value")} from (
         select cast(zoom as integer) as zoom, cast(tile_x as integer) as tile_x, cast(tile_y as integer) as tile_y, c.time_index,
                cast(i as integer) as col, cast(j as integer) as row,
+               sum(c.value * abs({_cubic('u - c.col')} * {_cubic('v - c.row')})) as a,
                sum(c.value * {_cubic('u - c.col')} * {_cubic('v - c.row')}) as s, sum({_cubic('u - c.col')} * {_cubic('v - c.row')}) as w,
                sum(abs({_cubic('u - c.col')} * {_cubic('v - c.row')})) as size
         from {_TILE_PX} t, unnest(generate_series(-1, 2)) ga(a), unnest(generate_series(-1, 2)) gb(b),
              (select * from {{{{cells}}}} where band = 1) c
         where c.col = cast(floor(u) as integer) + a and c.row = cast(floor(v) as integer) + b
-        group by 1, 2, 3, 4, 5, 6) where abs(w) > size * 0.1e0""",
+          and {_cubic('u - c.col')} <> 0 and {_cubic('v - c.row')} <> 0
+        group by 1, 2, 3, 4, 5, 6)""",
 )
 def ingest_pyramid_cubic(fx):
     out = resample.ingest_pyramid(fx.cells.filter("band = 1"), GRID, [9, 10], size=16)

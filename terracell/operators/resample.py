@@ -32,8 +32,8 @@ from ..plans.joins import small_join
 from .layout import Grid
 
 
-#: where the weights left after dropping missing neighbours cancel to less than this share of their size,
-#: dividing by them would only blow up noise, and the cell gets no value
+#: where the weights left after dropping missing neighbours cancel to less than this share of their size, dividing by
+#: them would only blow up noise; such a cell is the mean of its neighbours by the weights' sizes
 MIN_SHARE = 0.1
 
 
@@ -89,11 +89,17 @@ def _near(df: DataFrame, position: str, index: str, method: str, weight: str) ->
 
 
 def _gather(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """A value wherever a neighbour has one."""
+    size = F.abs("w")
     summed = parts.groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_w"), F.sum(F.abs("w")).alias("_size")
+        F.sum(F.col("w") * F.col("value")).alias("_s"),
+        F.sum("w").alias("_w"),
+        F.sum(size * F.col("value")).alias("_a"),
+        F.sum(size).alias("_size"),
     )
     enough = F.abs("_w") > F.col("_size") * MIN_SHARE
-    return summed.withColumn("value", F.when(enough, F.col("_s") / F.col("_w"))).drop("_s", "_w", "_size")
+    value = F.when(enough, F.col("_s") / F.col("_w")).otherwise(F.col("_a") / F.col("_size"))
+    return summed.withColumn("value", value).drop("_s", "_w", "_a", "_size")
 
 
 def resample(

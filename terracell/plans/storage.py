@@ -22,9 +22,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: scratch tables this process has named and not released
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table, next to the checkpoints."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables written so far, and say how many. For when the results that read them have been stored."""
+    count = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
 
 
 def cut(df: DataFrame) -> DataFrame:

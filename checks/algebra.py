@@ -10,7 +10,7 @@ from terracell.plans.model import process_inputs as bind_inputs
 from terracell.plans.model import run_model as run
 
 from .fixture import TILE
-from .registry import check
+from .registry import ORACLES, check
 
 _POS = "time_index, col, row"
 _NDI = "case when b5 + b4 = 0 then 0e0 else (b5 - b4) / cast(b5 + b4 as double) end"
@@ -168,22 +168,35 @@ def run_model_on_tiles(fx):
        where c.time_index in (0, 864000)""",
 )
 def process_inputs(fx):
+    return _bound_inputs(fx, lambda tiles, name: tiles.withColumn("dataset_id", F.lit(7).cast("bigint")))
+
+
+def _bound_inputs(fx, stored):
     # stored tiles carry slippy keys: the layer's first tile is taken as (705, 402) at zoom 10
     tiles = fx.tiles.withColumn("zoom", F.lit(10)).withColumn("tile_x", F.col("tile_x") + 705).withColumn("tile_y", F.col("tile_y") + 402)
-    tiles = tiles.withColumn("dataset_id", F.lit(7).cast("bigint"))
     refs = tiles.select(
-        "dataset_id", F.col("zoom").alias("zoom_level"), "time_index",
+        F.lit(7).cast("bigint").alias("dataset_id"), F.col("zoom").alias("zoom_level"), "time_index",
         F.col("tile_x").alias("spatial_index_x"), F.col("tile_y").alias("spatial_index_y"),
     )
     names = {r["dataset_id"]: r["ds_name"] for r in fx.datasets.filter("dataset_id = 7").collect()}
     code = fx.aois.filter("aoi_id = 100").first()["aoi_code"]
     spec = [{"id": "I1", "aoiCode": code, "dsName": names[7], "tIndexes": [0, 864000]}]
-    cells = bind_inputs(spec, fx.aois, fx.datasets, refs, tiles, level=10)["I1"]
+    cells = bind_inputs(spec, fx.aois, fx.datasets, refs, stored(tiles, names[7]), level=10)["I1"]
     return cells.select(
         "time_index", (F.col("col") - 705 * TILE).alias("col"), (F.col("row") - 402 * TILE).alias("row"), "band", "value"
     )
 
 
+@check("process_inputs_by_layer", ORACLES["process_inputs"])
+def process_inputs_by_layer(fx):
+    """Tiles without a dataset column are found by the dataset's name; another layer in the table stays out."""
+
+    def stored(tiles, name):
+        return tiles.withColumn("layer", F.lit(name)).unionByName(tiles.withColumn("layer", F.lit("other")))
+
+    return _bound_inputs(fx, stored)
+
+
 @check("tile_ndi", f"select {_POS}, {_NDI} as value from {{{{wide}}}}")
 def tile_ndi(fx):
     tiles = fx.tiles

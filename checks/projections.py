@@ -296,7 +296,7 @@ def nodata_mask(fx):
 def inside_data(fx):
     row = {k: F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")}
     data = {"xmin": 68.0, "ymin": 34.0, "xmax": 70.0, "ymax": 36.0}
-    return fx.scenes.select("ingest_id", geom.boxes_overlap(row, data).alias("inside"))
+    return fx.scenes.select("ingest_id", grid.inside_data(row, data).alias("inside"))
 
 
 @check(

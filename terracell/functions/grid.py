@@ -148,6 +148,23 @@ def reproject_point(x, y, source: int, target: int) -> tuple[Column, Column]:
     raise ValueError(f"unsupported CRS pair {source} -> {target}")
 
 
+def inside_data(view, data, view_crs: int = 4326, data_crs: int = 4326) -> Column:
+    """Whether a view's box meets a layer's box, compared in the layer's CRS; an unsupported CRS is an error.
+
+    view and data are struct columns or dicts with xmin, ymin, xmax, ymax.
+    """
+    from .geom import boxes_overlap
+
+    for crs in (view_crs, data_crs):
+        if crs not in (4326, 3857):
+            raise ValueError(f"unsupported CRS {crs}")
+    view = {k: as_col(view[k]) for k in ("xmin", "ymin", "xmax", "ymax")}
+    if view_crs != data_crs:
+        moved = reproject_extent(view, view_crs, data_crs)
+        view = {k: moved[k] for k in view}
+    return boxes_overlap(view, data)
+
+
 def reproject_extent(extent: Column, source: int, target: int) -> Column:
     """Reproject the four corners and take their envelope."""
     corners = [

@@ -104,9 +104,11 @@ def run_model(spec: dict, layers: dict[str, DataFrame]) -> DataFrame:
 def process_inputs(
     inputs: list[dict], aois: DataFrame, datasets: DataFrame, tile_refs: DataFrame, tiles: DataFrame, level: int = MAX_ZOOM, as_tiles: bool = False
 ) -> dict[str, DataFrame]:
-    """Named inputs (id, aoiCode, dsName, tIndexes) to lazy layers of cells, or of tiles.
+    """Named inputs (id, aoiCode, dsName, tIndexes) to layers of cells, or of tiles.
 
-    All listed times are read and stay apart by time_index. Cells keep global coordinates.
+    All listed times are read and stay apart by time_index. Cells keep global coordinates. Tiles are matched by dataset_id
+    where they have that column, else by the dataset's name as their layer. The tile keys under each area are
+    computed while the inputs are bound; the layers themselves are lazy.
     """
     out = {}
     for spec in inputs:
@@ -121,6 +123,8 @@ def process_inputs(
             "time_index",
         )
         stored = tiles.filter(F.col("zoom") == level)
+        if "dataset_id" not in tiles.columns:
+            stored = stored.filter(F.col("layer") == spec["dsName"])
         if spec.get("tIndexes") is not None:
             stored = stored.filter(F.col("time_index").isin(spec["tIndexes"]))
         join_on = [c for c in keys.columns if c in tiles.columns]

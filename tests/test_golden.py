@@ -418,3 +418,13 @@ def test_no_cell_is_shuffled_for_stored_tiles(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan
     assert "Exchange" not in plan  # the composite needs none
+
+
+def test_inside_data_in_either_crs(spark):
+    df = spark.createDataFrame([(9.9e6, 2.9e6, 1.0e7, 3.0e6), (0.0, 0.0, 1.0, 1.0)], "xmin double, ymin double, xmax double, ymax double")
+    data = {"xmin": F.lit(88.0), "ymin": F.lit(24.0), "xmax": F.lit(91.0), "ymax": F.lit(27.0)}
+    box = {k: F.col(k) for k in data}
+    assert [r[0] for r in df.select(grid.inside_data(box, data, 3857, 4326)).collect()] == [True, False]
+    assert [r[0] for r in df.select(grid.inside_data(box, data)).collect()] == [False, False]
+    with pytest.raises(ValueError, match="unsupported CRS 32644"):
+        grid.inside_data(box, data, 32644)

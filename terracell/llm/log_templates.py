@@ -14,6 +14,8 @@ from .common import keep
 
 #: hot leaves that are broadcast to pick lines early; beyond that all lines are joined with the leaves
 BROADCAST_LEAVES = 2_000_000
+#: tokens whose hashes a task remembers; beyond that it starts anew, which costs time only
+MEMO_TOKENS = 150_000
 WILD = b"<*>"
 DIGITS = frozenset(b"0123456789")
 
@@ -83,7 +85,7 @@ def lines_in(rows: DataFrame, hot: np.ndarray | None, depth: int) -> DataFrame:
                 lead = sum(t != WILD for t in tokens[:depth])
                 out.append((ids[k], prints[k], number, leaf, line, len(tokens), lead, (k, line) not in seen, rest))
                 seen.add((k, line))
-                if len(hashes) > 1_000_000:
+                if len(hashes) > MEMO_TOKENS:
                     hashes = {WILD: 0}
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
             columns = zip(*out) if out else [[]] * len(names)

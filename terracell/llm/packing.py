@@ -6,7 +6,7 @@ import functools
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,15 +17,32 @@ from .common import keep
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, rank long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: words remembered by a worker process; beyond that it starts anew, which costs time only
-MEMO_WORDS = 1_000_000
+#: words, and pieces of words, that a worker process remembers in each of two generations; more cost time only
+MEMO_WORDS = 200_000
 
 #: punctuation, lower-case letters without marks of their own, punctuation: three pieces to the tokenizer
 PLAIN = re.compile("([.,;:!?*#$%&|]*)([a-zß-öø-ÿ]+)([.,;:!?*#$%&|]*)")
 
 
-class WordIds(dict):
-    """Token ids of a white-space separated word, as little-endian unsigned 32-bit bytes.
+class Memory(dict):
+    """Values by key, computed when missing. What was not asked for during a whole generation is forgotten."""
+
+    def __init__(self, compute: Callable):
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+class WordIds:
+    """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are
     those of its words in order. The same holds for a run of letters and the punctuation around it, so the many words
@@ -39,30 +56,20 @@ class WordIds(dict):
         # for pieces that are in normal form and cannot be split
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.words, self.pieces = Memory(self.word), Memory(self.piece)
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= MEMO_WORDS:
-                self.pieces = {"": b""}
-            found = self.pieces[piece] = as_bytes(self.bare.encode(piece, add_special_tokens=False).ids)
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
+    def word(self, word: bytes) -> bytes:
         text = word.decode()
         plain = PLAIN.fullmatch(text.lower())
         if plain:
-            found = b"".join(map(self.piece, plain.groups()))
-        else:
-            found = as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+            return b"".join(map(self.pieces.__getitem__, plain.groups()))
+        return as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, piece: str) -> bytes:
+        return as_bytes(self.bare.encode(piece, add_special_tokens=False).ids) if piece else b""
 
 
 def as_bytes(ids: list[int]) -> bytes:

@@ -14,7 +14,7 @@ LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 #: words whose shingles are worked on together
 CHUNK_WORDS = 200_000
 #: words remembered by a worker process; beyond that it starts anew, which costs time only
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

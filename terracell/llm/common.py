@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.plans.storage import scratch_path
-from terracell.session import code_on_workers
+from terracell.session import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
-    code_on_workers(spark)
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

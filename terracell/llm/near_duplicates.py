@@ -17,8 +17,12 @@ from .shingles import Chunk, mix, shingle_chunks
 BROADCAST_IDS = 2_000_000
 #: documents of one bucket that one task compares with as many others
 BLOCK = 1_000
+#: one document in SAMPLE is looked at for hot keys; a key that HOT of them have is spread over SALTS tasks
+SAMPLE, HOT, SALTS = 256, 32, 64
 #: sketches under other hash functions for documents whose sketch has too many empty blocks
 LEVELS = 6
+#: hot keys that are spread; any further ones are the least hot and go to one task each
+MAX_HOT = 20_000
 #: the low bits of a bucket key, naming size band and level
 TAG_BITS = 10
 
@@ -104,6 +108,21 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield from shingle_chunks(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()))
 
 
+def with_count(rows: DataFrame, key: str) -> DataFrame:
+    """Adds n, the rows of each key: counted with partial sums and joined, so that no key's rows have to meet in a task."""
+    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+
+
+def hot_keys(rows: DataFrame, bands: Bands) -> list[int]:
+    """Keys that about HOT * SAMPLE documents or more have, found in a sample by id; there are at most all keys / HOT of the sample.
+
+    They only decide where rows go, so a key missed or listed in error changes no result.
+    """
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = bucket_keys(some, bands, every=True).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT)
+    return [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()]
+
+
 def describe(rows: DataFrame, bands: Bands) -> DataFrame:
     """Size and fingerprints of each document's set, and per tag how many agreeing blocks a similar set must share."""
 
@@ -122,8 +141,8 @@ def describe(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, print_1 long, print_2 long, tags array<long>, musts array<long>")
 
 
-def bucket_keys(rows: DataFrame, bands: Bands) -> DataFrame:
-    """key, doc_id for every block of every sketch; a set that occurs twice in a chunk is sketched once."""
+def bucket_keys(rows: DataFrame, bands: Bands, every: bool = False) -> DataFrame:
+    """key, doc_id for every block of every sketch; a set that occurs twice in a chunk is sketched once, or `every` time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -131,7 +150,7 @@ def bucket_keys(rows: DataFrame, bands: Bands) -> DataFrame:
             prints = list(zip(*(p.tolist() for p in chunk.prints())))
             named = [k for k, name in enumerate(chunk.ids) if name is not None]
             for k in sorted(named, key=lambda k: -chunk.ids[k]):
-                least[prints[k]] = k
+                least[prints[k] if not every else (k, k)] = k
             names = np.array([name or 0 for name in chunk.ids], np.int64)
             for index, _, _, keys, count in sketch_rows(chunk, np.array(sorted(least.values()), np.int64), bands):
                 ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
@@ -178,7 +197,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def buckets_of(keys: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame:
+def buckets_of(keys: DataFrame, described: DataFrame, classes: DataFrame, hot: list[int]) -> DataFrame:
     """bucket, node: the buckets that pairs of similar nodes must meet in, reduced as far as exactness allows.
 
     Keys that only one document has go first. Keys with the same documents are one bucket, weighted by their number.
@@ -186,15 +205,18 @@ def buckets_of(keys: DataFrame, described: DataFrame, classes: DataFrame) -> Dat
     but the largest buckets stay: if m agreeing keys are certain, any m - 1 may be left out when all
     nodes leave out those that come last in one common order.
     """
-    by_key = Window.partitionBy("key")
-    members = F.expr("bit_xor(xxhash64(doc_id)) over (partition by key)")
-    shared = keys.withColumns({"n": F.count(F.lit(1)).over(by_key), "members": members}).filter("n > 1")
+    # a hot key is spread over SALTS windows, and its members are then the bucket of that key
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    salted = keys.withColumns({"hot": is_hot, "salt": F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))})
+    by_key = Window.partitionBy("key", "salt")
+    members = F.expr("bit_xor(xxhash64(doc_id)) over (partition by key, salt)")
+    shared = salted.withColumns({"n": F.count(F.lit(1)).over(by_key), "members": members}).filter("n > 1 or hot")
     tag = F.col("key").bitwiseAND((1 << TAG_BITS) - 1)
-    met = shared.groupBy(F.xxhash64("members", "n", tag).alias("bucket"), tag.alias("tag"), "doc_id").agg(F.count(F.lit(1)).alias("weight"))
+    bucket = F.when(F.col("hot"), F.xxhash64("key")).otherwise(F.xxhash64("members", "n", tag))
+    met = shared.groupBy(bucket.alias("bucket"), tag.alias("tag"), "doc_id").agg(F.count(F.lit(1)).alias("weight"))
     nodes = met.join(classes, "doc_id", "left").withColumn("node", F.coalesce("class_id", "doc_id"))
-    nodes = nodes.groupBy("bucket", "tag", "node").agg(F.max("weight").alias("weight"))
-    by_bucket = Window.partitionBy("bucket")
-    nodes = keep(nodes.withColumn("n", F.count(F.lit(1)).over(by_bucket)).filter("n > 1"), "buckets")
+    nodes = keep(nodes.groupBy("bucket", "tag", "node").agg(F.max("weight").alias("weight")), "bucket-nodes")
+    nodes = keep(with_count(nodes, "bucket").filter("n > 1"), "buckets")
 
     musts = described.select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("tags", "musts")).alias("t")).selectExpr(
         "node", "t.tags as tag", "t.musts as must"
@@ -206,8 +228,8 @@ def buckets_of(keys: DataFrame, described: DataFrame, classes: DataFrame) -> Dat
         "all": F.sum("weight").over(Window.partitionBy("node", "tag")),
     }
     useful = nodes.join(musts, ["node", "tag"]).withColumns(sums).filter("all >= must and to_here > must - 1")
-    useful = useful.select("bucket", "node", "weight").withColumn("n", F.count(F.lit(1)).over(by_bucket))
-    return keep(useful.filter("n > 1"), "useful-buckets")
+    useful = keep(useful.select("bucket", "node", "weight"), "useful")
+    return keep(with_count(useful, "bucket").filter("n > 1"), "useful-buckets")
 
 
 def bit_sketches(sets: DataFrame) -> DataFrame:
@@ -257,9 +279,9 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
         pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    numbered = members.withColumn("block", F.expr(f"(row_number() over (partition by bucket order by node) - 1) div {BLOCK}"))
-    numbered = numbered.withColumn("blocks", F.max("block").over(Window.partitionBy("bucket")))
-    spread = numbered.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks"))))
+    numbered = with_count(members, "bucket").withColumn("last", F.expr(f"(n - 1) div {BLOCK}"))
+    numbered = numbered.withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
+    spread = numbered.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
     spread = spread.select(
         "bucket", "node", "root", "n_shingles", "bits", "block", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second")
     )
@@ -294,7 +316,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     sizes = sized.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
 
-    members = buckets_of(bucket_keys(rows, bands), sized, copies.groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
+    classes = copies.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    members = buckets_of(bucket_keys(rows, bands), sized, classes, hot_keys(rows, bands))
     sets = keep(shingle_sets(rows, members.select("node")), "sets")
 
     fame = members.groupBy("node").agg(F.sum(F.col("n") * F.col("weight")).alias("fame"))

@@ -199,6 +199,25 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute.duplicate_groups(docs)
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """Near copies of one text in most documents: every key of theirs is hot, with the same result."""
+    rng = random.Random(9)
+    base = random_words(rng, 80, 5000)
+    docs = []
+    for k in range(120):
+        words = list(base) if k % 4 else random_words(rng, 80, 5000)
+        for _ in range(k % 7):
+            words[rng.randrange(80)] = f"z{rng.randrange(10**6)}"
+        docs.append((k, " ".join(words)))
+    rows = frame(spark, docs)
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 2)
+    monkeypatch.setattr(near_duplicates, "HOT", 5)
+    monkeypatch.setattr(near_duplicates, "SALTS", 3)
+    assert len(near_duplicates.hot_keys(rows, near_duplicates.Bands(80))) > 20
+    found = near_duplicates.near_duplicates(rows).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.duplicate_groups(docs)
+
+
 def test_block_pairs_finds_each_open_pair_once(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 3)
     same, far = bytearray(8), bytearray(b"\xff" * 16)

@@ -38,9 +38,9 @@ def rgb_composite_one_band(fx):
     return render.rgb_composite(fx.cells, [3, 2, 1], 1, vmin=10.0, vmax=90.0).drop("layer")
 
 
-# fixed values: red, green and blue of the test ramp's five stops
-_STOPS = [(0, 0, 255, 150), (0, 255, 255, 160), (0, 255, 0, 200), (255, 255, 0, 250), (255, 0, 0, 255)]
-_RAMP = ["#" + "".join(f"{v:02x}" for v in stop) for stop in _STOPS]
+# fixed values: the test ramp's five stops, red, green, blue and alpha
+_RAMP = ["#0000ff96", "#00ffffa0", "#00ff00c8", "#ffff00fa", "#ff0000ff"]
+_STOPS = [tuple(bytes.fromhex(stop[1:])) for stop in _RAMP]
 
 
 def _mix(k: int) -> str:
@@ -58,6 +58,7 @@ def color_ramp(fx):
     return render.color_layer(fx.cells, 8.0, 128.0, _RAMP).drop("layer", "value")
 
 
+# fixed values: lowest and highest break, number of classes
 @check(
     "class_breaks",
     """select time_index, col, row, value, cls, -7000e0 + 15000e0 * (cls - 1) / 100 as lower from

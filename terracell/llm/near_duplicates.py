@@ -233,7 +233,7 @@ def buckets_of(keys: DataFrame, described: DataFrame, classes: DataFrame, hot: l
 
 
 def bit_sketches(sets: DataFrame) -> DataFrame:
-    """node, bits: a plain parity sketch of each set, its bits a power of two and two to four times the set's size."""
+    """node, n_shingles, bits: a plain parity sketch of each set, its bits a power of two and two to four times the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +244,10 @@ def bit_sketches(sets: DataFrame) -> DataFrame:
                 at = mix(values, 501) & np.uint64(size - 1)
                 flips = np.bincount(at.astype(np.int64), minlength=size) & 1
                 out.append(np.packbits(flips.astype(np.uint8), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["node", "bits"])
+            sizes = batch.column("shingles").value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(out, pa.binary())], names=["node", "n_shingles", "bits"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "node long, bits binary")
+    return sets.select("doc_id", "shingles").mapInArrow(run, "node long, n_shingles long, bits binary")
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -314,9 +315,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     copies = keep(
         sized.join(groups.filter("n > 1"), prints).filter("doc_id <> class_id").select("doc_id", "class_id").distinct(), "copies"
     )
-    sizes = sized.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = sized.groupBy(F.col("doc_id").alias("node")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
 
-    classes = copies.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    # a doc_id with several sets stands for itself
+    several = sized.groupBy("doc_id").agg((F.min(F.struct(*prints)) != F.max(F.struct(*prints))).alias("several")).filter("several")
+    classes = copies.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).join(several, "doc_id", "left_anti")
     members = buckets_of(bucket_keys(rows, bands), sized, classes, hot_keys(rows, bands))
     sets = keep(shingle_sets(rows, members.select("node")), "sets")
 
@@ -328,9 +331,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.sum("weight").alias("weight")
     )
     pairs = (
-        pairs.join(sizes.selectExpr("node as a", "n_shingles as size_a"), "a")
-        .join(sizes.selectExpr("node as b", "n_shingles as size_b"), "b")
-        .filter(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+        pairs.join(sizes.selectExpr("node as a", "low as low_a", "high as high_a"), "a")
+        .join(sizes.selectExpr("node as b", "low as low_b", "high as high_b"), "b")
+        .filter(f"100 * high_a >= {percent} * low_b and 100 * high_b >= {percent} * low_a")
     )
     pairs = keep(pairs.select("a", "b", "node", "weight"), "star-pairs")
     # first each node's most likely center, then what that leaves apart
@@ -349,13 +352,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = links.unionByName(keep(verify(second, sets, percent), "links"))
     roots = components(links)
 
-    rooted = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "node")
+    rooted = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("bucket").agg(
         (F.min("root") != F.max("root")).alias("split"), F.expr("bit_xor(xxhash64(node))").alias("members"), F.count(F.lit(1)).alias("n")
     )
     # buckets with the same members need one look
     split = split.filter("split").groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_members = keep(rooted.select("bucket", "node", "root", "n_shingles").join(split, "bucket"), "open-members")
+    open_members = keep(rooted.select("bucket", "node", "root").join(split, "bucket"), "open-members")
     wanted = sets.join(open_members.selectExpr("node as doc_id").distinct(), "doc_id", "left_semi")
     left = block_pairs(open_members.join(bit_sketches(wanted), "node"), percent)
     left = left.join(pairs.select("a", "b"), ["a", "b"], "left_anti")

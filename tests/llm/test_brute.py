@@ -199,6 +199,14 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute.duplicate_groups(docs)
 
 
+def test_rows_of_one_id_keep_the_links_of_all_their_texts(spark):
+    rng = random.Random(12)
+    one, two = random_words(rng, 30, 5000), random_words(rng, 200, 5000)
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, " ".join([*one, "x"])), (7, " ".join([*two, "y"])), (4, " ".join(one)), (3, "a b c d e f")]
+    found = near_duplicates.near_duplicates(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(5, 4), (6, 4), (7, 4), (4, 4), (3, 3)}
+
+
 def test_hot_keys_are_spread(spark, monkeypatch):
     """Near copies of one text in most documents: every key of theirs is hot, with the same result."""
     rng = random.Random(9)

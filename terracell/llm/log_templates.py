@@ -16,11 +16,13 @@ from .common import keep
 BROADCAST_LEAVES = 2_000_000
 #: tokens whose hashes a task remembers; beyond that it starts anew, which costs time only
 MEMO_TOKENS = 150_000
+#: words besides wildcards from which two equal lines are a copy and not chance
+LONG_WORDS = 13
 WILD = b"<*>"
 DIGITS = frozenset(b"0123456789")
 
 LINES = (
-    "doc_id long, print long, line_no int, leaf long, line long, n_tokens int, n_lead int, first boolean, tokens array<long>"
+    "doc_id long, print long, line_no int, leaf long, line long, n_tokens int, n_lead int, first boolean, tokens array<long>, long boolean"
 )
 
 
@@ -62,10 +64,11 @@ def leaves(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "leaf long")
 
 
-def lines_in(rows: DataFrame, hot: np.ndarray | None, depth: int) -> DataFrame:
+def lines_in(rows: DataFrame, hot: np.ndarray | None, depth: int, long_words: int) -> DataFrame:
     """Every line in one of the hot leaves (any leaf, if they are not given), with hashed tokens behind the leading ones.
 
-    A wildcard's hash is 0. `first` marks a line's first occurrence in its document.
+    A wildcard's hash is 0. `first` marks a line's first occurrence in its document. A line of long_words words besides
+    wildcards is given wherever it stands, in a row of its own marked `long`: without tokens, and with its own hash as leaf.
     """
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
@@ -78,16 +81,23 @@ def lines_in(rows: DataFrame, hot: np.ndarray | None, depth: int) -> DataFrame:
             out: list[tuple] = []
             seen: set[tuple[int, int]] = set()
             for k, number, tokens, leaf in parsed(batch, depth):
-                if wanted is not None and leaf not in wanted:
+                long = len(tokens) >= long_words and len(tokens) - tokens.count(WILD) >= long_words
+                within = wanted is None or leaf in wanted
+                if not (long or within):
                     continue
                 line = signed(b" ".join(tokens))
+                new = (k, line) not in seen
+                seen.add((k, line))
+                if long:
+                    out.append((ids[k], prints[k], number, line, line, len(tokens), 0, new, None, True))
+                if not within:
+                    continue
                 rest = [hashes[t] if t in hashes else hashes.setdefault(t, signed(t)) for t in tokens[depth:]]
                 lead = sum(t != WILD for t in tokens[:depth])
-                out.append((ids[k], prints[k], number, leaf, line, len(tokens), lead, (k, line) not in seen, rest))
-                seen.add((k, line))
+                out.append((ids[k], prints[k], number, leaf, line, len(tokens), lead, new, rest, False))
                 if len(hashes) > MEMO_TOKENS:
                     hashes = {WILD: 0}
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.bool_()]
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -100,9 +110,11 @@ def drop_recurring_lines(
     min_docs: int = 5,
     min_constant: float = 0.6,
     keep_first: bool = True,
+    long_words: int = LONG_WORDS,
+    long_docs: int = 2,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Drop lines whose template recurs in at least min_docs documents.
+    """Drop lines whose template recurs in at least min_docs documents, and long lines that long_docs documents have.
 
     The tree has a fixed depth: a line goes down by its token count and its first `depth` tokens, tokens with a digit
     being wildcards. In a leaf that min_docs documents reach, a later token is constant where at least min_docs documents have
@@ -111,8 +123,12 @@ def drop_recurring_lines(
     share of constants form templates by equal constants. All lines of a recurring template are dropped, but for those of the document with the smallest id (keep_first),
     so a text that was copied is not lost altogether.
 
+    A line of at least long_words words besides wildcards is also dropped, template or not, where long_docs documents have it
+    (equal but for wildcards); of these, again, the document with the smallest id keeps it. Shorter lines need min_docs.
+
     Leaves, lines, tokens and templates are only counted, with partial sums, so a very common line costs one row a task.
-    Token hashes are made only for lines in leaves that recur. Texts are shuffled once, to meet their line numbers.
+    Token hashes are made only for lines in leaves that recur. Long lines are narrow rows, counted with partial sums, and meet those
+    that recur by a broadcast up to BROADCAST_LEAVES of them. Texts are shuffled once, to meet their line numbers.
 
     Returns doc_id, text (the lines kept), the columns named in carry, n_lines, n_dropped (lines with a token, and those dropped).
 
@@ -127,8 +143,11 @@ def drop_recurring_lines(
     hot = keep(leaves(rows, depth).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"), "hot-leaves")
     few = hot.count() <= BROADCAST_LEAVES
     picked = np.array([r["leaf"] for r in hot.toLocalIterator()], np.int64) if few else None
-    lines = lines_in(rows, picked, depth)
-    lines = keep(lines if few else lines.join(hot, "leaf", "left_semi").select(*lines.columns), "lines")
+    lines = lines_in(rows, picked, depth, long_words)
+    if not few:
+        lines = lines.join(hot.withColumn("hot", F.lit(True)), "leaf", "left").filter("long or hot").select(*lines.columns)
+    found = keep(lines, "lines")
+    lines, long = found.filter("not long"), found.filter("long").select("doc_id", "print", "line_no", "line", "first")
 
     # distinct lines, and of their tokens those that are part of a template
     distinct = keep(
@@ -156,7 +175,11 @@ def drop_recurring_lines(
     places = lines.select("doc_id", "print", "line_no", "leaf", "line").join(templates, ["leaf", "line"])
     seen = places.select("template", "doc_id", "print").distinct().groupBy("template")
     recurring = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc")).filter(F.col("docs") >= min_docs)
-    gone = places.join(recurring, "template")
+    copied = long.groupBy("line").agg(F.count_if("first").alias("docs"), F.min("doc_id").alias("first_doc"))
+    copied = keep(copied.filter(F.col("docs") >= long_docs).select("line", "first_doc"), "long-lines")
+    copies = long.join(F.broadcast(copied) if copied.count() <= BROADCAST_LEAVES else copied, "line")
+    gone = places.join(recurring, "template").select("doc_id", "print", "line_no", "first_doc")
+    gone = gone.unionByName(copies.select(*gone.columns))
     if keep_first:
         gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("print").alias("p")).agg(F.collect_set("line_no").alias("gone"))

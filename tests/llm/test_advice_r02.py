@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from terracell.llm.log_templates import drop_recurring_lines
 from terracell.llm.queries import QUERIES
+from terracell.llm.url_templates import url_verdicts
 
 from . import brute
 from .test_brute import MIDDLE, docs_of, frame
@@ -50,3 +51,31 @@ def test_lines_with_long_copies(spark):
         kept = [x for k, x in enumerate(given) if x in left and k not in copies[i]]
         assert ((rows[i]["text"] or "").split("\n"), rows[i]["n_dropped"]) == (kept or [""], len(given) - len(kept))
     assert sum(map(len, copies.values())) > 100
+
+
+def verdicts(spark, urls, rules):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {urls[r["page_id"]]: r for r in url_verdicts(pages, rules).collect()}
+
+
+def words(n):
+    """n different words without digits."""
+    return ["".join("abcdefghij"[int(d)] for d in f"{k:04d}") for k in range(n)]
+
+
+def test_sections_below_a_twentieth(spark):
+    """40 sections: the blocked one neither blocks the others nor hides among them."""
+    urls = [f"http://a.com/{w}/{v}" for w in words(40) for v in words(50)]
+    rows = verdicts(spark, urls, [("block", "a.com", "/aaaa/aaa"), ("block", "a.com", "/aaaa/aab"), ("allow", "a.com", "/aaab/")])
+    assert all(r["verdict"] == ("block" if "/aaaa/" in u else "allow") for u, r in rows.items())
+    assert rows["http://a.com/aaaa/aaej"]["rule"] is None  # decided by its section
+
+
+def test_values_of_a_variable_field(spark):
+    """300 users of 4 pages are one field; the labelled bad ones among them stay apart."""
+    urls = [f"http://a.com/u/{w}/{v}" for w in words(300) for v in ("a", "b", "c", "d", "z")]
+    rows = verdicts(spark, urls, [("block", "a.com", "/u/aaa%s/%s" % (c, v)) for c in "bc" for v in "abcd"])
+    bad = ("/u/aaab/", "/u/aaac/")
+    assert all((r["verdict"] == "block") == any(b in u and not u.endswith("z") for b in bad) for u, r in rows.items() if r["rule"])
+    assert {r["verdict"] for u, r in rows.items() if not any(b in u for b in bad)} == {"allow"}
+    assert len({r["template"] for u, r in rows.items() if not any(b in u for b in bad)}) <= 5

@@ -79,3 +79,15 @@ def test_values_of_a_variable_field(spark):
     assert all((r["verdict"] == "block") == any(b in u and not u.endswith("z") for b in bad) for u, r in rows.items() if r["rule"])
     assert {r["verdict"] for u, r in rows.items() if not any(b in u for b in bad)} == {"allow"}
     assert len({r["template"] for u, r in rows.items() if not any(b in u for b in bad)}) <= 5
+
+
+def test_segments_beyond_the_fourth(spark):
+    urls = [f"http://a.com/a/b/c/{s}/{v}/x" for s in ("spam", "good") for v in words(60)]
+    rows = verdicts(spark, urls, [("block", "a.com", f"/a/b/c/spam/{w}/") for w in words(30)])
+    assert all(r["verdict"] == ("block" if "/spam/" in u else "allow") for u, r in rows.items())
+    assert {r["template"] for r in rows.values()} == {"/a/b/c/spam/*/x", "/a/b/c/good/*/x"}
+
+
+def test_hosts_too_large_to_merge(spark, monkeypatch):
+    monkeypatch.setattr("terracell.llm.url_templates.MERGED_PATHS", 0)
+    test_segments_beyond_the_fourth(spark)

@@ -188,5 +188,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, shares: int
         "bins_to - bins + class_rank div per_bin as sequence_id",
         "(class_rank % per_bin) * length as offset",
     )
-    left = ranked.filter("class_rank >= per_bin * bins").withColumn("first_id", F.col("all_bins")).coalesce(1)
+    left = ranked.filter("class_rank >= per_bin * bins").withColumn("first_id", F.col("all_bins")).repartition(1)
     return in_bins.unionByName(left.mapInArrow(lambda rows: fill_leftovers(rows, capacity), PLACED))

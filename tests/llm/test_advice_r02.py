@@ -3,7 +3,8 @@
 from collections import defaultdict
 
 from terracell.llm.log_templates import drop_recurring_lines
-from terracell.llm.queries import QUERIES
+from terracell.llm.packing import pack
+from terracell.llm.queries import QUERIES, tokenizer_path
 from terracell.llm.url_templates import url_verdicts
 
 from . import brute
@@ -91,3 +92,9 @@ def test_segments_beyond_the_fourth(spark):
 def test_hosts_too_large_to_merge(spark, monkeypatch):
     monkeypatch.setattr("terracell.llm.url_templates.MERGED_PATHS", 0)
     test_segments_beyond_the_fourth(spark)
+
+
+def test_leftovers_are_found_on_all_partitions(spark):
+    docs = frame(spark, [(k, "word " * k) for k in range(0, 90, 7)])
+    plan = pack(docs, tokenizer_path(), capacity=64, shares=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 1, true" in plan and "Repartition 1, false" not in plan

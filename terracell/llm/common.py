@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +42,21 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     """
     spread = df.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order, "spread")
     return keep(spread.withColumn("part", F.spark_partition_id()).drop("spread"), "ranged")
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most `limit` bytes of a column of strings or lists of 32-bit numbers; a longer value is alone."""
+    for batch in batches:
+        values = batch.column(column)
+        if isinstance(values, pa.ListArray):
+            lengths = 4 * values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            lengths = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start, filled = 0, 0
+        for k, n in enumerate(lengths.tolist()):
+            if k > start and filled + n > limit:
+                yield batch.slice(start, k - start)
+                start, filled = k, 0
+            filled += n
+        if start < len(batch):
+            yield batch.slice(start)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality
+from . import language_id, quality, tokenization
 from .common import fold, table
 from .decontamination import decontaminate
 from .log_templates import drop_recurring_lines
@@ -19,11 +19,11 @@ from .sharding import shard_by_bytes
 from .url_templates import url_verdicts
 
 
-def tokenizer_path() -> str:
-    """The production vocabulary, from the package of public tokenizers."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A production vocabulary, from the package of public tokenizers."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +204,32 @@ FROM placed GROUP BY conv_id, speaker, part
 """
 
 
+def op11_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    found = tokenization.decode(tokenization.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fm_index_decontamination, op2_line_frequency_rules, op3_compression_quality, op4_cross_parsing_language, op5_path_templates, op6_harmonic_packing, op7_byte_shards, op8_log_templates, op9_parity_sketch_join, op10_perspective_rotation)
+    f.__name__: f
+    for f in (
+        op1_fm_index_decontamination,
+        op2_line_frequency_rules,
+        op3_compression_quality,
+        op4_cross_parsing_language,
+        op5_path_templates,
+        op6_harmonic_packing,
+        op7_byte_shards,
+        op8_log_templates,
+        op9_parity_sketch_join,
+        op10_perspective_rotation,
+        op11_tokenization_automaton,
+    )
 }
 
 ORACLES: dict[str, str] = {"op1_fm_index_decontamination": OP1_SQL, "op2_line_frequency_rules": OP2_SQL, "op10_perspective_rotation": OP10_SQL}

@@ -33,4 +33,4 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(name.split("_")[0][2:]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,8 @@ from .common import by_bytes
 
 #: fixed value: how the byte-level pre-tokenizer splits a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: up to here the pattern's letters, numbers and spaces are those of the tokenizer's library; other texts are split by it
-PLAIN = regex.compile("[\x00-ԯ]*")
+#: up to here the letters, numbers and spaces of any Unicode version are the same; other texts are split by the tokenizer's library
+LAST_PLAIN = 0x52F
 #: words a task remembers; beyond that it starts anew, which costs time only
 MEMO_WORDS = 200_000
 #: arcs a worker process remembers; beyond that it starts anew
@@ -33,6 +35,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+def plain_pattern() -> str:
+    """PATTERN with its classes written out for texts up to LAST_PLAIN, for the faster regular expressions."""
+
+    def members(name: str) -> str:
+        found = [c for c in range(LAST_PLAIN + 1) if regex.match(name, chr(c))]
+        ends = [(a, b) for a, b in zip([None, *found], [*found, None]) if a is None or b is None or b != a + 1]
+        return "".join(f"\\u{start:04x}-\\u{stop:04x}" for (_, start), (stop, _) in zip(ends, ends[1:]))
+
+    inside = {name: members(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    plain = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(inside.values())}]")
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        plain = plain.replace(name, f"[{inside[name]}]")
+    return plain.replace(r"\S", f"[^{inside[r'\s']}]")
+
+
 class TokenizationAutomaton:
     """A deterministic automaton over tokens that accepts, for every byte string, its BPE tokens and no other split of it.
 
@@ -62,6 +79,7 @@ class TokenizationAutomaton:
                 self.left[uv], self.right[uv], self.made[uv] = u, v, number
                 self.tokens[labels[uv]] = uv
         self.longest = max(map(len, self.tokens))
+        self.sizes = [len(label or b"") for label in labels]
         self.known: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
 
@@ -78,21 +96,11 @@ class TokenizationAutomaton:
             u, copied = self.right[u], self.made[u]
         return True
 
-    def step(self, x: int, y: int) -> bool:
-        """arc, from the table of transitions looked at so far."""
-        key = x * self.size + y
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= MEMO_ARCS:
-                self.known.clear()
-            self.known[key] = found = self.arc(x, y)
-        return found
-
     def longest_at(self, word: bytes, start: int, end: int) -> int:
         """The longest token that the bytes from start on begin with, up to end."""
-        tokens = self.tokens
+        get = self.tokens.get
         for stop in range(min(end, start + self.longest), start, -1):
-            found = tokens.get(word[start:stop])
+            found = get(word[start:stop])
             if found is not None:
                 return found
         raise AssertionError("every byte is a token")
@@ -109,24 +117,45 @@ class TokenizationAutomaton:
         """Labels of the accepted path over the word.
 
         Longer arcs first; a place from which no arc goes on is left for good, since one path at most leads to each place.
+        The table of transitions holds the arcs looked at so far.
         """
-        labels, size = self.labels, len(word)
+        size, width, tokens, known = len(word), self.size, self.tokens, self.known
+        whole = tokens.get(word)
+        if whole is not None:  # an arc of the start, which has all
+            return [whole]
+        sizes, shorter, longest = self.sizes, self.next_shorter, self.longest
         path: list[int] = []
         dead: set[int] = set()
-        at = 0
+        at, x = 0, -1
         while at < size:
-            y = self.longest_at(word, at, size)
+            stop = min(size, at + longest)
+            y = tokens.get(word[at:stop], -1)
+            while y < 0:
+                stop -= 1
+                y = tokens.get(word[at:stop], -1)
             while True:
-                while y >= 0 and (at + len(labels[y]) in dead or (path and not self.step(path[-1], y))):
-                    y = self.next_shorter(y)
+                while y >= 0:
+                    if at + sizes[y] not in dead:
+                        if x < 0:
+                            break
+                        arc = known.get(x * width + y)
+                        if arc is None:
+                            if len(known) >= MEMO_ARCS:
+                                known.clear()
+                            known[x * width + y] = arc = self.arc(x, y)
+                        if arc:
+                            break
+                    y = shorter(y)
                 if y >= 0:
                     path.append(y)
-                    at += len(labels[y])
+                    at += sizes[y]
+                    x = y
                     break
                 dead.add(at)
                 y = path.pop()
-                at -= len(labels[y])
-                y = self.next_shorter(y)
+                x = path[-1] if path else -1
+                at -= sizes[y]
+                y = shorter(y)
         return path
 
 
@@ -156,14 +185,18 @@ class ByteTokenizer:
         self.automaton = TokenizationAutomaton(labels.copy(), merges)
         for token, k in added.items():
             labels[k] = token.encode()
-        self.labels = labels
+        # labels in one run of bytes; an empty one at the end stands for ids that are not there
+        self.joined = np.frombuffer(b"".join(x or b"" for x in labels), np.uint8)
+        self.sizes = np.array([*(len(x or b"") for x in labels), 0])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.added = added
         self.marks = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.words = regex.compile(PATTERN)
+        self.words = re.compile(plain_pattern())
+        self.plain = re.compile(f"[\\x00-\\u{LAST_PLAIN:04x}]*")
         self.library = Tokenizer.from_file(path).pre_tokenizer
 
     def split(self, text: str) -> list[str]:
-        if PLAIN.fullmatch(text):
+        if text.isascii() or self.plain.fullmatch(text):
             return self.words.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
@@ -188,10 +221,20 @@ class ByteTokenizer:
                 found += map(words.__getitem__, self.split(part))
         return np.frombuffer(b"".join(found), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The labels in order; ids outside the vocabulary have none, and bytes that are no UTF-8 become U+FFFD."""
-        known = len(self.labels)
-        return b"".join([self.labels[k] or b"" for k in ids if 0 <= k < known]).decode("utf-8", "replace")
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The labels of each list in order; ids outside the vocabulary have none, and bytes that are no UTF-8 become U+FFFD."""
+        values = ids.flatten().to_numpy(zero_copy_only=False)
+        values = np.where((values >= 0) & (values < len(self.sizes)), values, len(self.sizes) - 1)
+        sizes = self.sizes[values]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[values] - (ends - sizes), sizes)
+        joined = self.joined[np.arange(len(shift)) + shift]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))]
+        whole = joined.tobytes()
+        return pa.array(
+            [whole[a:b].decode("utf-8", "replace") if some else None for a, b, some in zip(bounds.tolist(), bounds[1:].tolist(), ids.is_valid().to_pylist())],
+            pa.string(),
+        )
 
 
 class Words(dict):
@@ -203,7 +246,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        self[word] = found = np.array(self.automaton.encode(word.encode()), np.int32).tobytes()
+        self[word] = found = array("i", self.automaton.encode(word.encode())).tobytes()
         return found
 
 
@@ -251,7 +294,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = byte_tokenizer(path)
         for batch in by_bytes(batches, "ids", STEP):
-            texts = [None if ids is None else tokenizer.decode(ids) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*others, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokenizer.decode(batch.column("ids"))], names=[*others, "text"])
 
     return given.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in given.dtypes) + ", text string")

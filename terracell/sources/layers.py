@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions._col import intdiv
 from ..functions.grid import z_index, z_parts
 from ..functions.timeindex import DAY
+from ..functions.zcurve import BITS, in_z_ranges, z_ranges
 from ..operators.layout import tiles_to_cells
 from ..operators.series import time_range
 from ..plans.joins import rebalance
@@ -57,11 +58,14 @@ def upsert_layer(tiles: DataFrame, path: str) -> None:
     """Create the layer, or replace the tiles with the keys being written.
 
     Only the (layer, zoom, time_index) folders that a written tile lies in are rewritten; their other tiles are carried over.
-    Of two tiles with one key in a call, one stays.
+    Of several tiles with one key in a call, the one whose other columns sort last (bands first) stays, so a call repeated stores the same.
     """
     folder = ["layer", "zoom", "time_index"]
     spark = tiles.sparkSession
-    keyed = tiles.withColumn("z_index", z_index("time_index", "tile_y", "tile_x")).dropDuplicates(TILE_KEY)
+    others = ["bands", *(c for c in tiles.columns if c not in ("bands", *TILE_KEY))]
+    last = F.max(F.struct(*others)).alias("_last")
+    keyed = tiles.groupBy(*TILE_KEY).agg(last).select(*TILE_KEY, "_last.*").select(*tiles.columns)
+    keyed = keyed.withColumn("z_index", z_index("time_index", "tile_y", "tile_x"))
     if path_exists(spark, path):
         keyed = cut(keyed)
         stored = spark.read.schema(keyed.schema).parquet(path)
@@ -82,18 +86,54 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def layer_query(
-    tiles: DataFrame, layer: str, zoom: int, keys: tuple[int, int, int, int] | None = None, start=None, end=None
+    tiles: DataFrame,
+    layer: str,
+    zoom: int,
+    keys: tuple[int, int, int, int] | None = None,
+    start=None,
+    end=None,
+    z_time: str | None = "stored",
+    step_days: int = 10,
+    max_ranges: int = 32,
 ) -> DataFrame:
-    """Part of a stored layer: tile keys (min_x, min_y, max_x, max_y) and a closed time range.
+    """Part of a stored layer: tile keys (min_x, min_y, max_x, max_y) and a closed time range (time indexes).
 
-    Every predicate is a plain comparison on a stored column, so Spark prunes folders and row
-    groups with it.
+    Where the layer has its z_index, the box becomes ranges of that key, which files are sorted by: a row group holds a
+    piece of the curve, so comparisons of z_index skip those that the box's ranges leave out, also where x and y alone span wide. The
+    plain comparisons of tile keys and time stay and decide what is returned.
+
+    z_time says which time is in the key: `t_bucket` (layers of write_layer_temporal, steps of step_days), `time_index` (upsert_layer), or
+    None (write_layer). `stored` takes t_bucket where the layer has that column and else leaves time out of the ranges, which holds
+    for the other two: any time is then in range. Places with a key outside the curve's bits (negative ones) have no z_index and are kept for the
+    plain comparisons wherever the box reaches there.
     """
     found = tiles.filter((F.col("layer") == layer) & (F.col("zoom") == zoom))
     if keys is not None:
         min_x, min_y, max_x, max_y = keys
         found = found.filter(F.col("tile_x").between(min_x, max_x) & F.col("tile_y").between(min_y, max_y))
-    return time_range(found, start, end)
+    found = time_range(found, start, end)
+    if "z_index" in tiles.columns and keys is not None:
+        found = found.filter(_on_curve(tiles.columns, keys, start, end, z_time, step_days, max_ranges))
+    return found
+
+
+def _on_curve(columns: list[str], keys: tuple[int, int, int, int], start, end, z_time: str | None, step_days: int, max_ranges: int):
+    """Ranges of the stored key for a box and, where both ends are numbers, a time range."""
+    if z_time == "stored":
+        z_time = "t_bucket" if "t_bucket" in columns else "any"
+    last = (1 << BITS[0]) - 1
+    times = (0, 0) if z_time is None else (0, last)
+    outside = z_time == "any" and not (isinstance(start, int) and start >= 0)
+    if z_time in ("t_bucket", "time_index"):
+        plain = [v if isinstance(v, int) else None for v in (start, end)]
+        unit = step_days * DAY if z_time == "t_bucket" else 1
+        low, high = (None if v is None else v // unit for v in plain)
+        outside = low is None or low < 0 or high is None or high > last
+        times = max(0, 0 if low is None else low), min(last, last if high is None else high)
+    min_x, min_y, max_x, max_y = keys
+    outside = outside or min(min_x, min_y) < 0 or max(max_x, max_y) >= 1 << BITS[1]
+    near = in_z_ranges("z_index", z_ranges(times, (min_y, max_y), (min_x, max_x), max_ranges))
+    return near | F.col("z_index").isNull() if outside else near
 
 
 def layer_intersects(tiles: DataFrame, grid, tile_cols: int, tile_rows: int, extent: tuple[float, float, float, float]) -> DataFrame:

@@ -8,22 +8,31 @@ from terracell.functions.kernels import gaussian_kernel
 from terracell.operators import cover, layout, resample, zonal
 from terracell.operators.layout import Grid
 
-from .fixture import GRID, WIDTH
+from .fixture import GRID, TILE, WIDTH
 from .registry import check
 
 _CX = "68e0 + (col + 0.5e0) * 0.03125e0"
 _CY = "36e0 - (row + 0.5e0) * 0.03125e0"
 
 
-@check("zonal_cells", "select aoi_id, time_index, col, row, value from {{zonal}} where band = 1")
+@check("zonal_cells", "select aoi_id, time_index, col, row, band, value from {{zonal}}")
 def zonal_cells(fx):
-    out = zonal.zonal_cells(fx.cells.filter("band = 1"), fx.aois, GRID)
-    return out.select("aoi_id", "time_index", "col", "row", "value")
+    out = zonal.zonal_cells(fx.cells, fx.aois, GRID)
+    return out.select("aoi_id", "time_index", "col", "row", "band", "value")
 
 
-@check("zonal_histogram", "select aoi_id, cast(value as integer) as value, count(*) as n from {{zonal}} where band = 2 group by 1, 2")
+@check("zonal_histogram", "select aoi_id, cast(value as integer) as value, count(*) as n from {{zonal}} group by 1, 2")
 def zonal_histogram(fx):
-    return zonal.zonal_histogram(fx.cells.filter("band = 2"), fx.aois, GRID)
+    return zonal.zonal_histogram(fx.cells, fx.aois, GRID)
+
+
+@check(
+    "zonal_mean_tiles",
+    """select aoi_id, layer, time_index, band, count(value) as n, sum(value) as total, sum(value) / count(value) as mean
+       from {{zonal}} group by 1, 2, 3, 4""",
+)
+def zonal_mean_tiles(fx):
+    return zonal.zonal_mean_tiles(fx.tiles, fx.aois, GRID, TILE, by=["layer", "time_index", "band"])
 
 
 @check(
@@ -50,10 +59,9 @@ def mean_ndi_by_aoi(fx):
     from terracell.operators.series import time_range
 
     cells = time_range(fx.cells, 864000, 4320000)
-    inside = zonal.zonal_cells(ndi((cells, 5), (cells, 4)), fx.aois, GRID)
-    return inside.groupBy("aoi_id", "time_index").agg(
-        F.count("value").alias("n"), F.sum(F.floor(F.col("value") * 1e6)).alias("micro_sum")
-    )
+    micros = ndi((cells, 5), (cells, 4)).withColumn("value", F.floor(F.col("value") * 1e6))
+    found = zonal.zonal_mean(micros, fx.aois, GRID, by=["time_index"])
+    return found.select("aoi_id", "time_index", "n", F.col("total").cast("bigint").alias("micro_sum"))
 
 
 _ALL_CELLS = """(select aoi_id, cx, cy, h, c as col, r as row from {{aois}},

@@ -94,18 +94,153 @@ def zonal_cells(cells: DataFrame, aois: DataFrame, grid: Grid, id_col: str = "ao
     return joined.filter(F.col("col").between(F.col("c0"), F.col("c1"))).select(id_col, *cells.columns)
 
 
+def _pieces(spans: DataFrame, width: int) -> DataFrame:
+    """Spans cut at blocks of `width` columns: _block and the columns _lo.._hi within it."""
+    first, last = intdiv("c0", width).cast("int"), intdiv("c1", width).cast("int")
+    cut = spans.withColumn("_block", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("c0") - F.col("_block") * width, F.lit(0)).cast("int")
+    hi = F.least(F.col("c1") - F.col("_block") * width, F.lit(width - 1)).cast("int")
+    return cut.withColumns({"_lo": lo, "_hi": hi}).drop("c0", "c1")
+
+
 def zonal_histogram(cells: DataFrame, aois: DataFrame, grid: Grid, id_col: str = "aoi_id") -> DataFrame:
-    """Count of cells per polygon and whole-number value."""
-    inside = zonal_cells(cells.filter(F.col("value").isNotNull()), aois, grid, id_col)
-    return inside.groupBy(id_col, F.col("value").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    """Count of cells per polygon and whole-number value.
 
+    The cells of one value in a raster row and block are one 64-bit mask, put together with partial sums. A polygon's span is
+    a mask, too, and what both share is counted, so a polygon meets values and not cells. A cell given twice is an error.
+    """
+    keys = [c for c in ("layer", "time_index", "band") if c in cells.columns]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("col", F.lit(MASK_BITS)).cast("int"))
+    masks = (
+        cells.filter(F.col("value").isNotNull())
+        .groupBy(*keys, "row", intdiv("col", MASK_BITS).cast("int").alias("_block"), F.col("value").cast("int").alias("value"))
+        .agg(F.bit_or(bit).alias("_mask"), F.count(F.lit(1)).alias("_n"))
+    )
+    twice = F.raise_error(F.lit("a cell is given twice: mosaic first")).cast("bigint")
+    masks = masks.withColumn("_mask", F.when(F.col("_n") > F.bit_count("_mask"), twice).otherwise(F.col("_mask")))
+    joined = small_join(masks, _pieces(polygon_spans(aois, grid, id_col), MASK_BITS), ["row", "_block"], [id_col, "_lo"])
+    shared = F.bit_count(F.col("_mask").bitwiseAND(_ones(F.col("_lo"), F.col("_hi")))).cast("bigint")
+    return joined.groupBy(id_col, "value").agg(F.sum(shared).alias("n")).filter("n > 0")
 
-def zonal_mean(cells: DataFrame, aois: DataFrame, grid: Grid, by: list[str] | None = None, id_col: str = "aoi_id") -> DataFrame:
-    """Count and mean of the non-null cells per polygon (and further keys)."""
-    inside = zonal_cells(cells, aois, grid, id_col)
-    return inside.groupBy(id_col, *(by or [])).agg(
-        F.count("value").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean")
+
+def row_sums(cells: DataFrame, by: list[str], width: int = BLOCK) -> DataFrame:
+    """Running sums along raster rows: per `by`, row and block of `width` columns, the arrays _c, _n and _s with width + 1 entries.
+
+    Entry k holds the cells, the non-null ones and their total before column k of the block, so a stretch of
+    columns is two lookups. Cells are shuffled once, by row and block; both groupings work on that.
+    """
+    at = F.pmod("col", F.lit(width)).cast("int").alias("_at")
+    keyed = cells.select(*by, "row", intdiv("col", width).cast("int").alias("_block"), at, F.col("value").cast("double").alias("value"))
+    keys = [*by, "row", "_block"]
+    per_cell = (
+        keyed.repartition(*keys)
+        .groupBy(*keys, "_at")
+        .agg(F.count(F.lit(1)).alias("c"), F.count("value").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"))
+    )
+    blocks = per_cell.groupBy(*keys).agg(F.collect_list(F.struct("_at", "c", "n", "s")).alias("_cells"))
+
+    def running(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("_cells")
+            cell = lists.flatten()
+            place = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy()), cell.field("_at").to_numpy() + 1
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * (width + 1))
+            out = []
+            for name, kind in (("c", np.int64), ("n", np.int64), ("s", np.float64)):
+                sums = np.zeros((len(batch), width + 1), kind)
+                sums[place] = cell.field(name).to_numpy()
+                out.append(pa.ListArray.from_arrays(ends, pa.array(sums.cumsum(axis=1).ravel())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *out], names=[*keys, "_c", "_n", "_s"])
+
+    types = dict(blocks.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    return blocks.mapInArrow(running, f"{schema}, _c array<bigint>, _n array<bigint>, _s array<double>")
+
+
+def tile_row_sums(tiles: DataFrame, by: list[str], width: int) -> DataFrame:
+    """row_sums of stored tiles of `width` columns, whose rows already lie together: no shuffle. `by`: of layer, time_index and band."""
+    from pyspark.sql import types as T
+
+    unknown = set(by) - {"layer", "time_index", "band"}
+    if unknown:
+        raise ValueError(f"tiles have no {sorted(unknown)}")
+    given = tiles.select("layer", "time_index", "tile_x", "tile_y", "cols", "rows", "bands")
+    kinds = {"layer": T.StringType(), "time_index": T.LongType(), "band": T.IntegerType()}
+
+    def running(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = [*by, "row", "_block", "_c", "_n", "_s"]
+        for batch in batches:
+            for tile in range(len(batch)):
+                cols, rows = batch.column("cols")[tile].as_py(), batch.column("rows")[tile].as_py()
+                if cols != width:
+                    raise ValueError(f"a tile has {cols} columns, not {width}")
+                top, block = batch.column("tile_y")[tile].as_py() * rows, batch.column("tile_x")[tile].as_py()
+                for band, data in enumerate(batch.column("bands")[tile], 1):
+                    there = np.asarray(data.values.is_valid()).reshape(rows, cols)
+                    values = data.values.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(rows, cols)
+                    ends = pa.array(np.arange(rows + 1, dtype=np.int32) * (cols + 1))
+
+                    def lists(x, ends=ends, shape=(rows, cols)):
+                        sums = np.zeros((shape[0], shape[1] + 1), x.dtype)
+                        x.cumsum(axis=1, out=sums[:, 1:])
+                        return pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))
+
+                    own = {"layer": batch.column("layer")[tile].as_py(), "time_index": batch.column("time_index")[tile].as_py(), "band": band}
+                    arrow = {"layer": pa.string(), "time_index": pa.int64(), "band": pa.int32()}
+                    keys = [pa.array([own[k]] * rows, arrow[k]) for k in by]
+                    place = [pa.array(np.arange(top, top + rows, dtype=np.int32)), pa.array(np.full(rows, block, np.int32))]
+                    n = lists(there.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([*keys, *place, n, n, lists(values)], names=names)
+
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in by])
+    schema = schema.add("row", T.IntegerType()).add("_block", T.IntegerType())
+    for name, kind in (("_c", T.LongType()), ("_n", T.LongType()), ("_s", T.DoubleType())):
+        schema = schema.add(name, T.ArrayType(kind))
+    return given.mapInArrow(running, schema)
+
+
+def mean_of_sums(sums: DataFrame, aois: DataFrame, grid: Grid, by: list[str], width: int = BLOCK, id_col: str = "aoi_id") -> DataFrame:
+    """zonal_mean from running sums: a span is two lookups in each block it crosses, whatever its length."""
+    joined = small_join(sums, _pieces(polygon_spans(aois, grid, id_col), width), ["row", "_block"], [id_col, "_lo"])
+
+    def between(name: str) -> Column:
+        return F.get(name, F.col("_hi") + 1) - F.get(name, F.col("_lo"))
+
+    added = joined.groupBy(id_col, *by).agg(
+        F.sum(between("_c")).alias("_cells"), F.sum(between("_n")).alias("n"), F.sum(between("_s")).alias("_total")
     )
+    some = F.col("n") > 0
+    return added.filter("_cells > 0").select(
+        id_col, *by, "n", F.when(some, F.col("_total")).alias("total"), F.when(some, F.col("_total") / F.col("n")).alias("mean")
+    )
+
+
+def zonal_mean(cells: DataFrame, aois: DataFrame, grid: Grid, by: list[str] | None = None, id_col: str = "aoi_id") -> DataFrame:
+    """Count, total and mean of the non-null cells per polygon (and further keys), by running sums along raster rows.
+
+    A total is a sum of differences of running sums within blocks of BLOCK columns: exact for whole numbers, else as near as
+    sums of so many values are.
+    """
+    by = by or []
+    return mean_of_sums(row_sums(cells, by), aois, grid, by, BLOCK, id_col)
+
+
+def zonal_mean_tiles(tiles: DataFrame, aois: DataFrame, grid: Grid, width: int, by: list[str] | None = None, id_col: str = "aoi_id") -> DataFrame:
+    """zonal_mean of stored tiles of `width` columns; the tile arrays are not shuffled while the spans fit a broadcast."""
+    by = by or []
+    return mean_of_sums(tile_row_sums(tiles, by, width), aois, grid, by, width, id_col)
+
+
+def _ones(lo: Column, hi: Column) -> Column:
+    """A mask with the bits lo..hi set."""
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(MASK_BITS - 1) - (hi - lo)).cast("int"))
+    return F.call_function("shiftleft", ones, lo.cast("int"))
 
 
 def polygon_mask(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", by: list[str] | None = None) -> DataFrame:
@@ -116,10 +251,7 @@ def polygon_mask(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", by: list[s
     )
     lo = F.greatest(F.col("c0") - F.col("_block") * MASK_BITS, F.lit(0))
     hi = F.least(F.col("c1") - F.col("_block") * MASK_BITS, F.lit(MASK_BITS - 1))
-    ones = F.call_function(
-        "shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(MASK_BITS - 1) - (hi - lo)).cast("int")
-    )
-    bits = F.call_function("shiftleft", ones, lo.cast("int"))
+    bits = _ones(lo, hi)
     return (
         spans.withColumn("_block", block)
         .groupBy(*(by or []), "row", "_block")

@@ -95,16 +95,16 @@ def mosaic_last_wins(fx):
 
 @check(
     "empty_tile_fill",
-    """select p.col, p.row, t.time_index, coalesce(cast(w.b1 as double), 0e0) as value
-       from (select distinct col, row from {{wide}}) p, (select distinct time_index from {{wide}}) t
-       left join {{wide}} w on w.col = p.col and w.row = p.row and w.time_index = t.time_index""",
+    """select p.col, p.row, t.time_index, cast(k.band as integer) as band, coalesce(c.value, 0e0) as value
+       from (select distinct col, row from {{wide}}) p, (select distinct time_index from {{wide}}) t, unnest(generate_series(1, 5)) k(band)
+       left join {{cells}} c on c.col = p.col and c.row = p.row and c.time_index = t.time_index and c.band = k.band""",
 )
 def empty_tile_fill(fx):
     times = F.array_sort(F.collect_set("time_index"))
     axis = fx.wide.agg(times).scalar()
     wanted = fx.wide.select("col", "row").distinct().select("col", "row", F.explode(axis).alias("time_index"))
-    band = fx.cells.filter("band = 1")
-    return algebra.fill_empty(wanted, band, ["col", "row", "time_index"])
+    wanted = wanted.withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return algebra.fill_empty(wanted, fx.cells, ["col", "row", "time_index", "band"])
 
 
 @check("raster_calc", f"select 'calc' as layer, {_POS}, 1 as band, (b1 - 2e0 * b2) / (1e0 + b5) as value from {{{{wide}}}}")
@@ -112,16 +112,22 @@ def raster_calc(fx):
     return algebra.raster_calc(fx.cells, "(b1 - 2 * b2) / (1 + b5)", [1, 2, 5])
 
 
-@check(
-    "focal_conv",
-    """select 'focal' as layer, a.time_index, a.col, a.row, 1 as band,
-              cast(sum(b.b1 * (2 - abs(b.col - a.col)) * (2 - abs(b.row - a.row))) as double) as value
-       from {{wide}} a join {{wide}} b on a.time_index = b.time_index and abs(b.col - a.col) <= 1 and abs(b.row - a.row) <= 1
-       group by 2, 3, 4""",
-)
+_FOCAL_SQL = """select a.layer, a.time_index, a.col, a.row, a.band,
+              cast(sum(b.value * (2 - abs(b.col - a.col)) * (2 - abs(b.row - a.row))) as double) as value
+       from {{cells}} a join {{cells}} b
+         on a.time_index = b.time_index and a.band = b.band and abs(b.col - a.col) <= 1 and abs(b.row - a.row) <= 1
+       group by 1, 2, 3, 4, 5"""
+_TENT = [(dx, dy, (2 - abs(dx)) * (2 - abs(dy))) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
+@check("focal_conv", _FOCAL_SQL)
 def focal_conv(fx):
-    kernel = [(dx, dy, (2 - abs(dx)) * (2 - abs(dy))) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    return algebra.focal(fx.cells.filter("band = 1"), kernel)
+    return algebra.focal(fx.cells, _TENT)
+
+
+@check("focal_conv_tiles", _FOCAL_SQL)
+def focal_conv_tiles(fx):
+    return algebra.focal_tiles(fx.tiles, _TENT)
 
 
 @check("band_min_max", "select layer, band, min(value) as min_value, max(value) as max_value, count(value) as n from {{cells}} group by 1, 2")

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from terracell.operators import layout, resample
+from terracell.operators.algebra import fill_empty
 from terracell.operators.layout import Grid
 
-from .fixture import GRID
+from .fixture import GRID, WIDTH
 from .geometry import SLIPPY
 from .registry import check, micro
 from .sql import micro as sql_micro
@@ -40,14 +41,14 @@ def resample_nearest(fx):
 
 
 def _gathered(weight, span, target=_TARGET):
-    return f"""select time_index, col, row, band, {sql_micro("case when abs(w) > size * 0.1e0 then s / w else a / size end / case when band = 3 then 1e6 else 1e0 end", "value")} from (
-        select {_OUT}, sum(c.value * abs({weight('u - c.col')} * {weight('v - c.row')})) as a, sum(c.value * {weight('u - c.col')} * {weight('v - c.row')}) as s, sum({weight('u - c.col')} * {weight('v - c.row')}) as w,
+    return f"""select time_index, col, row, band, {sql_micro("s / w / case when band = 3 then 1e6 else 1e0 end", "value")} from (
+        select {_OUT}, sum(c.value * {weight('u - c.col')} * {weight('v - c.row')}) as s, sum({weight('u - c.col')} * {weight('v - c.row')}) as w,
                sum(abs({weight('u - c.col')} * {weight('v - c.row')})) as size
         from {target} t, unnest(generate_series({span[0]}, {span[1]})) ga(a), unnest(generate_series({span[0]}, {span[1]})) gb(b),
              {{{{cells}}}} c
         where c.col = cast(floor(u) as integer) + a and c.row = cast(floor(v) as integer) + b
           and {weight('u - c.col')} <> 0 and {weight('v - c.row')} <> 0
-        group by 1, 2, 3, 4)"""
+        group by 1, 2, 3, 4) where abs(w) > size * 1e-9"""
 
 
 def _linear(d):
@@ -78,6 +79,12 @@ def resample_bicubic(fx):
     return out.select("time_index", "col", "row", "band", _scaled())
 
 
+@check("resample_tiles_bicubic", _gathered(_cubic, (-1, 2)))
+def resample_tiles_bicubic(fx):
+    out = resample.resample_tiles(fx.tiles, GRID, _DST, _COLS, _rows(fx), "cubic")
+    return out.select("time_index", "col", "row", "band", _scaled())
+
+
 # Web Mercator cells of 4 km from the layer's top left corner
 _R = 6378137.0
 _MX, _MY, _MD = 7569000.0, 4300000.0, 4000.0
@@ -143,21 +150,29 @@ _TILE_PX = """(select zoom, tile_x, tile_y, i, j, (px - 68e0) / 0.03125e0 - 0.5e
 
 @check(
     "ingest_pyramid_cubic",
-    f"""select zoom, tile_x, tile_y, time_index, col, row, {sql_micro("case when abs(w) > size * 0.1e0 then s / w else a / size end / 1e3", "value")} from (
-        select cast(zoom as integer) as zoom, cast(tile_x as integer) as tile_x, cast(tile_y as integer) as tile_y, c.time_index,
+    f"""select zoom, tile_x, tile_y, time_index, band, col, row, {sql_micro("s / w / case when band = 3 then 1e6 else 1e0 end / 1e3", "value")} from (
+        select cast(zoom as integer) as zoom, cast(tile_x as integer) as tile_x, cast(tile_y as integer) as tile_y, c.time_index, c.band,
                cast(i as integer) as col, cast(j as integer) as row,
-               sum(c.value * abs({_cubic('u - c.col')} * {_cubic('v - c.row')})) as a,
                sum(c.value * {_cubic('u - c.col')} * {_cubic('v - c.row')}) as s, sum({_cubic('u - c.col')} * {_cubic('v - c.row')}) as w,
                sum(abs({_cubic('u - c.col')} * {_cubic('v - c.row')})) as size
         from {_TILE_PX} t, unnest(generate_series(-1, 2)) ga(a), unnest(generate_series(-1, 2)) gb(b),
-             (select * from {{{{cells}}}} where band = 1) c
+             (select p.time_index, p.col, p.row, p.band, coalesce(q.value, 0e0) as value from
+                (select time_index, cast(x as integer) as col, cast(y as integer) as row, cast(k as integer) as band
+                 from (select distinct time_index from {{{{wide}}}}), unnest(generate_series(0, 63)) gx(x),
+                      unnest(generate_series(0, (select max(row) from {{{{wide}}}}))) gy(y), unnest(generate_series(1, 5)) gk(k)) p
+                left join {{{{cells}}}} q using (time_index, col, row, band)) c
         where c.col = cast(floor(u) as integer) + a and c.row = cast(floor(v) as integer) + b
           and {_cubic('u - c.col')} <> 0 and {_cubic('v - c.row')} <> 0
-        group by 1, 2, 3, 4, 5, 6)""",
+        group by 1, 2, 3, 4, 5, 6, 7)""",
 )
 def ingest_pyramid_cubic(fx):
-    out = resample.ingest_pyramid(fx.cells.filter("band = 1"), GRID, [9, 10], size=16)
-    return out.select("zoom", "tile_x", "tile_y", "time_index", "col", "row", micro(F.col("value") / 1e3, "value"))
+    # without gaps, so that no weights cancel: their rounding would show, and places here are no short binary fractions
+    last = fx.wide.agg(F.max("row")).scalar()
+    grid = fx.wide.select("layer", "time_index").distinct().withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
+    grid = grid.withColumn("row", F.explode(F.sequence(F.lit(0), last))).withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    whole = fill_empty(grid, fx.cells, ["layer", "time_index", "col", "row", "band"])
+    out = resample.ingest_pyramid(whole, GRID, [9, 10], size=16).withColumn("value", F.col("value") / 1e3)
+    return out.select("zoom", "tile_x", "tile_y", "time_index", "band", "col", "row", _scaled())
 
 
 _REQUESTS = """(select event_id as request_id, cast(8 + event_id % 5 as integer) as z,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import normalized_difference, normalized_percent
+from .halo import BLOCK, blocks_of_cells, blocks_of_tiles, exchanged, weighted, window
 
 POSITION = ["time_index", "col", "row"]
 
@@ -97,16 +98,17 @@ def ndi_percent(a: BandRef, b: BandRef, nodata: int = -99) -> DataFrame:
 def local_avg(inputs: list[BandRef], name: str = "avg", skip_missing: bool = False) -> DataFrame:
     """Cell-wise mean of n inputs.
 
-    By default over positions present in all inputs; with skip_missing the mean of what is there.
+    By default over positions present in all inputs; with skip_missing the mean of what is there. An input with two
+    values for a position is an error, whatever the other inputs have there.
     """
     n = len(inputs)
-    grouped = _tagged(inputs).groupBy(*POSITION).agg(
+    # a slot and position once, so that the rows of a position are its inputs
+    slots = _tagged(inputs).groupBy(*POSITION, "slot").agg(_only(F.lit(True), F.max("value")).alias("value"))
+    grouped = slots.groupBy(*POSITION).agg(
         F.sum("value").alias("_s"), F.count("value").alias("_k"), F.count(F.lit(1)).alias("_n")
     )
     if skip_missing:
         return _as_layer(grouped, F.when(F.col("_k") > 0, F.col("_s") / F.col("_k")), name)
-    twice = F.raise_error(F.lit("an input has two values for one position and band: select one layer, or mosaic first"))
-    grouped = grouped.withColumn("_n", F.when(F.col("_n") > n, twice.cast("bigint")).otherwise(F.col("_n")))
     whole = grouped.filter(F.col("_n") == n)
     return _as_layer(whole, F.when(F.col("_k") == n, F.col("_s") / n), name)
 
@@ -138,42 +140,33 @@ def fill_empty(wanted: DataFrame, cells: DataFrame, keys: list[str], value: floa
 
 
 def raster_calc(cells: DataFrame, expression: str, bands: list[int], name: str = "calc") -> DataFrame:
-    """A Spark SQL expression over columns b<n>, as band 1 of a new layer."""
-    from .layout import cells_to_wide
-
-    return _as_layer(cells_to_wide(cells, bands, POSITION), F.expr(expression), name)
+    """A Spark SQL expression over columns b<n>, as band 1 of a new layer; two values for a position and band are an error."""
+    wide = align([(cells, b) for b in bands], inner=False)
+    return _as_layer(wide.withColumnsRenamed({f"v{i}": f"b{b}" for i, b in enumerate(bands)}), F.expr(expression), name)
 
 
-def focal(cells: DataFrame, kernel: list[tuple[int, int, float]], name: str = "focal", normalise: bool = False) -> DataFrame:
-    """Moving-window weighted sum: each cell is sent to the neighbours it contributes to.
+def focal(
+    cells: DataFrame, kernel: list[tuple[int, int, float]], name: str | None = None, normalise: bool = False, block: int = BLOCK
+) -> DataFrame:
+    """Moving-window weighted sum, layer by layer; kernel lists (dx, dy, weight) of a cell's neighbours.
 
-    One explode and one partially aggregated grouping. Only positions that hold a cell get a result; missing
-    neighbours drop out, and with normalise the rest is divided by the weights present.
+    Cells are brought together in blocks, once, and summed on arrays; only partial sums along the blocks' borders are exchanged
+    (see halo). Only positions that hold a cell get a result; missing neighbours drop out, and with normalise the rest is divided by
+    the weights present (null where they cancel). The result keeps its layer's name, or all get `name`. A cell given twice is an error.
     """
-    offsets = F.array(
-        *[
-            F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w"))
-            for dx, dy, w in kernel
-            if w != 0.0 or (dx == 0 and dy == 0)
-        ]
-    )
-    keys = ["time_index", "col", "row", "band"]
-    spread = (
-        cells.filter(F.col("value").isNotNull())
-        .select("time_index", "col", "row", "band", "value", F.explode(offsets).alias("o"))
-        .select(
-            "time_index",
-            (F.col("col") - F.col("o.dx")).alias("col"),
-            (F.col("row") - F.col("o.dy")).alias("row"),
-            "band",
-            (F.col("value") * F.col("o.w")).alias("wv"),
-            F.col("o.w").alias("w"),
-            ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("own"),
-        )
-    )
-    summed = spread.groupBy(*keys).agg(F.sum("wv").alias("s"), F.sum("w").alias("w"), F.max("own").alias("own"))
-    value = F.when(F.col("w") != 0, F.col("s") / F.col("w")) if normalise else F.col("s")
-    return summed.filter("own").select(F.lit(name).alias("layer"), *keys, value.alias("value"))
+    return _focal(blocks_of_cells(cells, block), kernel, name, normalise)
+
+
+def focal_tiles(tiles: DataFrame, kernel: list[tuple[int, int, float]], name: str | None = None, normalise: bool = False) -> DataFrame:
+    """focal of stored tiles, as cells: the tiles' arrays stay where they are and only border sums are shuffled."""
+    return _focal(blocks_of_tiles(tiles), kernel, name, normalise)
+
+
+def _focal(blocks: DataFrame, kernel: list[tuple[int, int, float]], name: str | None, normalise: bool) -> DataFrame:
+    found = exchanged(blocks, window(kernel)).filter("own")
+    value = weighted(F.col("s"), F.col("w"), F.col("size")) if normalise else F.col("s")
+    layer = F.col("layer") if name is None else F.lit(name)
+    return found.select(layer.alias("layer"), "time_index", F.col("i").alias("col"), F.col("j").alias("row"), "band", value.alias("value"))
 
 
 def band_min_max(cells: DataFrame, by: list[str] | None = None) -> DataFrame:

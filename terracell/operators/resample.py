@@ -1,9 +1,9 @@
 """Resampling, pyramids and reprojection.
 
-Values sit at cell centres. Each source cell is sent to the target cells whose centre falls in
-its kernel support (an explode over a computed index range), and contributions are summed
-per target cell. That is one partially aggregated shuffle and no join; nearest needs no
-shuffle at all. Missing neighbours drop out and the weights are renormalised.
+Values sit at cell centres. Interpolation to another grid runs on blocks of cells and exchanges their borders (see halo); nearest sends
+each source cell to the target cells it is nearest to, without a shuffle. The slippy pyramid sends each source cell to the target cells
+whose centre falls in its kernel support, and contributions are summed per target cell: one partially aggregated
+shuffle and no join. Missing neighbours drop out and the weights are renormalised.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._col import intdiv, pow2
 from ..functions.grid import (
+    EARTH_RADIUS,
     MAX_ZOOM,
     MIN_ZOOM,
     ancestor,
@@ -29,14 +31,10 @@ from ..functions.grid import (
 )
 from ..functions.kernels import SUPPORT, kernel_weight
 from ..plans.joins import small_join
+from .halo import blocks_of_cells, blocks_of_tiles, exchanged, resampling, weighted
 from .layout import Grid
 
 
-#: where the weights left after dropping missing neighbours cancel to less than this share of their size, dividing by
-#: them would only blow up noise; such a cell is the mean of its neighbours by the weights' sizes
-MIN_SHARE = 0.1
-
-
 @dataclass(frozen=True)
 class Axis:
     """One target axis: number of cells, index -> source coordinate, coordinate -> fractional index."""
@@ -89,27 +87,49 @@ def _near(df: DataFrame, position: str, index: str, method: str, weight: str) ->
 
 
 def _gather(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """A value wherever a neighbour has one."""
-    size = F.abs("w")
+    """The weighted mean of the neighbours that are there."""
     summed = parts.groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("value")).alias("_s"),
-        F.sum("w").alias("_w"),
-        F.sum(size * F.col("value")).alias("_a"),
-        F.sum(size).alias("_size"),
+        F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_w"), F.sum(F.abs("w")).alias("_size")
     )
-    enough = F.abs("_w") > F.col("_size") * MIN_SHARE
-    value = F.when(enough, F.col("_s") / F.col("_w")).otherwise(F.col("_a") / F.col("_size"))
-    return summed.withColumn("value", value).drop("_s", "_w", "_a", "_size")
+    value = weighted(F.col("_s"), F.col("_w"), F.col("_size"))
+    return summed.withColumn("value", value).drop("_s", "_w", "_size")
 
 
 def resample(
     cells: DataFrame, src: Grid, dst: Grid, cols: int, rows: int, method: str = "bilinear", mercator: bool = False
 ) -> DataFrame:
-    """Cells on another grid, layer by layer; method is nearest, bilinear or cubic."""
-    x, y = _axes(dst, cols, rows, mercator)
-    parts = _scatter(cells, src, x, y, method)
-    keys = ["layer", "time_index", "i", "j", "band"]
-    out = parts.select(*keys, "value") if method == "nearest" else _gather(parts, keys)
+    """Cells on another grid, layer by layer; method is nearest, bilinear or cubic.
+
+    Nearest sends each cell to its targets. The others bring the cells together in blocks, once, and interpolate on
+    arrays; only partial sums along the blocks' borders are exchanged (see halo). Missing neighbours drop out and the weights
+    are renormalised; where the weights that are left cancel there is no value. Two values for a cell are an error.
+    """
+    if method == "nearest":
+        x, y = _axes(dst, cols, rows, mercator)
+        out = _scatter(cells, src, x, y, method).select("layer", "time_index", "i", "j", "band", "value")
+        return _as_cells(out)
+    return _interpolated(blocks_of_cells(cells), src, dst, cols, rows, method, mercator)
+
+
+def resample_tiles(
+    tiles: DataFrame, src: Grid, dst: Grid, cols: int, rows: int, method: str = "bilinear", mercator: bool = False
+) -> DataFrame:
+    """resample for stored tiles, bilinear or cubic: the tiles' arrays stay where they are and only border sums are shuffled."""
+    return _interpolated(blocks_of_tiles(tiles), src, dst, cols, rows, method, mercator)
+
+
+def _interpolated(blocks: DataFrame, src: Grid, dst: Grid, cols: int, rows: int, method: str, mercator: bool) -> DataFrame:
+    if method not in SUPPORT:
+        raise ValueError(f"unknown resampling method {method}")
+    x, y = dst.x0 + (np.arange(cols) + 0.5) * dst.dx, dst.y0 - (np.arange(rows) + 0.5) * dst.dy
+    if mercator:  # places of the target's rows and columns in degrees
+        x, y = np.degrees(x / EARTH_RADIUS), np.degrees(np.arctan(np.sinh(y / EARTH_RADIUS)))
+    kernel = resampling((x - src.x0) / src.dx - 0.5, (src.y0 - y) / src.dy - 0.5, method)
+    found = exchanged(blocks, kernel)
+    return _as_cells(found.withColumn("value", weighted(F.col("s"), F.col("w"), F.col("size"))))
+
+
+def _as_cells(out: DataFrame) -> DataFrame:
     return out.filter(F.col("value").isNotNull()).select(
         "layer", "time_index", F.col("i").alias("col"), F.col("j").alias("row"), "band", "value"
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geom import boxes_overlap, edges_of, footprint_meets_box
+from ..functions.geom import boxes_overlap, footprint_meets_box, polygon_edges
 from ..functions.grid import (
     MAX_ZOOM,
     MIN_ZOOM,
@@ -50,13 +50,13 @@ def tiles_in_bbox(boxes: DataFrame, levels: list[int] | Column) -> DataFrame:
 
 
 def scene_tile_cover(scenes: DataFrame, levels: list[int] | None = None, grid_mask: DataFrame | None = None) -> DataFrame:
-    """Tiles to store for each scene: box test first, then the exact footprint where a ring is given.
+    """Tiles to store for each scene: box test first, then the exact footprint where a ring, or rings with holes and parts, are given.
 
     grid_mask (zoom, tile_x, tile_y) limits the cover to known grid cells.
     """
-    exact = "ring" in scenes.columns
+    exact = bool({"ring", "rings"} & set(scenes.columns))
     if exact:  # edges are laid out once per scene, not once per candidate tile
-        scenes = scenes.withColumn("_edges", edges_of("ring")).drop("ring")
+        scenes = scenes.withColumn("_edges", polygon_edges(scenes)).drop("ring", "rings")
     cover = tiles_in_bbox(fan_out(scenes, "ingest_id"), levels or STORAGE_LEVELS)
     if exact:
         tile = tile_bbox(F.col("zoom"), F.col("tile_x"), F.col("tile_y"))
@@ -99,7 +99,7 @@ def aoi_scenes(aois: DataFrame, scenes: DataFrame, start=None, end=None, dataset
         wanted = wanted.filter(F.col("dataset_id") == dataset_id)
     areas = aois.select("aoi_id", *[F.col(k).alias(f"b_{k}") for k in BOX])
     keep = ["ingest_id", "dataset_id", "time_index", *BOX]
-    edges = [edges_of("ring").alias("_edges")] if "ring" in scenes.columns else []
+    edges = [polygon_edges(scenes).alias("_edges")] if {"ring", "rings"} & set(scenes.columns) else []
     pairs = box_join(wanted.select(*keep, *edges), areas, ["ingest_id"])
     return scene_aoi_filter(pairs).select("aoi_id", "ingest_id", "dataset_id", "time_index")
 

@@ -34,9 +34,9 @@ def fpca_gram(cells: DataFrame, step: str = "time_index", steps: list[int] | Non
 
     Pixels are brought together once (at most N values each); every task reduces its
     pixels to one N x N matrix, so what is shuffled after that does not grow with T. A missing
-    value counts as 0, several values of a pixel and step as their mean. With `steps` given, other steps are left out.
+    value counts as 0, several values of a pixel and step as their mean. With `steps` given, in any order, other steps are left out.
     """
-    steps = steps or layer_steps(cells, step)
+    steps = sorted(set(steps)) if steps else layer_steps(cells, step)
     pixel = pixel or ["col", "row"]
     n = len(steps)
     vectors = (
@@ -187,7 +187,7 @@ def fpca_per_pixel(cells: DataFrame, steps: list[int] | None = None) -> DataFram
 
     A pixel's matrix is at most years x steps. Pixels are solved in stacked numpy batches.
     """
-    steps = steps or layer_steps(cells, "band")
+    steps = sorted(set(steps)) if steps else layer_steps(cells, "band")
     n = len(steps)
     matrices = (
         cells.filter(F.col("value").isNotNull() & F.col("band").isin(steps))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import scale_offset
 from ..functions.colour import color_ramp, to_byte
-from ..functions.geom import boxes_overlap, point_in_ring
+from ..functions.geom import boxes_overlap, point_in_edges, polygon_edges
 from ..functions.grid import MAX_ZOOM, MIN_ZOOM, clamp_zoom, lat_to_tile_y, lon_to_tile_x, tile_bbox
 from ..plans.joins import small_join
 from .layout import cells_to_wide
+from .tiles import one_layer
 
 DEFAULT_BANDS = [2, 3, 4]
 
@@ -64,8 +65,8 @@ def tile_render_query(
     """RGBA pixels of a batch of map-tile requests, clipped to each request's AOI.
 
     requests: request_id, z, x, y, time_index, aoi_id, and `layer` where each names the one it wants; else `layer` names
-    one for all. Without either, `tiles` must hold one layer. aois: aoi_id, xmin..ymax, ring. tiles: stored
-    slippy tiles. A request outside its AOI's envelope yields nothing. Output pixels are
+    one for all. Without either, `tiles` must hold one layer, or it is an error. aois: aoi_id, xmin..ymax, and ring, or rings where
+    polygons have holes or several parts. tiles: stored slippy tiles. A request outside its AOI's envelope yields nothing. Output pixels are
     (request_id, col, row); null or masked pixels are transparent.
 
     Each request meets the stored tiles under it in one equi-join on the tile key (the stored arrays
@@ -79,7 +80,7 @@ def tile_render_query(
         requests.withColumn("_b", box)
         .select("*", F.col("_b.xmin").alias("_w"), F.col("_b.ymin").alias("_s"), F.col("_b.xmax").alias("_e"), F.col("_b.ymax").alias("_n"))
         .drop("_b")
-        .join(aois.select("aoi_id", "xmin", "ymin", "xmax", "ymax", "ring"), "aoi_id")
+        .join(aois.select("aoi_id", "xmin", "ymin", "xmax", "ymax", polygon_edges(aois).alias("_edges")), "aoi_id")
         .filter(
             boxes_overlap(
                 {"xmin": F.col("_w"), "ymin": F.col("_s"), "xmax": F.col("_e"), "ymax": F.col("_n")},
@@ -102,6 +103,8 @@ def tile_render_query(
     if layer is not None:
         tiles = tiles.filter(F.col("layer") == layer)
     asked_for = ["layer"] if "layer" in requests.columns else []
+    if layer is None and not asked_for:
+        tiles = one_layer(tiles)
     stored = tiles.select(
         *asked_for,
         "zoom",
@@ -142,7 +145,7 @@ def tile_render_query(
     inside = (
         F.col("_x").between(F.col("xmin"), F.col("xmax"))
         & F.col("_y").between(F.col("ymin"), F.col("ymax"))
-        & point_in_ring("_x", "_y", "ring")
+        & point_in_edges("_x", "_y", "_edges")
     )
 
     def byte(k: str) -> Column:

@@ -18,10 +18,21 @@ TilePart = tuple[DataFrame, int]
 TILE_POSITION = ["zoom", "tile_x", "tile_y", "time_index", "cols", "rows"]
 
 
+def one_layer(tiles: DataFrame) -> DataFrame:
+    """tiles, with an error at run time where they hold more than one layer.
+
+    The names are looked at by a scalar subquery of their own, of a stored layer its partition column only, so tiles are not shuffled.
+    """
+    several = tiles.select((F.min("layer") != F.max("layer")).alias("several")).scalar()
+    error = F.raise_error(F.lit("tiles hold several layers: select one"))
+    return tiles.withColumn("bands", F.when(several, error.cast(tiles.schema["bands"].dataType)).otherwise(F.col("bands")))
+
+
 def _arrays(inputs: list[TilePart]) -> DataFrame:
     """One row per tile present in all inputs, with an array column a<i> per input.
 
-    Inputs of one layer are read once; layers meet in inner joins on the tile key.
+    Inputs of one layer are read once; layers meet in inner joins on the tile key. A frame that holds several layers is an
+    error, as it is for cells: its tiles of one key would come out as several under one name.
     """
     layers: list[tuple[DataFrame, list[int]]] = []
     for i, (layer, _band) in enumerate(inputs):
@@ -32,7 +43,7 @@ def _arrays(inputs: list[TilePart]) -> DataFrame:
         else:
             layers.append((layer, [i]))
     parts = [
-        layer.select(*TILE_POSITION, *[F.get("bands", F.lit(inputs[i][1] - 1)).alias(f"a{i}") for i in slots])
+        one_layer(layer).select(*TILE_POSITION, *[F.get("bands", F.lit(inputs[i][1] - 1)).alias(f"a{i}") for i in slots])
         for layer, slots in layers
     ]
     return reduce(lambda a, b: a.join(b, TILE_POSITION), parts)

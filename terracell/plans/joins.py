@@ -49,14 +49,17 @@ def rebalance(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def measured(df: DataFrame, keys: list[str]) -> dict:
-    """Of a computed table, in one pass: rows, bytes (as text), and the least and largest value of each key."""
+    """Of a computed table, in one pass: rows, and the least and largest value of each key."""
     ends = [f(k).alias(f"{name}_{k}") for k in keys for name, f in (("low", F.min), ("high", F.max))]
-    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")
-    return df.agg(F.count(F.lit(1)).alias("rows"), size, *ends).first().asDict()
+    return df.agg(F.count(F.lit(1)).alias("rows"), *ends).first().asDict() | {"table": df}
 
 
 def small_enough(size: dict, max_rows: int) -> bool:
-    return size["rows"] <= max_rows and size["bytes"] <= BROADCAST_BYTES
+    """Few rows, and only then few bytes (as text), so that a large table is counted and not written out as text."""
+    if size["rows"] > max_rows:
+        return False
+    text = F.octet_length(F.to_json(F.struct(*size["table"].columns)))
+    return (size["table"].agg(F.sum(text)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def within(df: DataFrame, keys: list[str], size: dict) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 #: Runtime settings: times are UTC, plans adapt to measured sizes, and skewed
-#: join partitions are split even where that costs one more shuffle.
+#: join partitions are split even where that costs one more shuffle. Batches for Python are bounded by bytes, not only by rows.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +15,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608b",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -53,4 +54,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)

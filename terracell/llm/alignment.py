@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, keep
-from .tokenization import byte_alphabet
+from .common import by_bytes, keep, released
+from .tokenization import ByteTokenizer, Words
 
 #: bits of a pair's key that hold the id of the second tokenizer
 ID_BITS = 24
@@ -31,33 +31,24 @@ class TwoTokenizers:
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(byte_path)
-        self.first.encode_special_tokens = True
+        self.first = ByteTokenizer(byte_path)
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        alphabet = byte_alphabet()
-        entries = {k: entry for entry, k in self.first.get_vocab(with_added_tokens=False).items()}
-        self.first_bytes = [bytes(alphabet[c] for c in entries.get(k, "")) for k in range(max(entries) + 1)]
         self.second_bytes = [
             bytes([int(piece[3:5], 16)]) if self.second.is_byte(k) else piece.replace("▁", " ").encode()
             for k, piece in ((k, self.second.id_to_piece(k)) for k in range(self.second.get_piece_size()))
         ]
-        self.first_sizes = np.array([len(x) for x in self.first_bytes], np.int64)
+        self.first_sizes = self.first.sizes
         self.second_sizes = np.array([len(x) for x in self.second_bytes], np.int64)
         # an id with what may follow it: the next id of its side, the other side, the next group
-        self.written = [f"{k}{mark}" for k in range(max(len(self.first_bytes), len(self.second_bytes))) for mark in ",|;"]
+        self.written = [f"{k}{mark}" for k in range(max(len(self.first_sizes), len(self.second_bytes))) for mark in ",|;"]
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides, or None where one side's bytes are not those of a space and the text."""
-        whole = b" " + text.encode()
-        first = self.first.encode(" " + text, add_special_tokens=False).ids
-        if b"".join(map(self.first_bytes.__getitem__, first)) != whole:
-            return None
+    def tokens(self, text: str, words: Words) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides, or None where the second side's bytes are not those of a space and the text; the first side's always are."""
         second = self.second.encode(text)
-        if b"".join(map(self.second_bytes.__getitem__, second)) != whole:
+        if b"".join(map(self.second_bytes.__getitem__, second)) != b" " + text.encode():
             return None
-        return np.array(first, np.int64), np.array(second, np.int64)
+        return self.first.encode_plain(" " + text, words).astype(np.int64), np.array(second, np.int64)
 
     def meet(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the tokens of both sides that end together; the last ones always do."""
@@ -94,13 +85,14 @@ def aligned_texts(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = two_tokenizers(byte_path, piece_path)
+        words = both.first.memory()
         schema = pa.schema(
             [("text_key", pa.binary()), ("copies", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("pair_links", pa.list_(pa.int32()))]
         )
         for batch in by_bytes(batches, "text", STEP):
             out: list[tuple] = []
             for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
-                tokens = both.tokens(text)
+                tokens = both.tokens(text, words)
                 if tokens is None:
                     continue
                 first, second = tokens
@@ -112,7 +104,7 @@ def aligned_texts(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame
             columns = zip(*out) if out else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return distinct.mapInArrow(run, ALIGNED)
+    return distinct.mapInArrow(released(run), ALIGNED)
 
 
 def links_of(aligned: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,13 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def piece(text: str, key: str, size: int) -> Column:
+    """At most `size` characters of a text, from a place that the key's hash draws from the whole of it."""
+    places = F.greatest(F.char_length(text) - size, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64(F.col(key), F.lit("piece")), places.cast("long")).cast("int") + 1
+    return F.substring(F.col(text), start, F.lit(size))
+
+
 def ranged(df: DataFrame, *order: str) -> DataFrame:
     """df in range partitions by `order`, written once, each row with the number of its partition.
 
@@ -44,6 +54,26 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return keep(spread.withColumn("part", F.spark_partition_id()).drop("spread"), "ranged")
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run for mapInArrow; at the end of a task, what its worker process holds but does not use goes back to the system.
+
+    Worker processes are used again by other operators, and an executor's memory holds several of them.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds at most `limit` bytes of a column of strings or lists of 32-bit numbers; a longer value is alone."""
     for batch in batches:

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, released
 
 #: fixed value: how the byte-level pre-tokenizer splits a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -218,9 +218,13 @@ class ByteTokenizer:
             if mark:
                 found.append(np.int32(self.added[part]).tobytes())
             else:
-                found += map(words.__getitem__, self.split(part))
+                found.append(self.encode_plain(part, words).tobytes())
         return np.frombuffer(b"".join(found), np.int32)
 
+    def encode_plain(self, text: str, words: Words) -> np.ndarray:
+        """Ids where added tokens in a text are ordinary text."""
+        return np.frombuffer(b"".join(map(words.__getitem__, self.split(text))), np.int32)
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The labels of each list in order; ids outside the vocabulary have none, and bytes that are no UTF-8 become U+FFFD."""
         values = ids.flatten().to_numpy(zero_copy_only=False)
@@ -279,7 +283,7 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c, _ in kept), lists], names=[*(c for c, _ in kept), "ids"])
 
-    found = given.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept) + ", ids array<int>")
+    found = given.mapInArrow(released(run), ", ".join(f"`{c}` {t}" for c, t in kept) + ", ids array<int>")
     return found.select("doc_id", "ids", *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)))
 
 
@@ -296,4 +300,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in by_bytes(batches, "ids", STEP):
             yield pa.RecordBatch.from_arrays([*batch.columns, tokenizer.decode(batch.column("ids"))], names=[*others, "text"])
 
-    return given.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in given.dtypes) + ", text string")
+    return given.mapInArrow(released(run), ", ".join(f"`{c}` {t}" for c, t in given.dtypes) + ", text string")

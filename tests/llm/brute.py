@@ -57,8 +57,8 @@ def duplicate_groups(docs, percent=80):
     return {i: (len(s), root(i)) for i, s in sets}
 
 
-def recurring_lines(docs, depth=4, min_docs=5, min_constant=0.6):
-    """doc_id -> (text, n_dropped)."""
+def recurring_lines(docs, depth=4, min_docs=5, min_constant=0.6, long_words=13, long_docs=2):
+    """doc_id -> (text, n_dropped): lines of recurring templates, and long lines that several documents have."""
 
     def masked(line):
         return tuple("<*>" if re.search("[0-9]", t) else t for t in re.findall("[^\x20\x09-\x0d]+", line))
@@ -91,6 +91,8 @@ def recurring_lines(docs, depth=4, min_docs=5, min_constant=0.6):
     for i, n, line in lines:
         if line in template and len(seen[template[line]]) >= min_docs and i != min(seen[template[line]]):
             gone[i].add(n)
+        if sum(t != "<*>" for t in line) >= long_words and len(line_docs[line]) >= long_docs and i != min(line_docs[line]):
+            gone[i].add(n)
     return {
         i: (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[i]), len(gone[i]))
         for i, text in docs

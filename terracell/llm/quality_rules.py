@@ -102,7 +102,8 @@ def document_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str, w
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         counts.alias("counts"),
         lines.alias("lines"),
-    ).select("doc_id", "host", "word_chars", "n_symbols", "counts.*", "lines.*")
+        F.xxhash64(text).alias("print"),
+    ).select("doc_id", "host", "word_chars", "n_symbols", "counts.*", "lines.*", "print")
 
 
 def quality_rules(
@@ -113,16 +114,18 @@ def quality_rules(
     min_words: int = 20,
     max_repeat_percent: int = 30,
     max_docs: int = 20,
+    max_percent: int = 1,
     max_removed: float = 0.5,
 ) -> DataFrame:
     """Base rules on each document, then the line frequency rule across the documents of each host.
 
-    A host's documents that contain a normalised line are counted, each once a line. Lines in more than max_docs of them
-    are removed from all of the host's documents; a document that loses more than max_removed of its word characters
+    A host's distinct documents (equal texts are one) that contain a normalised line are counted, each once a line. Lines in more than
+    max_docs of them that are also more than max_percent of the host's distinct documents are removed from all of the host's
+    documents, so a corpus that grows evenly keeps its verdicts, and copies of one text alone remove nothing; a document that loses more than max_removed of its word characters
     is depleted and rejected.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than min_words
-    words, or more than max_repeat_percent of them in repeated 8-word windows), removed_chars, kept.
+    words, or more than max_repeat_percent of them in repeated 8-word windows), kept, removed_chars.
 
     Only hashes and lengths of lines are shuffled, partially counted. The frequent lines, a small part of all, are met by
     an equi-join whose form Spark picks by their measured size.
@@ -131,12 +134,13 @@ def quality_rules(
     documents of their own. An empty table gives no rows. Other columns are ignored.
     """
     rules = keep(document_rules(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "quality-rules")
-    distinct_lines = rules.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-    frequent = (
-        distinct_lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs).select(
-            F.col("host").alias("f_host"), F.col("hash").alias("f_hash")
-        )
-    )
+    # one row for each distinct text and line: copies meet in partial sums
+    distinct_lines = rules.select("host", "print", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash")).distinct()
+    hosts = rules.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    counts = distinct_lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
+    above = counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
+    above = above.filter(100 * F.col("docs") > max_percent * F.col("host_docs"))
+    frequent = above.select(F.col("c.host").alias("f_host"), F.col("hash").alias("f_hash"))
     lines = rules.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
     hit = lines.join(frequent, (F.col("hash") == F.col("f_hash")) & F.col("host").eqNullSafe(F.col("f_host")))
     removed = hit.groupBy("row").agg(F.sum("chars").alias("removed_chars"))
@@ -150,6 +154,6 @@ def quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        removed_chars.alias("removed_chars"),
         (~failed & (removed_chars <= max_removed * F.col("word_chars"))).alias("kept"),
+        removed_chars.alias("removed_chars"),
     )

@@ -96,17 +96,21 @@ WITH docs AS (
         FROM (SELECT row, k, count(*) OVER (PARTITION BY row, phrase) AS n FROM windows) WHERE n > 1)
   GROUP BY row
 ), lines AS (
-  SELECT row, host, line, length(translate(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13), '')) AS chars,
+  SELECT row, host, text, line, length(translate(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13), '')) AS chars,
          trim(regexp_replace(regexp_replace(
            translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'),
            '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
-  FROM (SELECT row, host, unnest(string_split(text, chr(10))) AS line FROM docs)
+  FROM (SELECT row, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)
 ), word_lines AS (
   SELECT * FROM lines WHERE chars > 0
 ), dups AS (
   SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM word_lines GROUP BY row
+), hosts AS (
+  SELECT host, count(DISTINCT text) AS host_docs FROM docs GROUP BY host
+), line_docs AS (
+  SELECT host, norm, count(DISTINCT text) AS n FROM word_lines GROUP BY host, norm HAVING count(DISTINCT text) > 20
 ), frequent AS (
-  SELECT host, norm FROM word_lines GROUP BY host, norm HAVING count(DISTINCT row) > 20
+  SELECT l.host, norm FROM line_docs l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host WHERE 100 * n > host_docs
 ), removed AS (
   SELECT row, sum(chars) AS removed_chars
   FROM word_lines l JOIN frequent f ON l.norm = f.norm AND l.host IS NOT DISTINCT FROM f.host GROUP BY row
@@ -119,8 +123,8 @@ WITH docs AS (
   FROM docs JOIN split_words USING (row) LEFT JOIN repeats USING (row) LEFT JOIN dups USING (row) LEFT JOIN removed USING (row)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, removed_chars,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND removed_chars <= 0.5 * word_chars AS kept
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND removed_chars <= 0.5 * word_chars AS kept, removed_chars
 FROM counts
 """
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import piece
+
 #: labelled documents drawn per language, at most about
-SAMPLE_DOCS = 400
-#: characters used of each of them
-SAMPLE_CHARS = 1_000
+SAMPLE_DOCS = 160
+#: characters used of each of them, in one piece from a place drawn by hash
+SAMPLE_CHARS = 250
 #: characters in all languages' automata together, and in one of them
-MODEL_CHARS = 400_000
+MODEL_CHARS = 200_000
 LANGUAGE_CHARS = 40_000
+#: symbols of the common alphabet: gaps, unknown letters, the most frequent letters, and SHARED ones that all others share by code point.
+#: A state is a row of so many 32-bit moves, and there are at most two states a character: 205 MB for all languages at the very most
+ALPHABET, SHARED = 128, 30
 #: characters parsed in one go; no phrase reaches over the edge of such a segment
 SEGMENT = 1024
 #: how sharply the score falls with the bits per character that a language loses to the best
@@ -70,10 +76,12 @@ class LanguageModel:
 
     def __init__(self, samples: dict[str, list[str]], language_chars: int):
         self.languages = sorted(samples)
-        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
+        own = len(letters) if len(letters) <= ALPHABET - 2 else ALPHABET - 2 - SHARED
         #: 0 stands for everything between words, 1 for a letter that no sample has
-        self.symbol = {c: k + 2 for k, c in enumerate(letters)}
-        self.alphabet = len(letters) + 2
+        self.symbol = {c: k + 2 if k < own else own + 2 + ord(c) % SHARED for k, c in enumerate(letters)}
+        self.alphabet = own + 2 + SHARED * (own < len(letters))
         self.codes = np.zeros(0x110000, np.uint16)
         self.letter = np.zeros(0x110000, bool)
         for k in range(0x110000):
@@ -150,7 +158,8 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, language_chars: int = LANGUAGE_CHARS, model_chars: int = MODEL_CHARS) -> LanguageModel:
-    """Automata of a bounded sample: about sample_docs documents a language, chosen by hash, sample_chars of each.
+    """Automata of a bounded sample: about sample_docs documents a language, chosen by hash and taken in its order, of each a
+    piece of at most sample_chars characters from a place drawn by hash.
 
     labelled: doc_id, text, lang; rows with a null in one of them, or without a letter, take no part.
     """
@@ -160,8 +169,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
     if per_language:
         chance = F.create_map(*[F.lit(x) for lang, n in sorted(per_language.items()) for x in (lang, min(1.0, sample_docs / n))])
         draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-        drawn = rows.filter(draw < chance[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
-        for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+        drawn = rows.filter(draw < chance[F.col("lang")]).select("lang", "doc_id", draw.alias("draw"), piece("text", "doc_id", sample_chars).alias("text"))
+        for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"])):
             if any(c.isalpha() for c in r["text"]):
                 samples.setdefault(r["lang"], []).append(r["text"])
     return LanguageModel(samples, min(language_chars, model_chars // max(1, len(samples))))

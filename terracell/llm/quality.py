@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import piece, released
+
 #: labelled documents drawn per class for the dictionaries, at most about; as many again calibrate the score
 SAMPLE_DOCS = 1_000
-#: characters used of each for a dictionary
+#: characters used of each for a dictionary, in one piece from a place drawn by hash
 SAMPLE_CHARS = 2_000
 DICTIONARY_BYTES = 65_536
 #: a text is compressed in pieces of so many bytes, so a long text is judged by all of its parts alike
@@ -119,7 +121,7 @@ def fit(
     """Train dictionaries on a bounded sample of labelled rows and calibrate on another.
 
     docs: doc_id, text. labels: doc_id, quality (0 or 1). About sample_docs labels a class, chosen by a hash of the id,
-    train its dictionary; as many others calibrate, on whole texts, each weighted to its class's share of all labels. The
+    train its dictionary, each with a piece of at most sample_chars characters from a place drawn by hash; as many others calibrate, on whole texts, each weighted to its class's share of all labels. The
     sample is drawn from the narrow labels, and its at most about 4 * sample_docs ids are broadcast, so texts are not
     shuffled. Rows with a null in a column take no part. Without rows of both classes every score is the share of good
     labels, or 0.5.
@@ -136,7 +138,7 @@ def fit(
     drawn = known.withColumns({"trains": draw < chance, "used": draw < 2 * chance}).filter("used").drop("used").distinct()
     drawn = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id")
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(drawn.filter("trains").select("quality", "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()):
+    for r in sorted(drawn.filter("trains").select("quality", "doc_id", piece("text", "doc_id", sample_chars).alias("text")).collect()):
         texts[r["quality"]].append(r["text"])
     samples = without_shared_lines(texts)
     model = QualityModel(dictionary(samples[1], dictionary_bytes), dictionary(samples[0], dictionary_bytes), prior, piece_bytes=piece_bytes, level=level)
@@ -187,4 +189,4 @@ def score_quality(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] =
             found = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[f.name for f in fields])
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(released(run), T.StructType(fields))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
 from .fm_index import FMIndex
 
 #: benchmark text that the driver or a task holds at a time; a larger benchmark is searched in several blocks
@@ -211,6 +212,6 @@ def decontaminate(
         def run(batches, shared=shared, last=last):
             return search_batches(batches, shared.value, cut and last, with_text or not last, shard_words)
 
-        out = out.select(*columns).mapInArrow(run, fields)
+        out = out.select(*columns).mapInArrow(released(run), fields)
     out = out.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
     return out if with_text else out.drop("text")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, keep
+from .common import by_bytes, keep, released
 from .shingles import LOWER
 
 #: ASCII letters and whatever is not ASCII, in UTF-8 bytes with A-Z lower-cased
@@ -46,7 +46,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 columns += [pa.array(list(n.values()), pa.int64()), pa.array([n_docs[t] for t in n], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in COUNTS.split(", ")])
 
-    return rows.mapInArrow(run, COUNTS)
+    return rows.mapInArrow(released(run), COUNTS)
 
 
 def price(count: Column, total: Column, terms: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, released
 
 #: hot leaves that are broadcast to pick lines early; beyond that all lines are joined with the leaves
 BROADCAST_LEAVES = 2_000_000
@@ -61,7 +61,7 @@ def leaves(rows: DataFrame, depth: int) -> DataFrame:
             found = {(k, leaf) for k, _, _, leaf in parsed(batch, depth)}
             yield pa.RecordBatch.from_arrays([pa.array([leaf for _, leaf in sorted(found)], pa.int64())], names=["leaf"])
 
-    return rows.select("text").mapInArrow(run, "leaf long")
+    return rows.select("text").mapInArrow(released(run), "leaf long")
 
 
 def lines_in(rows: DataFrame, hot: np.ndarray | None, depth: int, long_words: int) -> DataFrame:
@@ -101,7 +101,7 @@ def lines_in(rows: DataFrame, hot: np.ndarray | None, depth: int, long_words: in
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return rows.mapInArrow(run, LINES)
+    return rows.mapInArrow(released(run), LINES)
 
 
 def drop_recurring_lines(

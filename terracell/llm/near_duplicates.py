@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, released
 from .components import components
 from .shingles import Chunk, mix, shingle_chunks
 
@@ -138,7 +138,7 @@ def describe(rows: DataFrame, bands: Bands) -> DataFrame:
             columns = [pa.array(chunk.ids, pa.int64()), *map(pa.array, (chunk.sizes, *chunk.prints())), pa.array(tags, lists), pa.array(musts, lists)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print_1", "print_2", "tags", "musts"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, print_1 long, print_2 long, tags array<long>, musts array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, n_shingles long, print_1 long, print_2 long, tags array<long>, musts array<long>")
 
 
 def bucket_keys(rows: DataFrame, bands: Bands, every: bool = False) -> DataFrame:
@@ -158,7 +158,7 @@ def bucket_keys(rows: DataFrame, bands: Bands, every: bool = False) -> DataFrame
                     [pa.array(names[index]), pa.ListArray.from_arrays(ends, pa.array(keys))], names=["doc_id", "keys"]
                 )
 
-    return rows.mapInArrow(run, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+    return rows.mapInArrow(released(run), "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
 
 
 def shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(ends, pa.array(chunk.values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(chunk.ids, pa.int64()), lists], names=["doc_id", "shingles"])
 
-    return by_ids(rows, ids.selectExpr("node as doc_id"), "left_semi").mapInArrow(run, SETS)
+    return by_ids(rows, ids.selectExpr("node as doc_id"), "left_semi").mapInArrow(released(run), SETS)
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -194,7 +194,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_sets = pairs.join(sets.selectExpr("doc_id as a", "shingles as set_a"), "a").join(
         sets.selectExpr("doc_id as b", "shingles as set_b"), "b"
     )
-    return with_sets.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    return with_sets.select("a", "b", "set_a", "set_b").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def buckets_of(keys: DataFrame, described: DataFrame, classes: DataFrame, hot: list[int]) -> DataFrame:
@@ -247,7 +247,7 @@ def bit_sketches(sets: DataFrame) -> DataFrame:
             sizes = batch.column("shingles").value_lengths().cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(out, pa.binary())], names=["node", "n_shingles", "bits"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "node long, n_shingles long, bits binary")
+    return sets.select("doc_id", "shingles").mapInArrow(released(run), "node long, n_shingles long, bits binary")
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:

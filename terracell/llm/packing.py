@@ -3,82 +3,115 @@
 from __future__ import annotations
 
 import functools
+import json
+import os
 import re
-import struct
+import sys
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import by_bytes, keep, released
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, rank long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: words, and pieces of words, that a worker process remembers in each of two generations; more cost time only
-MEMO_WORDS = 200_000
-
-#: punctuation, lower-case letters without marks of their own, punctuation: three pieces to the tokenizer
-PLAIN = re.compile("([.,;:!?*#$%&|]*)([a-zß-öø-ÿ]+)([.,;:!?*#$%&|]*)")
-
-
-class Memory(dict):
-    """Values by key, computed when missing. What was not asked for during a whole generation is forgotten."""
-
-    def __init__(self, compute: Callable):
-        self.compute, self.older = compute, {}
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        if found is None:
-            found = self.compute(key)
-        if len(self) >= MEMO_WORDS:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
-        return found
+#: words, and pieces of words, that a task remembers; beyond that it starts anew, which costs time only
+MEMO_WORDS = 400_000
+#: bytes of text that are tokenised together, and words or pieces that the tokenizer takes at once
+STEP, AT_ONCE = 2 << 20, 20_000
+
+#: a line: punctuation, lower-case letters without marks of their own, punctuation, three pieces to the tokenizer; or anything else
+PLAIN = re.compile("^(?:([.,;:!?*#$%&|]*)([a-zß-öø-ÿ]+)([.,;:!?*#$%&|]*)|(.*))$", re.MULTILINE)
+
+#: fixed values: the normaliser and the split into words for which words and their pieces can be taken one by one
+KNOWN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are
+    The tokenizer that KNOWN describes drops white space and never joins what stands on both sides of it, so a text's ids are
     those of its words in order. The same holds for a run of letters and the punctuation around it, so the many words
-    that differ in that only cost one call.
+    that differ in that only cost one call. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, tokenizer_path: str):
+        # Spark has a task for each core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(tokenizer_path)
+        given = json.loads(self.whole.to_str())
+        self.by_word = all(given[k] == known for k, known in KNOWN.items())
         # for pieces that are in normal form and cannot be split
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.pieces = Memory(self.word), Memory(self.piece)
-
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = PLAIN.fullmatch(text.lower())
-        if plain:
-            return b"".join(map(self.pieces.__getitem__, plain.groups()))
-        return as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
-
-    def piece(self, piece: str) -> bytes:
-        return as_bytes(self.bare.encode(piece, add_special_tokens=False).ids) if piece else b""
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return [as_bytes(e.ids) for e in self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        if len(self.words) + len(self.pieces) > 2 * MEMO_WORDS:
+            self.forget()
+        split = [text.split() for text in texts]
+        self.learn(list(set().union(*split).difference(self.words)))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+    def learn(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        before, letters, after, rest = zip(*PLAIN.findall(b"\n".join(words).decode().lower()))
+        self.encode_into(self.pieces, self.bare, [p for p in set().union(before, letters, after) if p not in self.pieces])
+        ids = self.pieces.__getitem__
+        self.words.update(zip(words, map(b"".join, zip(map(ids, before), map(ids, letters), map(ids, after)))))
+        odd = [w for w, other in zip(words, rest) if other]
+        self.encode_into(self.words, self.whole, [w.decode() for w in odd], odd)
+
+    @staticmethod
+    def encode_into(memory: dict, tokenizer, texts: list[str], keys: list | None = None) -> None:
+        keys = texts if keys is None else keys
+        for k in range(0, len(texts), AT_ONCE):
+            found = tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)
+            memory.update(zip(keys[k : k + AT_ONCE], [as_bytes(e.ids) for e in found]))
 
 
 def as_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 @functools.cache
 def word_ids(tokenizer_path: str) -> WordIds:
-    """One memory for all tasks of a worker process."""
+    """Loaded once a worker process; what it remembers goes with the task."""
     return WordIds(tokenizer_path)
 
 
@@ -107,12 +140,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
         worker = TaskContext.get().partitionId()
         words, ranks, end = word_ids(tokenizer_path), {}, end_id.to_bytes(4, "little")
         schema = pa.schema([(name.split()[0], pa.int64()) for name in PIECES.split(", ")])
-        for batch in batches:
+        words.forget()
+        for batch in by_bytes(batches, "text", STEP):
             rows = []
-            texts = batch.column("text").cast(pa.binary())
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                body = text.as_py()
-                ids = words.of(body or b"") + end
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            for doc_id, body in zip(batch.column("doc_id").to_pylist(), words.of(texts)):
+                ids = body + end
                 start, total = 0, len(ids) // 4
                 for length in cut_lengths(total, capacity, shares):
                     rank = ranks.get(length, 0)
@@ -120,8 +153,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
                     rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, worker, rank))
                     start += length
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
+        words.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), PIECES)
 
 
 def fill_leftovers(rows: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:

@@ -100,7 +100,7 @@ def class_breaks(fx):
 def tile_render_query(fx):
     asked = tile_requests(fx).withColumns({"time_index": F.lit(864000).cast("bigint"), "aoi_id": F.col("request_id")})
     out = render.tile_render_query(
-        asked, slippy_tiles(fx), fx.aois, [1, 4, 5], 5, scale=0.0078125, size=16, levels=(9, 10)
+        asked, slippy_tiles(fx), fx.aois, [1, 4, 5], 5, scale=0.0078125, size=16, levels=(9, 10), layer="lineitem"
     )
     return (
         out.filter("a > 0").groupBy("request_id").agg(F.count(F.lit(1)).alias("pixels"), *[F.sum(c).alias(c) for c in "rgba"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracell.functions.kernels import gaussian_kernel
-from terracell.operators import cover, layout, resample, zonal
+from terracell.operators import cover, layout, levels, zonal
 from terracell.operators.layout import Grid
 
 from .fixture import GRID, TILE, WIDTH
@@ -111,16 +111,9 @@ def kernel_density(fx):
     return zonal.kernel_density(fx.points, fine, 256, rows, gaussian_kernel())
 
 
-def slippy_tiles(fx, levels=(9, 10), size=16):
+def slippy_tiles(fx, zooms=(9, 10), size=16):
     """Stored slippy tiles of the fixture layer, one row per tile and time."""
-    cells = resample.ingest_pyramid(fx.cells, GRID, list(levels), size=size, method="nearest")
-    out = None
-    for zoom in levels:
-        at = cells.filter(F.col("zoom") == zoom)
-        flat = at.withColumns({"col": F.col("tile_x") * size + F.col("col"), "row": F.col("tile_y") * size + F.col("row")})
-        tiles = layout.cells_to_tiles(flat.select("layer", "time_index", "col", "row", "band", "value"), size, 5, zoom)
-        out = tiles if out is None else out.unionByName(tiles)
-    return out
+    return levels.ingest_tiles(fx.cells, GRID, 5, list(zooms), size, "nearest")
 
 
 # the slippy cells themselves: for every tile pixel the nearest source cell

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from terracell.operators import layout, resample
+from terracell.operators import layout, levels, resample
 from terracell.operators.algebra import fill_empty
 from terracell.operators.layout import Grid
 
@@ -114,7 +114,7 @@ def reproject_webmercator(fx):
        from {{cells}}, unnest(generate_series(1, 4)) g(k) group by 1, 2, 3, 4, 5""",
 )
 def pyramid(fx):
-    return resample.pyramid(fx.cells, 4).select("time_index", "level", "col", "row", "band", "value")
+    return levels.pyramid(fx.cells, 4).select("time_index", "level", "col", "row", "band", "value")
 
 
 @check(
@@ -124,7 +124,7 @@ def pyramid(fx):
        from {{cells}}, unnest(generate_series(1, 4)) g(k) group by 1, 2, 3, 4, 5""",
 )
 def pyramid_avg(fx):
-    return resample.pyramid(fx.cells, 4, "avg").select("time_index", "level", "col", "row", "band", "value")
+    return levels.pyramid(fx.cells, 4, "avg").select("time_index", "level", "col", "row", "band", "value")
 
 
 @check(
@@ -133,7 +133,7 @@ def pyramid_avg(fx):
                cast(i as integer) as col, cast(j as integer) as row, value from {SLIPPY}""",
 )
 def ingest_pyramid(fx):
-    out = resample.ingest_pyramid(fx.cells, GRID, [9, 10], size=16, method="nearest")
+    out = levels.ingest_pyramid(fx.cells, GRID, [9, 10], size=16, method="nearest")
     return out.select("zoom", "tile_x", "tile_y", "time_index", "band", "col", "row", "value")
 
 
@@ -171,7 +171,7 @@ def ingest_pyramid_cubic(fx):
     grid = fx.wide.select("layer", "time_index").distinct().withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
     grid = grid.withColumn("row", F.explode(F.sequence(F.lit(0), last))).withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(5))))
     whole = fill_empty(grid, fx.cells, ["layer", "time_index", "col", "row", "band"])
-    out = resample.ingest_pyramid(whole, GRID, [9, 10], size=16).withColumn("value", F.col("value") / 1e3)
+    out = levels.ingest_pyramid(whole, GRID, [9, 10], size=16).withColumn("value", F.col("value") / 1e3)
     return out.select("zoom", "tile_x", "tile_y", "time_index", "band", "col", "row", _scaled())
 
 
@@ -205,7 +205,7 @@ def tile_requests(fx):
         group by 1, 2""",
 )
 def overzoom(fx):
-    stored = resample.ingest_pyramid(fx.cells.filter("band = 1"), GRID, [9, 10], size=16, method="nearest")
+    stored = levels.ingest_pyramid(fx.cells.filter("band = 1"), GRID, [9, 10], size=16, method="nearest")
     out = resample.overzoom(tile_requests(fx), stored, max_zoom=10, size=16)
     return out.groupBy("request_id", "time_index").agg(
         F.count(F.lit(1)).alias("n"),

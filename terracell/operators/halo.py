@@ -60,7 +60,7 @@ def blocks_of_tiles(tiles: DataFrame) -> DataFrame:
     )
 
 
-def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+def block_arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Values (0 where there is none) and presence of block k, both rows x cols."""
     cols, rows = batch.column("cols")[k].as_py(), batch.column("rows")[k].as_py()
     if "data" in batch.schema.names:
@@ -83,7 +83,7 @@ def _parts(blocks: DataFrame, kernel: Kernel, final: bool) -> DataFrame:
         names = [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
             for k in range(len(batch)):
-                values, present = _arrays(batch, k)
+                values, present = block_arrays(batch, k)
                 i, j, s, w, size, own, whole = kernel(values, present, batch.column("x0")[k].as_py(), batch.column("y0")[k].as_py())
                 chosen = (size > 0) & (whole == final)
                 n = int(chosen.sum())
@@ -110,7 +110,7 @@ def weighted(s: Column, w: Column, size: Column) -> Column:
     return F.when(F.abs(w) > size * ROUNDING, s / w)
 
 
-def _weights(distance: np.ndarray, method: str) -> np.ndarray:
+def kernel_weights(distance: np.ndarray, method: str) -> np.ndarray:
     """kernels.kernel_weight for numpy."""
     d = np.abs(distance)
     if method == "bilinear":
@@ -125,7 +125,7 @@ def _axis(u: np.ndarray, first: int, size: int, method: str) -> tuple[np.ndarray
     near = np.flatnonzero((u > first - reach) & (u < first + size - 1 + reach))
     base = np.floor(u[near]).astype(np.int64)
     inside = (base - reach + 1 >= first) & (base + reach <= first + size - 1)
-    return near, _weights(u[near][:, None] - np.arange(first, first + size)[None, :], method), inside
+    return near, kernel_weights(u[near][:, None] - np.arange(first, first + size)[None, :], method), inside
 
 
 def resampling(u: np.ndarray, v: np.ndarray, method: str) -> Kernel:

@@ -1,9 +1,7 @@
-"""Resampling, pyramids and reprojection.
+"""Resampling, reprojection and enlarging.
 
 Values sit at cell centres. Interpolation to another grid runs on blocks of cells and exchanges their borders (see halo); nearest sends
-each source cell to the target cells it is nearest to, without a shuffle. The slippy pyramid sends each source cell to the target cells
-whose centre falls in its kernel support, and contributions are summed per target cell: one partially aggregated
-shuffle and no join. Missing neighbours drop out and the weights are renormalised.
+each source cell to the target cells it is nearest to, without a shuffle. Pyramids are in levels.
 """
 
 from __future__ import annotations
@@ -15,21 +13,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions._col import intdiv, pow2
+from ..functions._col import pow2
 from ..functions.grid import (
     EARTH_RADIUS,
     MAX_ZOOM,
-    MIN_ZOOM,
     ancestor,
-    lat_to_tile_y,
-    lon_to_tile_x,
     mercator_lat,
     mercator_lon,
     mercator_x,
     mercator_y,
-    tile_bbox,
 )
-from ..functions.kernels import SUPPORT, kernel_weight
+from ..functions.kernels import SUPPORT
 from ..plans.joins import small_join
 from .halo import blocks_of_cells, blocks_of_tiles, exchanged, resampling, weighted
 from .layout import Grid
@@ -53,10 +47,6 @@ def _axes(dst: Grid, cols: int, rows: int, mercator: bool) -> tuple[Axis, Axis]:
     return x, y
 
 
-def _reach(method: str) -> float:
-    return 0.5 if method == "nearest" else SUPPORT[method]
-
-
 def _clamped_range(low: Column, high: Column, size: int) -> Column:
     """Indices low..high (one spare on each side) inside 0..size-1; empty when outside."""
     a = F.greatest(F.floor(low).cast("int") - 1, F.lit(0))
@@ -64,35 +54,16 @@ def _clamped_range(low: Column, high: Column, size: int) -> Column:
     return F.when(a <= b, F.sequence(a, b))
 
 
-def _scatter(cells: DataFrame, src: Grid, x: Axis, y: Axis, method: str) -> DataFrame:
-    """(time_index, band, i, j, value, w) contributions of each source cell."""
-    s = _reach(method)
-    left, right = src.x(F.col("col") - s), src.x(F.col("col") + s)
-    top, bottom = src.y(F.col("row") - s), src.y(F.col("row") + s)
+def _scatter(cells: DataFrame, src: Grid, x: Axis, y: Axis) -> DataFrame:
+    """Every source cell at the target cells i, j whose centres it is nearest to."""
+    left, right = src.x(F.col("col") - 0.5), src.x(F.col("col") + 0.5)
+    top, bottom = src.y(F.col("row") - 0.5), src.y(F.col("row") + 0.5)
     at_i = cells.filter(F.col("value").isNotNull()).withColumn(
         "i", F.explode(_clamped_range(x.index(left), x.index(right), x.size))
     )
-    at_i = at_i.withColumn("_u", (x.coord(F.col("i")) - src.x0) / src.dx - 0.5)
-    at_i = _near(at_i, "_u", "col", method, "_wx")
+    at_i = at_i.filter(F.floor((x.coord(F.col("i")) - src.x0) / src.dx) == F.col("col"))
     at_j = at_i.withColumn("j", F.explode(_clamped_range(y.index(top), y.index(bottom), y.size)))
-    at_j = at_j.withColumn("_v", (F.lit(src.y0) - y.coord(F.col("j"))) / src.dy - 0.5)
-    at_j = _near(at_j, "_v", "row", method, "_wy")
-    return at_j.withColumn("w", F.col("_wx") * F.col("_wy"))
-
-
-def _near(df: DataFrame, position: str, index: str, method: str, weight: str) -> DataFrame:
-    if method == "nearest":
-        return df.filter(F.floor(F.col(position) + 0.5) == F.col(index)).withColumn(weight, F.lit(1.0))
-    return df.withColumn(weight, kernel_weight(F.col(position) - F.col(index), method)).filter(F.col(weight) != 0)
-
-
-def _gather(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """The weighted mean of the neighbours that are there."""
-    summed = parts.groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_w"), F.sum(F.abs("w")).alias("_size")
-    )
-    value = weighted(F.col("_s"), F.col("_w"), F.col("_size"))
-    return summed.withColumn("value", value).drop("_s", "_w", "_size")
+    return at_j.filter(F.floor((F.lit(src.y0) - y.coord(F.col("j"))) / src.dy) == F.col("row"))
 
 
 def resample(
@@ -106,7 +77,7 @@ def resample(
     """
     if method == "nearest":
         x, y = _axes(dst, cols, rows, mercator)
-        out = _scatter(cells, src, x, y, method).select("layer", "time_index", "i", "j", "band", "value")
+        out = _scatter(cells, src, x, y).select("layer", "time_index", "i", "j", "band", "value")
         return _as_cells(out)
     return _interpolated(blocks_of_cells(cells), src, dst, cols, rows, method, mercator)
 
@@ -140,61 +111,6 @@ def reproject_webmercator(cells: DataFrame, src: Grid, dst: Grid, cols: int, row
     return resample(cells, src, dst, cols, rows, method, mercator=True)
 
 
-def pyramid(cells: DataFrame, levels: int, how: str = "nearest") -> DataFrame:
-    """Levels 1..n of halved resolution in one job; adds `level`.
-
-    nearest keeps the first non-null cell of each block in row, column order; avg averages.
-    """
-    halved = cells.filter(F.col("value").isNotNull()).select(
-        "layer",
-        "time_index",
-        "band",
-        "value",
-        F.col("col").alias("_c"),
-        F.col("row").alias("_r"),
-        F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"),
-    )
-    keyed = halved.withColumn("col", intdiv("_c", pow2("level")).cast("int")).withColumn(
-        "row", intdiv("_r", pow2("level")).cast("int")
-    )
-    keys = ["layer", "level", "time_index", "col", "row", "band"]
-    if how == "nearest":
-        value = F.min_by("value", F.col("_r").cast("bigint") * (1 << 31) + F.col("_c"))
-    elif how == "avg":
-        value = F.avg("value")
-    else:
-        raise ValueError("how is nearest or avg")
-    return keyed.groupBy(*keys).agg(value.alias("value"))
-
-
-def ingest_pyramid(cells: DataFrame, src: Grid, levels: list[int] | None = None, size: int = 256, method: str = "cubic") -> DataFrame:
-    """Slippy tiles of every level, each resampled from the source scene.
-
-    Within a tile, rows are evenly spaced in latitude. Output: layer, zoom, tile_x, tile_y,
-    time_index, band, col, row (inside the tile), value.
-    """
-    levels = levels or list(range(MIN_ZOOM, MAX_ZOOM + 1))
-    s = _reach(method)
-    z = F.col("zoom")
-    left, right = src.x(F.col("col") - s), src.x(F.col("col") + s)
-    top, bottom = src.y(F.col("row") - s), src.y(F.col("row") + s)
-    tiled = (
-        cells.filter(F.col("value").isNotNull())
-        .withColumn("zoom", F.explode(F.array(*[F.lit(l) for l in levels])))
-        .withColumn("tile_x", F.explode(F.sequence(lon_to_tile_x(left, z), lon_to_tile_x(right, z))))
-        .withColumn("tile_y", F.explode(F.sequence(lat_to_tile_y(top, z), lat_to_tile_y(bottom, z))))
-        .withColumn("_t", tile_bbox(z, F.col("tile_x"), F.col("tile_y")))
-    )
-    w = (F.col("_t.xmax") - F.col("_t.xmin")) / size
-    h = (F.col("_t.ymax") - F.col("_t.ymin")) / size
-    x = Axis(size, lambda i: F.col("_t.xmin") + (i + 0.5) * w, lambda lon: (lon - F.col("_t.xmin")) / w - 0.5)
-    y = Axis(size, lambda j: F.col("_t.ymax") - (j + 0.5) * h, lambda lat: (F.col("_t.ymax") - lat) / h - 0.5)
-    parts = _scatter(tiled, src, x, y, method)
-    keys = ["layer", "zoom", "tile_x", "tile_y", "time_index", "band", "i", "j"]
-    out = parts.select(*keys, "value") if method == "nearest" else _gather(parts, keys)
-    return out.filter(F.col("value").isNotNull()).withColumnsRenamed({"i": "col", "j": "row"})
-
-
 def overzoom(requests: DataFrame, tile_cells: DataFrame, max_zoom: int = MAX_ZOOM, size: int = 256) -> DataFrame:
     """Requested tiles beyond the stored zoom: the matching window of the ancestor, blown up.
 

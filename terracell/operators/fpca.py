@@ -157,22 +157,91 @@ def fpca_reconstruct(components: DataFrame, model: FpcaModel) -> DataFrame:
     )
 
 
-def fpca_image(cells: DataFrame, step_days: int = 10, max_steps: int = MAX_STEPS, max_layers: int = 100) -> DataFrame:
-    """First component over 10-day slots as a 0..255 image: (layer, col, row, component, stretched).
+MOMENTS = "layer string, a bigint, b bigint, g double, t bigint"
+
+
+def layer_moments(cells: DataFrame, step: str = "time_index", max_steps: int = MAX_STEPS) -> DataFrame:
+    """Second moments of every layer over pairs of its steps: (layer, a, b, g) with a <= b and g summed over
+    its pixels, and a row without a and b whose t counts the pixels.
 
-    Every layer has a model of its own; scenes of one slot are averaged. More layers than max_layers are an error: select some.
+    One job for all layers. Every task reduces its pixels to a matrix per layer and batch over the steps found there, which are added up before
+    anything is shuffled, so what is shuffled follows layers and steps, not pixels. A missing value counts as 0, several values
+    of a pixel and step as their mean. More than max_steps steps of a layer are an error.
     """
-    names = [r["layer"] for r in cells.select("layer").distinct().limit(max_layers + 1).collect()]
-    if len(names) > max_layers:
-        raise ValueError(f"more than {max_layers} layers")
+    vectors = (
+        cells.filter(F.col("value").isNotNull())
+        .groupBy("layer", "col", "row")
+        .agg(F.collect_list(F.struct(F.col(step).cast("bigint").alias("s"), "value")).alias("pairs"))
+        .select("layer", F.transform("pairs", lambda p: p["s"]).alias("s"), F.transform("pairs", lambda p: p["value"]).alias("v"))
+    )
+
+    def partial(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            codes, names = pd.factorize(batch["layer"], use_na_sentinel=False)
+            for code, name in enumerate(names):
+                part = batch[codes == code]
+                sizes = part["s"].map(len).to_numpy()
+                who = np.repeat(np.arange(len(part)), sizes)
+                order, where = np.unique(np.concatenate(part["s"].to_list()), return_inverse=True)
+                if len(order) > max_steps:
+                    raise ValueError(f"more than {max_steps} time steps in layer {name}")
+                m, times = np.zeros((len(part), len(order))), np.zeros((len(part), len(order)))
+                np.add.at(m, (who, where), np.concatenate(part["v"].to_list()))
+                np.add.at(times, (who, where), 1)
+                m /= np.maximum(times, 1)
+                i, j = np.triu_indices(len(order))
+                name = None if pd.isna(name) else name
+                yield pd.DataFrame({"layer": name, "a": order[i], "b": order[j], "g": (m.T @ m)[i, j], "t": 0}).astype({"layer": object})
+                # the layer's pixels are counted apart from its pairs, since a batch need not have every step
+                yield pd.DataFrame({"layer": [name], "a": [None], "b": [None], "g": [0.0], "t": [len(part)]}).astype({"layer": object, "a": "Int64", "b": "Int64"})
+
+    return vectors.mapInPandas(partial, MOMENTS).groupBy("layer", "a", "b").agg(F.sum("g").alias("g"), F.sum("t").alias("t"))
+
+
+def layer_pairs(moments: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """The leading pair of every layer: (layer, step, weight, score), weight null for an all-zero layer.
+
+    A layer's group is at most max_steps * (max_steps + 1) / 2 + 1 rows.
+    """
+
+    def solve(rows):
+        import numpy as np
+        import pandas as pd
+
+        pairs = rows[rows["a"].notna()]
+        pixels = rows.loc[rows["a"].isna(), "t"].sum()
+        steps = np.unique(pairs["a"].to_numpy(dtype="int64"))
+        if len(steps) > max_steps:
+            raise ValueError(f"more than {max_steps} time steps in layer {rows['layer'].iloc[0]}")
+        gram = np.zeros((len(steps), len(steps)))
+        i, j = (np.searchsorted(steps, pairs[c].to_numpy(dtype="int64")) for c in ("a", "b"))
+        gram[i, j] = gram[j, i] = pairs["g"].to_numpy() / pixels
+        v, s = leading_pair(gram)
+        weight = v / s if s else np.full(len(steps), np.nan)
+        return pd.DataFrame({"layer": rows["layer"].iloc[0], "step": steps, "weight": weight, "score": v * s})
+
+    found = moments.groupBy("layer").applyInPandas(solve, "layer string, step bigint, weight double, score double")
+    return found.withColumn("weight", F.when(~F.isnan("weight"), F.col("weight")))
+
+
+def layer_components(cells: DataFrame, step: str = "time_index", max_steps: int = MAX_STEPS) -> DataFrame:
+    """(layer, col, row, component) of every layer by a model of its own; null for an all-zero layer."""
+    pairs = layer_pairs(layer_moments(cells, step, max_steps), max_steps).select("layer", F.col("step").alias("_step"), "weight")
     pixel = ["layer", "col", "row"]
-    parts = []
-    for name in sorted(names, key=str):
-        slotted = timestep_slots(cells.filter(F.col("layer").eqNullSafe(F.lit(name))), step_days)
-        parts.append(fpca_components(slotted, fpca_fit(slotted, "slot", pixel, max_steps=max_steps), "slot", pixel))
-    components = parts[0] if parts else cells.select(*pixel, F.lit(None).cast("double").alias("component")).limit(0)
-    for part in parts[1:]:
-        components = components.unionByName(part)
+    means = cells.repartition(*pixel).groupBy(*pixel, F.col(step).cast("bigint").alias("_step")).agg(F.avg("value").alias("value"))
+    weighted = summary_join(means, pairs, ["layer", "_step"], "left")
+    return weighted.groupBy(*pixel).agg(F.sum(F.col("value") * F.col("weight")).alias("component"))
+
+
+def fpca_image(cells: DataFrame, step_days: int = 10, max_steps: int = MAX_STEPS) -> DataFrame:
+    """First component over 10-day slots as a 0..255 image: (layer, col, row, component, stretched).
+
+    Every layer has a model of its own, and all of them are fitted in the same job, however many there are; scenes of one slot are averaged.
+    """
+    components = layer_components(timestep_slots(cells, step_days), "slot", max_steps)
     ranges = components.groupBy("layer").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     return (
         summary_join(components, ranges, ["layer"])

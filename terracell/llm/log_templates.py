@@ -127,8 +127,8 @@ def drop_recurring_lines(
     (equal but for wildcards); of these, again, the document with the smallest id keeps it. Shorter lines need min_docs.
 
     Leaves, lines, tokens and templates are only counted, with partial sums, so a very common line costs one row a task.
-    Token hashes are made only for lines in leaves that recur. Long lines are narrow rows, counted with partial sums, and meet those
-    that recur by a broadcast up to BROADCAST_LEAVES of them. Texts are shuffled once, to meet their line numbers.
+    Token hashes are made only for lines in leaves that recur. Long lines are narrow rows, counted with partial sums. They meet those that
+    recur, and the lines of leaves meet the templates that recur, by a broadcast up to BROADCAST_LEAVES of them (counted). Texts are shuffled once, to meet their line numbers.
 
     Returns doc_id, text (the lines kept), the columns named in carry, n_lines, n_dropped (lines with a token, and those dropped).
 
@@ -174,11 +174,12 @@ def drop_recurring_lines(
 
     places = lines.select("doc_id", "print", "line_no", "leaf", "line").join(templates, ["leaf", "line"])
     seen = places.select("template", "doc_id", "print").distinct().groupBy("template")
-    recurring = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc")).filter(F.col("docs") >= min_docs)
+    recurring = seen.agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    recurring = keep(recurring.filter(F.col("docs") >= min_docs).select("template", "first_doc"), "recurring-templates")
     copied = long.groupBy("line").agg(F.count_if("first").alias("docs"), F.min("doc_id").alias("first_doc"))
     copied = keep(copied.filter(F.col("docs") >= long_docs).select("line", "first_doc"), "long-lines")
     copies = long.join(F.broadcast(copied) if copied.count() <= BROADCAST_LEAVES else copied, "line")
-    gone = places.join(recurring, "template").select("doc_id", "print", "line_no", "first_doc")
+    gone = places.join(F.broadcast(recurring) if recurring.count() <= BROADCAST_LEAVES else recurring, "template").select("doc_id", "print", "line_no", "first_doc")
     gone = gone.unionByName(copies.select(*gone.columns))
     if keep_first:
         gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
@@ -186,7 +187,9 @@ def drop_recurring_lines(
 
     joined = given.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
     parts = F.split("text", "\n", -1)
-    left = F.filter(parts, lambda line, k: ~F.array_contains("gone", k))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    # the lines are bound to a variable, so that they are cut once and taken by number: linear in their count
+    left = F.get(F.transform(F.array(parts), lambda lines: F.transform(kept, lambda k: F.get(lines, k))), F.lit(0))
     has_token = F.filter(parts, lambda line: F.translate(line, " \t\x0b\x0c\r", "") != "")
     return joined.select(
         "doc_id",

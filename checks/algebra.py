@@ -177,7 +177,22 @@ def process_inputs(fx):
     return _bound_inputs(fx, lambda tiles, name: tiles.withColumn("dataset_id", F.lit(7).cast("bigint")))
 
 
-def _bound_inputs(fx, stored):
+@check(
+    "process_inputs_clipped",
+    """select time_index, col, row, band, value from (
+         select c.*, tx0 + (col % 16 + 0.5e0) * (tx1 - tx0) / 16 as px, ty1 - (row % 16 + 0.5e0) * (ty1 - ty0) / 16 as py, cx, cy, h
+         from (select *, (col // 16 + 705) / 1024e0 * 360e0 - 180e0 as tx0, (col // 16 + 706) / 1024e0 * 360e0 - 180e0 as tx1,
+                      degrees(atan(sinh(pi() * (1 - 2 * (row // 16 + 402) / 1024e0)))) as ty1,
+                      degrees(atan(sinh(pi() * (1 - 2 * (row // 16 + 403) / 1024e0)))) as ty0
+               from {{cells}} where time_index in (0, 864000)) c, (select cx, cy, h from {{aois}} where aoi_id = 100) a)
+       where value is not null and abs(py - cy) <= h and px - cx >= -(h - abs(py - cy)) and px - cx < h - abs(py - cy)""",
+)
+def process_inputs_clipped(fx):
+    """As process_inputs, with the cells outside the area's own polygon left out."""
+    return _bound_inputs(fx, lambda tiles, name: tiles.withColumn("dataset_id", F.lit(7).cast("bigint")), clip=True, size=TILE)
+
+
+def _bound_inputs(fx, stored, **options):
     # stored tiles carry slippy keys: the layer's first tile is taken as (705, 402) at zoom 10
     tiles = fx.tiles.withColumn("zoom", F.lit(10)).withColumn("tile_x", F.col("tile_x") + 705).withColumn("tile_y", F.col("tile_y") + 402)
     refs = tiles.select(
@@ -187,7 +202,7 @@ def _bound_inputs(fx, stored):
     names = {r["dataset_id"]: r["ds_name"] for r in fx.datasets.filter("dataset_id = 7").collect()}
     code = fx.aois.filter("aoi_id = 100").first()["aoi_code"]
     spec = [{"id": "I1", "aoiCode": code, "dsName": names[7], "tIndexes": [0, 864000]}]
-    cells = bind_inputs(spec, fx.aois, fx.datasets, refs, stored(tiles, names[7]), level=10)["I1"]
+    cells = bind_inputs(spec, fx.aois, fx.datasets, refs, stored(tiles, names[7]), level=10, **options)["I1"]
     return cells.select(
         "time_index", (F.col("col") - 705 * TILE).alias("col"), (F.col("row") - 402 * TILE).alias("row"), "band", "value"
     )

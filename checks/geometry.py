@@ -85,6 +85,16 @@ def clip_to_aoi(fx):
     return zonal.clip_to_aoi(fx.cells, fx.aois, GRID).select("time_index", "col", "row", "band", "value")
 
 
+@check(
+    "clip_tiles",
+    f"""select time_index, c.col, c.row, band, value from {{{{cells}}}} c
+        join (select distinct col, row from {_ALL_CELLS} where {_IN}) m on m.col = c.col and m.row = c.row where value is not null""",
+)
+def clip_tiles(fx):
+    clipped = zonal.clip_tiles(fx.tiles, fx.aois, GRID, TILE, TILE)
+    return layout.tiles_to_cells(clipped).select("time_index", "col", "row", "band", "value")
+
+
 @check(
     "crop_window",
     f"select time_index, col, row, band, value from {{{{cells}}}} where {_CX} between 68.5e0 and 69.609375e0 and {_CY} between 34.5e0 and 35.9375e0",

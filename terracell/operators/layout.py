@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions._col import as_col, intdiv
 from ..functions.bands import to_cell_type
-from ..functions.grid import cell_x, cell_y
+from ..functions.grid import MAX_LAT, cell_x, cell_y, lat_to_tile_y, tile_lat, tile_lon
 from ..schema import TILES
 
 
@@ -38,6 +38,53 @@ class Grid:
     def row_of(self, lat) -> Column:
         return F.floor((F.lit(self.y0) - as_col(lat)) / self.dy).cast("int")
 
+    def rows_between(self, high, low) -> tuple[Column, Column]:
+        """First and last row whose centre may lie between two latitudes."""
+        at = [(F.lit(self.y0) - as_col(lat)) / self.dy - 0.5 for lat in (high, low)]
+        return F.floor(at[0]).cast("int"), F.ceil(at[1]).cast("int")
+
+
+@dataclass(frozen=True)
+class SlippyGrid:
+    """Geometry of one level of slippy tiles with `cols` x `rows` cells, numbered through: tile number times tile size plus offset.
+
+    Within a tile the cells are even in longitude and latitude, as everywhere here.
+    """
+
+    zoom: int
+    cols: int
+    rows: int
+
+    @property
+    def x0(self) -> float:
+        return -180.0
+
+    @property
+    def dx(self) -> float:
+        return 360.0 / (2**self.zoom * self.cols)
+
+    def x(self, col="col") -> Column:
+        tile, at = intdiv(col, self.cols), F.pmod(as_col(col), F.lit(self.cols))
+        left, right = tile_lon(tile, F.lit(self.zoom)), tile_lon(tile + 1, F.lit(self.zoom))
+        return left + (at + 0.5) * (right - left) / self.cols
+
+    def y(self, row="row") -> Column:
+        tile, at = intdiv(row, self.rows), F.pmod(as_col(row), F.lit(self.rows))
+        top, bottom = tile_lat(tile, F.lit(self.zoom)), tile_lat(tile + 1, F.lit(self.zoom))
+        return top - (at + 0.5) * (top - bottom) / self.rows
+
+    def rows_between(self, high, low) -> tuple[Column, Column]:
+        """First and last row whose centre may lie between two latitudes."""
+
+        def at(lat):
+            lat = F.greatest(F.lit(-MAX_LAT), F.least(as_col(lat), F.lit(MAX_LAT)))
+            tile = lat_to_tile_y(lat, F.lit(self.zoom))
+            top, bottom = tile_lat(tile, F.lit(self.zoom)), tile_lat(tile + 1, F.lit(self.zoom))
+            return tile * self.rows + (top - lat) / (top - bottom) * self.rows - 0.5
+
+        end = 2**self.zoom * self.rows - 1
+        return F.greatest(F.floor(at(high)) - 1, F.lit(0)).cast("int"), F.least(F.ceil(at(low)) + 1, F.lit(end)).cast("int")
+
 
 def wide_to_cells(wide: DataFrame, bands: list[str], keys: list[str] | None = None) -> DataFrame:
     """One column per band to one row per band; band numbers follow the list, from 1."""

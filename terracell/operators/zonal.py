@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions._col import intdiv
 from ..functions.geom import polygon_edges
 from ..plans.joins import fan_out, small_join
-from .layout import Grid
+from .layout import Grid, SlippyGrid
 
 #: columns per join block: narrow enough that a cell meets few spans, wide enough that spans stay few
 BLOCK = 32
@@ -28,7 +28,7 @@ def _first_col_from(x: Column, grid: Grid) -> Column:
     )
 
 
-def polygon_spans(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", cols: int | None = None, rows: int | None = None) -> DataFrame:
+def polygon_spans(aois: DataFrame, grid: Grid | SlippyGrid, id_col: str = "aoi_id", cols: int | None = None, rows: int | None = None) -> DataFrame:
     """(id, row, c0, c1): columns c0..c1 of a raster row lie inside the polygon.
 
     aois has an id and a closed `ring`, or `rings` where polygons have holes or several parts (even-odd over all
@@ -38,8 +38,7 @@ def polygon_spans(aois: DataFrame, grid: Grid, id_col: str = "aoi_id", cols: int
     edges = aois.select(id_col, F.explode(polygon_edges(aois)).alias("e")).select(
         id_col, "e.x1", "e.y1", "e.x2", "e.y2"
     )
-    top = F.floor((F.lit(grid.y0) - F.greatest("y1", "y2")) / grid.dy - 0.5).cast("int")
-    bottom = F.ceil((F.lit(grid.y0) - F.least("y1", "y2")) / grid.dy - 0.5).cast("int")
+    top, bottom = grid.rows_between(F.greatest("y1", "y2"), F.least("y1", "y2"))
     if rows is not None or cols is not None:
         top = F.greatest(top, F.lit(0))
     if rows is not None:
@@ -275,6 +274,71 @@ def clip_to_aoi(cells: DataFrame, aois: DataFrame, grid: Grid, id_col: str = "ao
     )
 
 
+def tile_masks(aois: DataFrame, grid: Grid | SlippyGrid, cols: int, rows: int, id_col: str = "aoi_id") -> DataFrame:
+    """Polygons combined as one row per tile they reach: `_mask`, the 64-bit words (place, bits) of its rows, (cols + 63) // 64 words a row.
+
+    Spans are cut at tile and word borders and or-ed with partial aggregation, so a tile collects at most its own words
+    whatever the number of polygons.
+    """
+    words = -(-cols // MASK_BITS)
+    pieces = _pieces(polygon_spans(aois, grid, id_col), cols)
+    first, last = intdiv("_lo", MASK_BITS).cast("int"), intdiv("_hi", MASK_BITS).cast("int")
+    start = F.col("_word") * MASK_BITS
+    lo, hi = F.greatest(F.col("_lo") - start, F.lit(0)), F.least(F.col("_hi") - start, F.lit(MASK_BITS - 1))
+    place = (F.pmod("row", F.lit(rows)) * words + F.col("_word")).cast("int")
+    keys = [F.col("_block").alias("tile_x"), intdiv("row", rows).cast("int").alias("tile_y")]
+    return (
+        pieces.withColumn("_word", F.explode(F.sequence(first, last)))
+        .groupBy(*keys, place.alias("place"))
+        .agg(F.bit_or(_ones(lo, hi)).alias("bits"))
+        .groupBy("tile_x", "tile_y")
+        .agg(F.collect_list(F.struct("place", "bits")).alias("_mask"))
+    )
+
+
+def clip_tiles(tiles: DataFrame, aois: DataFrame, grid: Grid | SlippyGrid, cols: int, rows: int, id_col: str = "aoi_id") -> DataFrame:
+    """clip_to_aoi of stored tiles of cols x rows cells: cells outside every polygon become null in the arrays, all tiles stay.
+
+    The tiles of a SlippyGrid must be of its level. Only masks, one row per tile that a polygon reaches, meet the tiles; while they fit a
+    broadcast no tile is shuffled, and no cell ever is. A tile or band of another size is an error; null bands stay null.
+    """
+    masks = tile_masks(aois, grid, cols, rows, id_col)
+    words = -(-cols // MASK_BITS)
+    met = small_join(tiles, masks, ["tile_x", "tile_y"], ["tile_x", "tile_y"], "left").select(*tiles.columns, "_mask")
+
+    def masked(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute
+
+        def lists(lengths, values):
+            """A list array of the given lengths, null where the length is."""
+            ends = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy())]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), values, mask=lengths.is_null())
+
+        for batch in batches:
+            mask, outer = batch.column("_mask"), batch.column("bands")
+            inner = outer.flatten()
+            flat = inner.flatten()
+            per_tile, per_band = outer.value_lengths(), inner.value_lengths()
+            if set(per_band.drop_null().unique().to_pylist()) - {cols * rows}:
+                raise ValueError(f"a band does not have {cols} x {rows} cells")
+            entry = mask.flatten()
+            bits = np.zeros((len(batch), rows * words), "<i8")
+            owner = np.repeat(np.arange(len(batch)), mask.value_lengths().fill_null(0).to_numpy())
+            bits[owner, entry.field("place").to_numpy()] = entry.field("bits").to_numpy()
+            inside = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")
+            inside = inside.reshape(len(batch), rows, words * MASK_BITS)[:, :, :cols].reshape(len(batch), rows * cols).astype(bool)
+            tile_of_band = np.repeat(np.arange(len(batch)), per_tile.fill_null(0).to_numpy())
+            keep = inside[tile_of_band[per_band.is_valid().to_numpy(zero_copy_only=False)]].ravel()
+            kept = pa.compute.if_else(pa.array(keep), flat, pa.scalar(None, flat.type))
+            clipped = lists(per_tile, lists(per_band, kept))
+            names = [c for c in batch.schema.names if c != "_mask"]
+            yield pa.RecordBatch.from_arrays([clipped if c == "bands" else batch.column(c) for c in names], names=names)
+
+    return met.mapInArrow(masked, tiles.schema)
+
+
 def kernel_density(
     points: DataFrame, grid: Grid, cols: int, rows: int, kernel: list[tuple[int, int, float]], weight: str = "weight"
 ) -> DataFrame:

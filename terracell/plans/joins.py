@@ -157,11 +157,21 @@ def skew_join(
     return left.join(right, keys, how).drop("_part")
 
 
-def bucket_range(low: Column, high: Column, size: float) -> Column:
+#: levels of buckets, each twice as wide as the one before: from 0.5 degrees they reach beyond the globe
+BOX_LEVELS = 11
+
+
+def bucket_range(low: Column, high: Column, size) -> Column:
     """Bucket numbers a closed interval touches."""
     return F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
 
 
+def box_level(prefix: str, bucket: float) -> Column:
+    """The level whose buckets are at least as wide as the box, so that it touches few of them."""
+    extent = F.greatest(F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin"), F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin"))
+    return F.when(extent <= bucket, F.lit(0)).otherwise(F.least(F.ceil(F.log2(extent / bucket)), F.lit(BOX_LEVELS)).cast("int"))
+
+
 def box_join(
     big: DataFrame,
     other: DataFrame,
@@ -171,32 +181,46 @@ def box_join(
     rows_per_task: int = ROWS_PER_TASK,
     max_rows: int = SUMMARY_ROWS,
 ) -> DataFrame:
-    """All pairs whose boxes meet (closed), as an equi-join on grid buckets.
+    """All pairs whose boxes meet (closed), as an equi-join on grid buckets of several sizes.
 
     `big` has columns xmin..ymax, `other` has b_xmin..b_ymax; further columns must not clash
-    except those in `on`. A pair sharing several buckets is kept in one only: the bucket
-    holding the lower left corner of the overlap, so no distinct is needed afterwards. `other` is
-    broadcast when its counted bucket rows allow it; if not, hot buckets of `big` are spread.
+    except those in `on`. A box lives on the level of its size, where it touches at most a few buckets, and is looked up
+    on the wider levels, so a global box costs as few rows as a small one. A pair meets on the level of its wider
+    box: `_wide` says whether that is `other`'s own level (also where both are equal) or only `big`'s. A pair
+    sharing several buckets is kept in the one that holds the lower left corner of the overlap, so no distinct is needed
+    afterwards. `other` is broadcast when its counted bucket rows allow it; if not, hot buckets of `big` are spread.
     """
     on = list(on or [])
+    size = F.lit(bucket) * F.call_function("shiftleft", F.lit(1), F.col("_level"))
 
     def spread(df, p):
-        return df.withColumn(
-            "_bx", F.explode(bucket_range(F.col(f"{p}xmin"), F.col(f"{p}xmax"), bucket))
-        ).withColumn("_by", F.explode(bucket_range(F.col(f"{p}ymin"), F.col(f"{p}ymax"), bucket)))
-
-    keys = [*on, "_bx", "_by"]
-    boxes = cut(spread(other, "b_"))
-    if small_enough(measured(boxes, []), max_rows):
-        joined = spread(fan_out(big, *spread_by), "").join(F.broadcast(boxes), keys)
+        """One row per level from the box's own on, and bucket there."""
+        levels = F.sequence(F.col("_own"), F.lit(BOX_LEVELS))
+        keyed = df.withColumn("_own", box_level(p, bucket)).withColumn("_level", F.explode(levels))
+        return keyed.withColumn("_own", F.col("_own") == F.col("_level"))
+
+    def bucketed(df, p):
+        keyed = df.withColumn("_bx", F.explode(bucket_range(F.col(f"{p}xmin"), F.col(f"{p}xmax"), size)))
+        return keyed.withColumn("_by", F.explode(bucket_range(F.col(f"{p}ymin"), F.col(f"{p}ymax"), size)))
+
+    keys = [*on, "_level", "_wide", "_bx", "_by"]
+    # other's own level is met by big's own and wider ones; other's wider levels are met by big's own only
+    boxes = cut(bucketed(spread(other, "b_").withColumnRenamed("_own", "_wide"), "b_"))
+    levels = F.collect_set(F.when(F.col("_wide"), F.col("_level"))).alias("levels")  # at most BOX_LEVELS + 1
+    counted = boxes.agg(F.count(F.lit(1)).alias("rows"), levels).first().asDict() | {"table": boxes}
+    looked_up = spread(fan_out(big, *spread_by), "").filter(F.col("_own") | F.col("_level").isin(counted["levels"]))
+    met = F.when(F.col("_own"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    looked_up = bucketed(looked_up.withColumn("_wide", F.explode(met)).drop("_own"), "")
+    if small_enough(counted, max_rows):
+        joined = looked_up.join(F.broadcast(boxes), keys)
     else:
-        joined = skew_join(spread(big, ""), boxes, keys, spread_by, "inner", rows_per_task, multiplies=True)
-    first_x = F.floor(F.greatest("xmin", "b_xmin") / bucket).cast("int")
-    first_y = F.floor(F.greatest("ymin", "b_ymin") / bucket).cast("int")
+        joined = skew_join(looked_up, boxes, keys, spread_by, "inner", rows_per_task, multiplies=True)
+    first_x = F.floor(F.greatest("xmin", "b_xmin") / size).cast("int")
+    first_y = F.floor(F.greatest("ymin", "b_ymin") / size).cast("int")
     meets = (
         (F.col("xmin") <= F.col("b_xmax"))
         & (F.col("xmax") >= F.col("b_xmin"))
         & (F.col("ymin") <= F.col("b_ymax"))
         & (F.col("ymax") >= F.col("b_ymin"))
     )
-    return joined.filter(meets & (F.col("_bx") == first_x) & (F.col("_by") == first_y)).drop("_bx", "_by")
+    return joined.filter(meets & (F.col("_bx") == first_x) & (F.col("_by") == first_y)).drop("_bx", "_by", "_level", "_wide")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators.algebra import local_avg, ndi
 from ..operators.cover import aoi_tile_refs
-from ..operators.layout import select_bands, tiles_to_cells
+from ..operators.layout import SlippyGrid, select_bands, tiles_to_cells
 from ..operators.series import savgol
 from ..operators.tiles import tile_local_avg, tile_ndi, tile_select_bands
 from ..operators.tilestack import tile_savgol
+from ..operators.zonal import clip_tiles
 from ..functions.grid import MAX_ZOOM
 from .joins import small_join
 
@@ -102,17 +103,29 @@ def run_model(spec: dict, layers: dict[str, DataFrame]) -> DataFrame:
 
 
 def process_inputs(
-    inputs: list[dict], aois: DataFrame, datasets: DataFrame, tile_refs: DataFrame, tiles: DataFrame, level: int = MAX_ZOOM, as_tiles: bool = False
+    inputs: list[dict],
+    aois: DataFrame,
+    datasets: DataFrame,
+    tile_refs: DataFrame,
+    tiles: DataFrame,
+    level: int = MAX_ZOOM,
+    as_tiles: bool = False,
+    clip: bool = False,
+    size: int = 256,
 ) -> dict[str, DataFrame]:
     """Named inputs (id, aoiCode, dsName, tIndexes) to layers of cells, or of tiles.
 
     All listed times are read and stay apart by time_index. Cells keep global coordinates. Tiles are matched by dataset_id
     where they have that column, else by the dataset's name as their layer. The tile keys under each area are
-    computed while the inputs are bound; the layers themselves are lazy.
+    computed while the inputs are bound; the layers themselves are lazy. With clip, cells outside the area's polygon (`ring` or
+    `rings` of aois) are nulled in the arrays of the tiles, which then must have size x size cells.
     """
+    shape = [c for c in ("ring", "rings") if c in aois.columns]
+    if clip and not shape:
+        raise ValueError("clipping needs the areas' ring or rings")
     out = {}
     for spec in inputs:
-        area = aois.filter(F.col("aoi_code") == spec["aoiCode"]).select("aoi_id", "xmin", "ymin", "xmax", "ymax")
+        area = aois.filter(F.col("aoi_code") == spec["aoiCode"]).select("aoi_id", "xmin", "ymin", "xmax", "ymax", *shape)
         named = tile_refs.join(datasets.filter(F.col("ds_name") == spec["dsName"]).select("dataset_id"), "dataset_id")
         refs = aoi_tile_refs(area, named, level, times=spec.get("tIndexes"))
         keys = refs.select(
@@ -130,5 +143,7 @@ def process_inputs(
         join_on = [c for c in keys.columns if c in tiles.columns]
         wanted = keys.select(*join_on).distinct()
         found = small_join(stored, wanted, join_on, join_on, "left_semi")
+        if clip:
+            found = clip_tiles(found, area, SlippyGrid(level, size, size), size, size)
         out[spec["id"]] = found if as_tiles else tiles_to_cells(found)
     return out

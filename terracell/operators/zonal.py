@@ -18,6 +18,8 @@ from .layout import Grid, SlippyGrid
 #: columns per join block: narrow enough that a cell meets few spans, wide enough that spans stay few
 BLOCK = 32
 MASK_BITS = 64
+#: rows of a layer (times, bands, values) that a polygon's span is taken to meet, for the number of tasks only
+MEETS = 32
 
 
 def _first_col_from(x: Column, grid: Grid) -> Column:
@@ -117,9 +119,11 @@ def zonal_histogram(cells: DataFrame, aois: DataFrame, grid: Grid, id_col: str =
     )
     twice = F.raise_error(F.lit("a cell is given twice: mosaic first")).cast("bigint")
     masks = masks.withColumn("_mask", F.when(F.col("_n") > F.bit_count("_mask"), twice).otherwise(F.col("_mask")))
-    joined = small_join(masks, _pieces(polygon_spans(aois, grid, id_col), MASK_BITS), ["row", "_block"], [id_col, "_lo"])
+    pieces = _pieces(polygon_spans(aois, grid, id_col), MASK_BITS)
+    joined = small_join(masks, pieces, ["row", "_block"], [id_col, "_lo"], meets=MEETS)
     shared = F.bit_count(F.col("_mask").bitwiseAND(_ones(F.col("_lo"), F.col("_hi")))).cast("bigint")
-    return joined.groupBy(id_col, "value").agg(F.sum(shared).alias("n")).filter("n > 0")
+    # most masks of a block lie beside a span: those pairs end here and are not added up
+    return joined.select(id_col, "value", shared.alias("_shared")).filter("_shared > 0").groupBy(id_col, "value").agg(F.sum("_shared").alias("n"))
 
 
 def row_sums(cells: DataFrame, by: list[str], width: int = BLOCK) -> DataFrame:

@@ -32,3 +32,24 @@ def test_histogram_pairs_without_cells_are_not_added_up(spark):
     added_up = next(k for k, line in enumerate(lines) if "sum(_shared" in line)
     assert not any("Filter" in line and "n#" in line for line in lines[: added_up + 1])
     assert any("bit_count" in line and "> 0" in line for line in lines[added_up + 1 :])
+
+
+def test_templates_do_not_depend_on_the_size_of_a_host(spark, monkeypatch):
+    rng = random.Random(4)
+    sections = ["news", "blog", "spam", "shop", "de", "fr", "10", "a"]
+    urls = [f"http://h{rng.randrange(3)}.com" for _ in range(5)]
+    for _ in range(1500):
+        depth = rng.randrange(1, 6)
+        urls.append(f"http://h{rng.randrange(3)}.com/" + "/".join(rng.choice(sections) + rng.choice(["", "", "x"]) for _ in range(depth)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rules = [("block", "com", "/spam/"), ("allow", "com", "/news/"), ("block", "h1.com", "/shop/a/")]
+
+    def verdicts():
+        return {r["page_id"]: tuple(r) for r in url_templates.url_verdicts(pages, rules).collect()}
+
+    here = verdicts()
+    assert any("|" in r[5] for r in here.values())
+    for limit in ("MERGED_PATHS", "MERGED_DEPTH"):
+        with monkeypatch.context() as m:
+            m.setattr(url_templates, limit, 1)
+            assert verdicts() == here

@@ -34,6 +34,18 @@ def test_histogram_pairs_without_cells_are_not_added_up(spark):
     assert any("bit_count" in line and "> 0" in line for line in lines[added_up + 1 :])
 
 
+def test_overzoom_of_one_tile_is_many_tasks_work(spark, monkeypatch):
+    stored = spark.createDataFrame([("a", 2, 1, 1, 0, 1, c, r, float(4 * r + c)) for c in range(4) for r in range(4)], "layer string, zoom int, tile_x int, tile_y int, time_index bigint, band int, col int, row int, value double")
+    asked = spark.createDataFrame([(k, 3, 2 + k % 2, 3) for k in range(200)], "request_id bigint, z int, x int, y int")
+    few = sorted(map(tuple, resample.overzoom(asked, stored, max_zoom=2, size=4).collect()))
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 160)
+    monkeypatch.setattr(joins, "BROADCAST_RESULT", 160, raising=False)
+    spread = resample.overzoom(asked, stored, max_zoom=2, size=4)
+    assert sorted(map(tuple, spread.collect())) == few and len(few) == 200 * 16
+    rows = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) > 8 and max(rows) < len(few) // 4
+
+
 def test_templates_do_not_depend_on_the_size_of_a_host(spark, monkeypatch):
     rng = random.Random(4)
     sections = ["news", "blog", "spam", "shop", "de", "fr", "10", "a"]

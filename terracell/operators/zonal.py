@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions._col import intdiv
 from ..functions.geom import polygon_edges
-from ..plans.joins import fan_out, small_join
+from ..plans.joins import fan_out, measured, small_join, within
+from ..plans.storage import cut
 from .layout import Grid, SlippyGrid
 
 #: columns per join block: narrow enough that a cell meets few spans, wide enough that spans stay few
@@ -208,9 +209,16 @@ def tile_row_sums(tiles: DataFrame, by: list[str], width: int) -> DataFrame:
     return given.mapInArrow(running, schema)
 
 
-def mean_of_sums(sums: DataFrame, aois: DataFrame, grid: Grid, by: list[str], width: int = BLOCK, id_col: str = "aoi_id") -> DataFrame:
+def _measured_pieces(aois: DataFrame, grid: Grid, width: int, id_col: str) -> dict:
+    return measured(cut(_pieces(polygon_spans(aois, grid, id_col), width)), ["row", "_block"])
+
+
+def mean_of_sums(
+    sums: DataFrame, aois: DataFrame, grid: Grid, by: list[str], width: int = BLOCK, id_col: str = "aoi_id", pieces: dict | None = None
+) -> DataFrame:
     """zonal_mean from running sums: a span is two lookups in each block it crosses, whatever its length."""
-    joined = small_join(sums, _pieces(polygon_spans(aois, grid, id_col), width), ["row", "_block"], [id_col, "_lo"])
+    pieces = pieces or _measured_pieces(aois, grid, width, id_col)
+    joined = small_join(sums, pieces["table"], ["row", "_block"], [id_col, "_lo"], meets=MEETS, size=pieces)
 
     def between(name: str) -> Column:
         return F.get(name, F.col("_hi") + 1) - F.get(name, F.col("_lo"))
@@ -231,13 +239,18 @@ def zonal_mean(cells: DataFrame, aois: DataFrame, grid: Grid, by: list[str] | No
     sums of so many values are.
     """
     by = by or []
-    return mean_of_sums(row_sums(cells, by), aois, grid, by, BLOCK, id_col)
+    pieces = _measured_pieces(aois, grid, BLOCK, id_col)
+    return mean_of_sums(row_sums(within(cells, ["row"], pieces), by), aois, grid, by, BLOCK, id_col, pieces)
 
 
 def zonal_mean_tiles(tiles: DataFrame, aois: DataFrame, grid: Grid, width: int, by: list[str] | None = None, id_col: str = "aoi_id") -> DataFrame:
     """zonal_mean of stored tiles of `width` columns; the tile arrays are not shuffled while the spans fit a broadcast."""
     by = by or []
-    return mean_of_sums(tile_row_sums(tiles, by, width), aois, grid, by, width, id_col)
+    pieces = _measured_pieces(aois, grid, width, id_col)
+    if pieces["rows"]:
+        tiles = tiles.filter(F.col("tile_x").between(pieces["low__block"], pieces["high__block"]))
+        tiles = tiles.filter(((F.col("tile_y") + 1) * F.col("rows") > pieces["low_row"]) & (F.col("tile_y") * F.col("rows") <= pieces["high_row"]))
+    return mean_of_sums(tile_row_sums(tiles, by, width), aois, grid, by, width, id_col, pieces)
 
 
 def _ones(lo: Column, hi: Column) -> Column:

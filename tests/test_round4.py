@@ -34,6 +34,18 @@ def test_histogram_pairs_without_cells_are_not_added_up(spark):
     assert any("bit_count" in line and "> 0" in line for line in lines[added_up + 1 :])
 
 
+def test_zonal_means_read_the_rows_of_the_polygons(spark):
+    cells = spark.createDataFrame([("a", 0, c, r, 1, 1.0) for c in range(8) for r in range(400)], CELL)
+    aois = square(spark, 1.0, -5.0, 3.0, -4.0)
+    means = zonal.zonal_mean(cells, aois, UNIT)
+    plan = plan_of(means)
+    assert "row" in plan[plan.index("MapInArrow") :] and "<= 4" in plan[plan.index("MapInArrow") :]
+    tiles = zonal.zonal_mean_tiles(cells_to_tiles(cells, 8, 1), aois, UNIT, 8)
+    plan = plan_of(tiles)
+    assert "<= 4" in plan[plan.index("MapInArrow") :]
+    assert [tuple(r) for r in means.collect()] == [tuple(r) for r in tiles.collect()] == [(1, 2, 2.0, 1.0)]
+
+
 def test_overzoom_of_one_tile_is_many_tasks_work(spark, monkeypatch):
     stored = spark.createDataFrame([("a", 2, 1, 1, 0, 1, c, r, float(4 * r + c)) for c in range(4) for r in range(4)], "layer string, zoom int, tile_x int, tile_y int, time_index bigint, band int, col int, row int, value double")
     asked = spark.createDataFrame([(k, 3, 2 + k % 2, 3) for k in range(200)], "request_id bigint, z int, x int, y int")

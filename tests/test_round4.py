@@ -58,6 +58,26 @@ def test_overzoom_of_one_tile_is_many_tasks_work(spark, monkeypatch):
     assert len(rows) > 8 and max(rows) < len(few) // 4
 
 
+def test_a_block_looks_up_its_targets():
+    kernel = halo.resampling(np.arange(50) / 2, np.arange(8_000_000) / 2, "cubic")
+    values, there = np.arange(256.0).reshape(16, 16), np.ones((16, 16), bool)
+    start = time.perf_counter()
+    for k in range(200):
+        i, j, *_ = kernel(values, there, 0, 16 * k)
+    assert time.perf_counter() - start < 1.5
+    assert (j.min(), j.max()) == (2 * (16 * 199 - 2) + 1, 2 * (16 * 199 + 17) - 1)
+
+
+def test_targets_in_any_order():
+    u = np.array([3.25, 0.5, 9.0, -1.5, 2.0, 2.0])
+    values, there = np.arange(16.0).reshape(4, 4), np.ones((4, 4), bool)
+    i, j, s, *_ = halo.resampling(u, u, "cubic")(values, there, 0, 0)
+    near = [k for k, x in enumerate(u) if -2 < x < 5]
+    assert sorted(set(i.tolist())) == near
+    weights = halo.kernel_weights(u[near][:, None] - np.arange(4)[None, :], "cubic")
+    assert np.allclose(s.reshape(len(near), -1), weights @ values @ weights.T)
+
+
 def test_templates_do_not_depend_on_the_size_of_a_host(spark, monkeypatch):
     rng = random.Random(4)
     sections = ["news", "blog", "spam", "shop", "de", "fr", "10", "a"]

@@ -78,6 +78,16 @@ def test_targets_in_any_order():
     assert np.allclose(s.reshape(len(near), -1), weights @ values @ weights.T)
 
 
+def test_cancelled_weights_keep_a_value_where_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(halo, "ROUNDING", 1e-3)
+    cells = spark.createDataFrame([("a", 0, c, 0, 1, v) for c, v in ((0, 2.0), (2, 6.0))], CELL)
+    dst = Grid(-1e-5, 0.0, 1.0, 1.0)  # beside column 1, which has no value: the weights left and right of it cancel
+    for found in (lambda **o: resample.resample(cells, UNIT, dst, 3, 1, "cubic", **o), lambda **o: resample.resample_tiles(cells_to_tiles(cells, 4, 1), UNIT, dst, 3, 1, "cubic", **o)):
+        assert sorted(r["col"] for r in found().collect()) == [0, 2]
+        whole = {r["col"]: r["value"] for r in found(fill_cancelled=True).collect()}
+        assert sorted(whole) == [0, 1, 2] and abs(whole[1] - 4.0) < 1e-2
+
+
 def test_templates_do_not_depend_on_the_size_of_a_host(spark, monkeypatch):
     rng = random.Random(4)
     sections = ["news", "blog", "spam", "shop", "de", "fr", "10", "a"]

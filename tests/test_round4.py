@@ -107,3 +107,24 @@ def test_templates_do_not_depend_on_the_size_of_a_host(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(url_templates, limit, 1)
             assert verdicts() == here
+
+
+def test_boxes_have_no_rows_on_levels_where_nothing_meets_them(spark, monkeypatch):
+    rng = random.Random(6)
+
+    def boxes(n, size, p):
+        at = [(k, rng.uniform(0, 20), rng.uniform(0, 20)) for k in range(n)]
+        names = ["xmin", "ymin", "xmax", "ymax"]
+        return spark.createDataFrame([(k, x, y, x + size, y + size) for k, x, y in at], ["o" if p else "id", *(p + c for c in names)])
+
+    made = []
+    monkeypatch.setattr(joins, "cut", lambda df: made.append(df) or df)
+    small, other = boxes(40, 0.3, ""), boxes(30, 0.25, "b_")
+    pairs = joins.box_join(small, other, ["id"]).select("id", "o")
+    assert made[0].select("_level").distinct().collect() == [(0,)]
+    brute = small.crossJoin(other).filter("xmin <= b_xmax and xmax >= b_xmin and ymin <= b_ymax and ymax >= b_ymin").select("id", "o")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, brute.collect()))
+    mixed = small.unionByName(boxes(9, 7.0, "").withColumn("id", F.col("id") + 100))
+    wide = other.unionByName(boxes(8, 3.0, "b_").withColumn("o", F.col("o") + 100))
+    brute = mixed.crossJoin(wide).filter("xmin <= b_xmax and xmax >= b_xmin and ymin <= b_ymax and ymax >= b_ymin").select("id", "o")
+    assert sorted(map(tuple, joins.box_join(mixed, wide, ["id"]).select("id", "o").collect())) == sorted(map(tuple, brute.collect()))

@@ -74,7 +74,10 @@ class WordIds:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
+    def of(self, texts: bytes | list[bytes]) -> bytes | list[bytes]:
+        """Of each text, or of a single one."""
+        if isinstance(texts, bytes):
+            return self.of([texts])[0]
         if not self.by_word:
             return [as_bytes(e.ids) for e in self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.words) + len(self.pieces) > 2 * MEMO_WORDS:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions._col import intdiv
 from ..functions.geom import boxes_overlap
+from ..functions.grid import z_parts
 from ..operators.series import time_range
 from ..plans.joins import rebalance, small_join
 from ..plans.storage import cut, path_exists
@@ -117,19 +118,22 @@ TILE_REF_KEY = ["dataset_id", "ingest_id", "zoom_level", "spatial_index_x", "spa
 SCENE_KEY = ["dataset_id", "ingest_id"]
 
 
-def write_tile_catalog(tile_refs: DataFrame, path: str) -> None:
+def write_tile_catalog(tile_refs: DataFrame, path: str, once: bool = False) -> None:
     """Append catalog rows, clustered by Z key for point and range lookups.
 
     The key (dataset, ingest, zoom, x, y, time) is the identity; tile_id is a stable hash of it, so a task that runs
     twice gives the same id. A key is stored once, whether it comes twice in a batch, in two batches or in a
-    replayed batch, and two ingests of one dataset and time both stay.
+    replayed batch, and two ingests of one dataset and time both stay. `once` says that no key comes twice in tile_refs.
     """
-    rows = append_new(tile_refs.withColumn("tile_id", F.xxhash64(*TILE_REF_KEY)), path, TILE_REF_KEY)
+    rows = append_new(tile_refs.withColumn("tile_id", F.xxhash64(*TILE_REF_KEY)), path, TILE_REF_KEY, once)
     blocks = {"_bx": intdiv("spatial_index_x", 64), "_by": intdiv("spatial_index_y", 64)}
+    # the two longs of the Z key sort as it does, without a decimal made for each comparison
+    order = dict(zip(("_high", "_low"), z_parts("time_index", "spatial_index_y", "spatial_index_x")))
     (
         rebalance(rows.withColumns(blocks), "dataset_id", "zoom_level", *blocks)
-        .sortWithinPartitions("dataset_id", "zoom_level", "z_index")
-        .drop(*blocks)
+        .withColumns(order)
+        .sortWithinPartitions("dataset_id", "zoom_level", *order)
+        .drop(*blocks, *order)
         .write.mode("append")
         .parquet(path)
     )
@@ -141,14 +145,14 @@ def write_scenes(scenes: DataFrame, path: str) -> None:
     rebalance(rows, "dataset_id").sortWithinPartitions(*SCENE_KEY).write.mode("append").parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet, one a key.
+def append_new(rows: DataFrame, path: str, key: list[str], once: bool = False) -> DataFrame:
+    """Rows whose key is not stored yet, one a key; `once` says that no key comes twice in rows, so that they need not be grouped.
 
     The batch is computed once. Its key ranges, one row, are handed to the scan of what is stored, so an
     append reads the parts of the table that can hold its keys and not the whole table.
     """
     spark = rows.sparkSession
-    rows = rows.dropDuplicates(key)
+    rows = rows if once else rows.dropDuplicates(key)
     if not path_exists(spark, path):
         return rows
     rows = cut(rows)

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cover import scene_tile_cover, tile_refs_of
-from ..sources.catalog import write_scenes, write_tile_catalog
+from ..sources.catalog import SCENE_KEY, TILE_REF_KEY, write_scenes, write_tile_catalog
+
+
+def refs_once(scenes: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """Catalog rows of the cover of scenes, one a key.
+
+    A cover names no tile twice, so a key can only come twice where scenes share dataset, ingest and time. These are counted on the
+    scenes, which are few, and only their tiles are grouped.
+    """
+    levels = levels and list(dict.fromkeys(levels))
+    same = Window.partitionBy(*SCENE_KEY, "time_index")
+    counted = scenes.withColumn("_same", F.count(F.lit(1)).over(same))
+    alone, shared = (tile_refs_of(scene_tile_cover(counted.filter(c), levels)) for c in (F.col("_same") == 1, F.col("_same") > 1))
+    return alone.unionByName(shared.dropDuplicates(TILE_REF_KEY))
 
 
 def stream_scene_ingest(
@@ -25,8 +39,7 @@ def stream_scene_ingest(
     """
 
     def append(batch: DataFrame, _epoch: int) -> None:
-        cover = scene_tile_cover(batch, levels)
-        write_tile_catalog(tile_refs_of(cover), catalog_path)
+        write_tile_catalog(refs_once(batch, levels), catalog_path, once=True)
         if scenes_path is not None:
             write_scenes(batch, scenes_path)
 

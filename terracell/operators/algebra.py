@@ -46,10 +46,28 @@ def _tagged(inputs: list[BandRef]) -> DataFrame:
     return out
 
 
-def _only(mine: Column, value: Column) -> Column:
-    """value, or an error where an input has two rows at a position: several layers in a frame, or unmerged scenes."""
+#: inputs that one long of `_seen` has a bit for
+WORD = 62
+
+
+def _seen(n: int) -> list[Column]:
+    """Aggregates _rows and _seen0..: the rows of a position, and which of its n inputs they come from, a bit each."""
+    slot = F.col("slot")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(WORD)))
+    words = [F.bit_or(F.when(slot.between(w, w + WORD - 1), bit).otherwise(F.lit(0).cast("bigint"))) for w in range(0, n, WORD)]
+    return [F.count(F.lit(1)).alias("_rows"), *(word.alias(f"_seen{w}") for w, word in enumerate(words))]
+
+
+def _slots_seen(n: int) -> Column:
+    """How many inputs a position has rows of."""
+    words = [F.bit_count(f"_seen{w}") for w in range(-(-n // WORD))]
+    return sum(words[1:], words[0])
+
+
+def _once(n: int) -> Column:
+    """True, or an error where an input has two rows at a position: several layers in a frame, or unmerged scenes."""
     twice = F.raise_error(F.lit("an input has two values for one position and band: select one layer, or mosaic first"))
-    return F.when(F.count_if(mine) > 1, twice.cast("double")).otherwise(value)
+    return F.when(F.col("_rows") > _slots_seen(n), twice.cast("boolean")).otherwise(True)
 
 
 def align(inputs: list[BandRef], inner: bool = True) -> DataFrame:
@@ -59,16 +77,11 @@ def align(inputs: list[BandRef], inner: bool = True) -> DataFrame:
     present; its column is null.
     """
     n = len(inputs)
-    tagged = _tagged(inputs)
-    picks = [_only(F.col("slot") == i, F.max(F.when(F.col("slot") == i, F.col("value")))).alias(f"v{i}") for i in range(n)]
-    seen = [F.max((F.col("slot") == i).cast("int")).alias(f"_has{i}") for i in range(n)]
-    rows = tagged.groupBy(*POSITION).agg(*picks, *(seen if inner else []))
+    picks = [F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"v{i}") for i in range(n)]
+    rows = _tagged(inputs).groupBy(*POSITION).agg(*picks, *_seen(n)).filter(_once(n))
     if inner:
-        present = F.lit(True)
-        for i in range(n):
-            present = present & (F.col(f"_has{i}") == 1)
-        rows = rows.filter(present).drop(*[f"_has{i}" for i in range(n)])
-    return rows
+        rows = rows.filter(_slots_seen(n) == n)
+    return rows.select(*POSITION, *[f"v{i}" for i in range(n)])
 
 
 def _as_layer(rows: DataFrame, value: Column, name: str, band: int = 1) -> DataFrame:
@@ -102,14 +115,11 @@ def local_avg(inputs: list[BandRef], name: str = "avg", skip_missing: bool = Fal
     values for a position is an error, whatever the other inputs have there.
     """
     n = len(inputs)
-    # a slot and position once, so that the rows of a position are its inputs
-    slots = _tagged(inputs).groupBy(*POSITION, "slot").agg(_only(F.lit(True), F.max("value")).alias("value"))
-    grouped = slots.groupBy(*POSITION).agg(
-        F.sum("value").alias("_s"), F.count("value").alias("_k"), F.count(F.lit(1)).alias("_n")
-    )
+    sums = [F.sum("value").alias("_s"), F.count("value").alias("_k")]
+    grouped = _tagged(inputs).groupBy(*POSITION).agg(*sums, *_seen(n)).filter(_once(n))
     if skip_missing:
         return _as_layer(grouped, F.when(F.col("_k") > 0, F.col("_s") / F.col("_k")), name)
-    whole = grouped.filter(F.col("_n") == n)
+    whole = grouped.filter(_slots_seen(n) == n)
     return _as_layer(whole, F.when(F.col("_k") == n, F.col("_s") / n), name)
 
 

@@ -2,10 +2,11 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from terracell.functions.grid import z_index
-from terracell.operators import cover
+from terracell.operators import algebra, cover
 from terracell.sources import catalog
 from terracell.streaming.ingest import refs_once
 
@@ -75,3 +76,19 @@ def test_areas_crop_arrays_before_cells_are_made(spark):
     assert {tuple(r)[:8]: r["value"] for r in found.collect()} == want and found.count() == len(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("posexplode(bands") < plan.index("explode(CASE WHEN") and "posexplode(data" not in plan
+
+
+def test_inputs_of_a_mean_meet_in_one_grouping(spark):
+    cell = "layer string, time_index bigint, col int, row int, band int, value double"
+    layer = spark.createDataFrame([("a", 0, c, 0, b, None if (c, b) == (2, 3) else float(b)) for b in range(1, 71) for c in range(3) if (c, b) != (1, 70)], cell)
+    whole = algebra.local_avg([(layer, b) for b in range(1, 71)])
+    assert sorted((r["col"], r["value"]) for r in whole.collect()) == [(0, 35.5), (2, None)]
+    some = algebra.local_avg([(layer, b) for b in range(1, 71)], skip_missing=True)
+    assert sorted((r["col"], r["value"]) for r in some.collect()) == [(0, 35.5), (1, 35.0), (2, 2482 / 69)]
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    wide = algebra.align([(layer, b) for b in range(1, 71)])
+    assert [(r["col"], r["v69"], r["v2"]) for r in wide.orderBy("col").collect()] == [(0, 70.0, 3.0), (2, 70.0, None)]
+    twice = layer.unionByName(layer.filter("band = 70 and col = 0"))
+    for broken in (algebra.local_avg([(twice, 70), (layer, 1)], skip_missing=True), algebra.align([(twice, b) for b in range(1, 71)])):
+        with pytest.raises(Exception, match="two values"):
+            broken.collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions._col import intdiv
 from ..functions.geom import boxes_overlap
 from ..functions.grid import z_parts
+from ..operators.cover import BLOCK
 from ..operators.series import time_range
 from ..plans.joins import rebalance, small_join
 from ..plans.storage import cut, path_exists
@@ -116,27 +117,32 @@ def latest_scenes_by(scenes: DataFrame, by: list[str], k: int = 1) -> DataFrame:
 
 TILE_REF_KEY = ["dataset_id", "ingest_id", "zoom_level", "spatial_index_x", "spatial_index_y", "time_index"]
 SCENE_KEY = ["dataset_id", "ingest_id"]
+#: level 1 is quicker than 3 and makes Z keys in their order smaller
+CATALOG_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 
 
-def write_tile_catalog(tile_refs: DataFrame, path: str, once: bool = False) -> None:
+def write_tile_catalog(tile_refs: DataFrame, path: str, once: bool = False, placed: bool = False) -> None:
     """Append catalog rows, clustered by Z key for point and range lookups.
 
     The key (dataset, ingest, zoom, x, y, time) is the identity; tile_id is a stable hash of it, so a task that runs
     twice gives the same id. A key is stored once, whether it comes twice in a batch, in two batches or in a
-    replayed batch, and two ingests of one dataset and time both stay. `once` says that no key comes twice in tile_refs.
+    replayed batch, and two ingests of one dataset and time both stay. `once` says that no key comes twice in tile_refs, `placed` that
+    none of them is stored, either, and that the rows lie by blocks and in_z_order already.
     """
-    rows = append_new(tile_refs.withColumn("tile_id", F.xxhash64(*TILE_REF_KEY)), path, TILE_REF_KEY, once)
-    blocks = {"_bx": intdiv("spatial_index_x", 64), "_by": intdiv("spatial_index_y", 64)}
+    rows = tile_refs
+    if not placed:
+        rows = append_new(rows, path, TILE_REF_KEY, once)
+        blocks = {"_bx": intdiv("spatial_index_x", BLOCK), "_by": intdiv("spatial_index_y", BLOCK)}
+        rows = in_z_order(rebalance(rows.withColumns(blocks), "dataset_id", "zoom_level", *blocks).drop(*blocks))
+    # the id is a hash, which does not compress: it is made after the shuffle and the sort
+    rows.withColumn("tile_id", F.xxhash64(*TILE_REF_KEY)).write.mode("append").options(**CATALOG_FILES).parquet(path)
+
+
+def in_z_order(rows: DataFrame, zoom: str = "zoom_level", x: str = "spatial_index_x", y: str = "spatial_index_y") -> DataFrame:
+    """Rows of each partition as a catalog file has them: by dataset, level and Z key."""
     # the two longs of the Z key sort as it does, without a decimal made for each comparison
-    order = dict(zip(("_high", "_low"), z_parts("time_index", "spatial_index_y", "spatial_index_x")))
-    (
-        rebalance(rows.withColumns(blocks), "dataset_id", "zoom_level", *blocks)
-        .withColumns(order)
-        .sortWithinPartitions("dataset_id", "zoom_level", *order)
-        .drop(*blocks, *order)
-        .write.mode("append")
-        .parquet(path)
-    )
+    order = dict(zip(("_high", "_low"), z_parts("time_index", y, x)))
+    return rows.withColumns(order).sortWithinPartitions("dataset_id", zoom, *order).drop(*order)
 
 
 def write_scenes(scenes: DataFrame, path: str) -> None:
@@ -156,9 +162,14 @@ def append_new(rows: DataFrame, path: str, key: list[str], once: bool = False) -
     if not path_exists(spark, path):
         return rows
     rows = cut(rows)
+    return rows.join(stored_within(rows, path, key).select(*key), key, "left_anti").select(*rows.columns)
+
+
+def stored_within(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """What is stored, within the ranges that rows have of each column of a key; rows are read once for them."""
     ends = rows.agg(*[f(c).alias(f"{name}_{c}") for c in key for name, f in (("low", F.min), ("high", F.max))]).first()
-    stored = spark.read.parquet(path).select(*key)
+    stored = rows.sparkSession.read.parquet(path)
     for c in key:
         if ends[f"low_{c}"] is not None:
             stored = stored.filter(F.col(c).between(ends[f"low_{c}"], ends[f"high_{c}"]))
-    return rows.join(stored, key, "left_anti")
+    return stored
